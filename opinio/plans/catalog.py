@@ -84,14 +84,8 @@ def q_split_sentences(spark, sf):
         "product_id", "review_id", "sentence_id", "text")
 
 
-def _personal_sql(x: str) -> str:
-    # RE2 has no look-around: consume the preceding character and put it back.
-    return (f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(?i:i|my|mine|me|we|our|us)"
-            f"([^.!?\\p{{L}}\\p{{N}}_][^.!?]*)?[.!?]', '\\1', 'g')")
-
-
 @register("strip_personal", f"""WITH {V.REVIEWS}
-SELECT review_id, {_personal_sql("text")} AS clean_text FROM reviews""")
+SELECT review_id, {V.personal_sql("text")} AS clean_text FROM reviews""")
 def q_strip_personal(spark, sf):
     r = tb.reviews(spark, sf)
     return r.select("review_id", tx.strip_personal("text").alias("clean_text"))
@@ -113,4 +107,72 @@ def q_credibility(spark, sf):
     c = cl.canonicalize_corpus(tb.corpus_reviews(spark, sf))
     return c.select(F.col("pos").cast("string").alias("review_id"),
                     F.round(cl.credibility(), 6).alias("credibility_score"))
-FLAGSHIP = "reviews_table"
+
+
+# --------------------------------------------------------------------------- 2.4 / 2.7 corpus cleaning
+def _cleaned(spark, sf, mode="strict"):
+    return cl.clean_corpus(tb.corpus_reviews(spark, sf), filter_mode=mode)
+
+
+def _filtered(spark, sf):
+    c = cl.canonicalize_corpus(tb.corpus_reviews(spark, sf))
+    return cl.spam_filter(cl.min_length(c, "review_text", 30), "review_text")
+
+
+@register("spam_filter", f"""WITH {V.cleaned()}
+SELECT parent_asin, CAST(pos AS VARCHAR) AS review_id FROM filtered""")
+def q_spam_filter(spark, sf):
+    return _filtered(spark, sf).select("parent_asin", F.col("pos").cast("string").alias("review_id"))
+
+
+@register("dedupe_keep_first", f"""WITH {V.cleaned()}
+SELECT parent_asin, CAST(pos AS VARCHAR) AS review_id, verified FROM deduped""")
+def q_dedupe(spark, sf):
+    d = cl.dedupe_keep_first(_filtered(spark, sf), "review_text", "pos")
+    return d.select("parent_asin", F.col("pos").cast("string").alias("review_id"), "verified")
+
+
+@register("strict_mode", f"""WITH {V.cleaned("strict")}
+SELECT parent_asin, CAST(pos AS VARCHAR) AS review_id, clean_text,
+       round(credibility_score, 6) AS credibility_score FROM cleaned""")
+def q_strict(spark, sf):
+    c = _cleaned(spark, sf, "strict")
+    return c.select("parent_asin", F.col("pos").cast("string").alias("review_id"), "clean_text",
+                    F.round("credibility_score", 6).alias("credibility_score"))
+
+
+@register("product_stats", f"""WITH {V.cleaned("inclusive")}
+SELECT parent_asin, round(avg(rating), 6) AS avg_rating, count(rating) AS review_count,
+       round(avg(credibility_score), 6) AS credibility_score
+FROM cleaned GROUP BY parent_asin HAVING count(rating) >= 50""")
+def q_product_stats(spark, sf):
+    from opinio.operators.report import product_stats
+    s = product_stats(_cleaned(spark, sf, "inclusive")).where(F.col("review_count") >= 50)
+    return s.select("parent_asin", F.round("avg_rating", 6).alias("avg_rating"), "review_count",
+                    F.round("credibility_score", 6).alias("credibility_score"))
+
+
+@register("product_text", f"""WITH {V.cleaned("inclusive")}
+SELECT parent_asin, substr(string_agg(clean_text, ' ' ORDER BY pos), 1, 4000) AS text
+FROM cleaned GROUP BY parent_asin""")
+def q_product_text(spark, sf):
+    from opinio.operators.report import ordered_text_prefix
+    return ordered_text_prefix(_cleaned(spark, sf, "inclusive"), "parent_asin", "clean_text",
+                               "pos", 4000)
+
+
+# --------------------------------------------------------------------------- 2.10 credibility report
+from opinio.plans import report_sql as RS  # noqa: E402
+
+
+@register("credibility_report", RS.report_sql(min_reviews=20, mode="strict"))
+def q_credibility_report(spark, sf):
+    from opinio.operators.report import credibility_report
+    return credibility_report(_cleaned(spark, sf, "strict"), min_reviews=20, filter_mode="strict")
+
+
+@register("credibility_report_inclusive", RS.report_sql(min_reviews=50, mode="inclusive"))
+def q_credibility_report_incl(spark, sf):
+    from opinio.operators.report import credibility_report
+    return credibility_report(_cleaned(spark, sf, "inclusive"), min_reviews=50,
+                              filter_mode="inclusive")

@@ -49,3 +49,42 @@ def sentences(x: str) -> str:
 def word_count(x: str) -> str:
     return (f"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '\\s+'), "
             f"lambda w: w <> ''))")
+
+
+SPAM_PHRASES = ["free sample", "gifted", "sponsored", "promotion", "in exchange for",
+                "discounted for review", "ad partnership", "paid partnership", "collaboration",
+                "sponsored review"]
+
+
+def spam_sql(x: str, phrases=SPAM_PHRASES) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), '{p}')" for p in phrases) + ")"
+
+
+def personal_sql(x: str) -> str:
+    # RE2 has no look-around: consume the preceding character and put it back.
+    return (f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(?i:i|my|mine|me|we|our|us)"
+            f"([^.!?\\p{{L}}\\p{{N}}_][^.!?]*)?[.!?]', '\\1', 'g')")
+
+
+def cleaned(mode: str = "strict") -> str:
+    """CTEs canon -> filtered -> deduped -> cleaned (gen-1 cleaning order)."""
+    strict = "WHERE verified = true" if mode == "strict" else ""
+    rt = "review_text"
+    return CORPUS + f""",
+canon AS (
+  SELECT parent_asin, pos, TRY_CAST(rating AS DOUBLE) AS rating,
+         coalesce(verified_purchase, false) AS verified,
+         coalesce(TRY_CAST(helpful_vote AS DOUBLE), 0.0) AS helpful_vote,
+         {strip("coalesce(title, '') || '. ' || coalesce(text, '')")} AS review_text
+  FROM corpus),
+filtered AS (SELECT * FROM canon WHERE length(review_text) > 30 AND NOT {spam_sql(rt)}),
+deduped AS (
+  SELECT * FROM filtered
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(review_text), '{NON_WORD}', '', 'g')
+                             ORDER BY pos) = 1),
+cleaned AS (
+  SELECT *, {personal_sql(rt)} AS clean_text,
+         greatest(0.0, least(1.0, 1.0 - CASE WHEN verified THEN 0.0 ELSE 0.5 END
+           + least(helpful_vote / 50.0, 0.35) - CASE WHEN {spam_sql(rt)} THEN 0.4 ELSE 0.0 END
+           + CASE WHEN length(review_text) > 300 THEN 0.05 ELSE 0.0 END)) AS credibility_score
+  FROM deduped {strict})"""
