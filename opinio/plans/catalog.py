@@ -176,3 +176,80 @@ def q_credibility_report_incl(spark, sf):
     from opinio.operators.report import credibility_report
     return credibility_report(_cleaned(spark, sf, "inclusive"), min_reviews=50,
                               filter_mode="inclusive")
+
+
+# --------------------------------------------------------------------------- 2.9 vectors
+from opinio.functions import vectors as vx  # noqa: E402
+from opinio.operators import selection as sel  # noqa: E402
+from opinio.operators import vectors as ov  # noqa: E402
+from opinio.operators.sentences import split_sentences  # noqa: E402
+
+
+@register("embed_sentences", f"""WITH {V.REVIEWS}, s AS ({V.sentence_rows()})
+SELECT review_id, sentence_id,
+       array_to_string(list_transform({V.hash_embed("text")}, lambda x: CAST(x AS INTEGER)), ',') AS vec
+FROM s""")
+def q_embed_sentences(spark, sf):
+    s = split_sentences(tb.reviews(spark, sf))
+    v = vx.hash_embed("text", 64)
+    return s.select("review_id", "sentence_id",
+                    F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), ",").alias("vec"))
+
+
+@register("review_embedding_mean", f"""WITH {V.SENTENCE_VECS},
+x AS (SELECT product_id, review_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS d
+      FROM sentence_vecs)
+SELECT product_id, review_id, d, round(avg(CAST(v AS DOUBLE)), 6) AS v FROM x GROUP BY ALL""")
+def q_review_embedding_mean(spark, sf):
+    s = tb.sentence_vecs(spark, sf)
+    revs = s.select("product_id", "review_id").distinct()
+    pooled = ov.review_embedding_mean(revs, s)
+    return pooled.select("product_id", "review_id",
+                         F.posexplode("review_vec").alias("d", "v")).select(
+        "product_id", "review_id", "d", F.round("v", 6).alias("v"))
+
+
+@register("semantic_importance", f"""WITH {V.SENTENCE_VECS},
+x AS (SELECT product_id, review_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS d
+      FROM sentence_vecs),
+pooled AS (SELECT product_id, review_id, d, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY ALL),
+{V.importance_ctes("pooled")}
+SELECT product_id, review_id, round(importance, 6) AS importance FROM imp""")
+def q_semantic_importance(spark, sf):
+    s = tb.sentence_vecs(spark, sf)
+    revs = s.select("product_id", "review_id").distinct()
+    imp = ov.semantic_importance(ov.review_embedding_mean(revs, s))
+    return imp.select("product_id", "review_id", F.round("importance", 6).alias("importance"))
+
+
+@register("helpful_boost", f"""WITH {V.REVIEWS},
+m AS (SELECT product_id, max(coalesce(CAST(helpful_votes AS DOUBLE), 0.0)) AS mx FROM reviews GROUP BY ALL)
+SELECT r.product_id, r.review_id,
+       round(CASE WHEN m.mx > 0 THEN least(1.0, greatest(0.0, coalesce(CAST(helpful_votes AS DOUBLE), 0.0) / m.mx)) * 0.5
+            ELSE 0.0 END, 6) AS boost
+FROM reviews r JOIN m USING (product_id)""")
+def q_helpful_boost(spark, sf):
+    b = ov.helpful_boost(tb.reviews(spark, sf))
+    return b.select("product_id", "review_id", F.round("boost", 6).alias("boost"))
+
+
+def _greedy_sql(src: str, limit: float) -> str:
+    init = "{'rem': " + f"{float(limit)}::DOUBLE" + ", 'ids': []::VARCHAR[]}"
+    return f"""g AS (SELECT product_id, list_reduce(list({{'t': t, 'id': review_id}} ORDER BY score DESC, pos),
+      lambda acc, x: CASE WHEN x.t <= acc.rem THEN {{'rem': acc.rem - x.t, 'ids': list_append(acc.ids, x.id)}}
+                          ELSE acc END, {init}) AS st
+    FROM {src} WHERE t > 0 AND t <= {float(limit)} GROUP BY product_id)
+SELECT product_id, unnest(st.ids) AS review_id FROM g"""
+
+
+@register("select_under_budget", f"""WITH {V.REVIEWS},
+m AS (SELECT product_id, max(coalesce(CAST(helpful_votes AS DOUBLE), 0.0)) AS mx FROM reviews GROUP BY ALL),
+c AS (SELECT r.product_id, r.review_id, r.pos, CAST(coalesce(length(text), 0) AS DOUBLE) * 0.25 AS t,
+             CASE WHEN m.mx > 0 THEN least(1.0, greatest(0.0, coalesce(CAST(helpful_votes AS DOUBLE), 0.0) / m.mx)) * 0.5
+                  ELSE 0.0 END AS score
+      FROM reviews r JOIN m USING (product_id)),
+{_greedy_sql("c", 1500)}""")
+def q_select_under_budget(spark, sf):
+    r = ov.helpful_boost(tb.reviews(spark, sf)).withColumn("t", tx.estimate_tokens("text"))
+    return sel.select_under_budget(r, "product_id", "review_id", "boost", "pos", "t",
+                                   1500).select("product_id", "review_id")

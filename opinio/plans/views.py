@@ -88,3 +88,36 @@ cleaned AS (
            + least(helpful_vote / 50.0, 0.35) - CASE WHEN {spam_sql(rt)} THEN 0.4 ELSE 0.0 END
            + CASE WHEN length(review_text) > 300 THEN 0.05 ELSE 0.0 END)) AS credibility_score
   FROM deduped {strict})"""
+
+
+def hash_embed(x: str, dim: int = 64) -> str:
+    buckets = f"list_transform({tokens(x)}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})"
+    return (f"list_transform(range({dim}), lambda i: CAST(len(list_filter({buckets}, "
+            f"lambda b: b = i)) AS FLOAT))")
+
+
+def sentence_rows(src: str = "reviews") -> str:
+    """Sentence rows (product_id, review_id, sentence_id, text) of a review CTE."""
+    return f"""SELECT product_id, review_id, CAST(g.i - 1 AS INTEGER) AS sentence_id, arr[g.i] AS text
+  FROM (SELECT product_id, review_id, {sentences("text")} AS arr FROM {src}
+        WHERE review_id <> '' AND coalesce(text, '') <> '') s,
+       LATERAL (SELECT unnest(range(1, len(arr) + 1)) AS i) g"""
+
+
+def importance_ctes(src: str) -> str:
+    """From src(product_id, review_id, d, v) -- pooled review vectors, one row per
+    dimension -- build imp(product_id, review_id, importance)."""
+    return f"""nrm AS (SELECT product_id, review_id, sqrt(sum(v * v)) AS n FROM {src} GROUP BY ALL),
+unit AS (SELECT p.product_id, p.review_id, p.d, p.v / CASE WHEN n.n = 0 THEN 1.0 ELSE n.n END AS u
+         FROM {src} p JOIN nrm n USING (product_id, review_id)),
+cen0 AS (SELECT product_id, d, avg(u) AS c FROM unit GROUP BY ALL),
+cn AS (SELECT product_id, sqrt(sum(c * c)) AS n FROM cen0 GROUP BY ALL),
+cen AS (SELECT c.product_id, c.d, c.c / CASE WHEN cn.n = 0 THEN 1.0 ELSE cn.n END AS c
+        FROM cen0 c JOIN cn USING (product_id)),
+sim AS (SELECT u.product_id, u.review_id,
+               round(greatest(-1.0, least(1.0, sum(u.u * c.c))), 9) AS sim
+        FROM unit u JOIN cen c ON u.product_id = c.product_id AND u.d = c.d GROUP BY ALL),
+mm AS (SELECT product_id, min(sim) AS lo, max(sim) AS hi FROM sim GROUP BY ALL),
+imp AS (SELECT s.product_id, s.review_id,
+               CASE WHEN hi > lo THEN round((sim - lo) / (hi - lo), 9) ELSE 0.0 END AS importance
+        FROM sim s JOIN mm USING (product_id))"""
