@@ -253,3 +253,71 @@ def q_select_under_budget(spark, sf):
     r = ov.helpful_boost(tb.reviews(spark, sf)).withColumn("t", tx.estimate_tokens("text"))
     return sel.select_under_budget(r, "product_id", "review_id", "boost", "pos", "t",
                                    1500).select("product_id", "review_id")
+
+
+def _filter_reviews(spark, sf, limit=1500, use_verified=None, use_useful=None):
+    r = tb.reviews(spark, sf)
+    s = split_sentences(r).withColumn("embedding", vx.hash_embed("text", 64))
+    crit = sel.FilteringCriteria(use_verified=use_verified, use_useful=use_useful, token_limit=limit)
+    return sel.filter_reviews(r, s, crit)
+
+
+def _filter_sql(limit: float, where: str = "TRUE") -> str:
+    L = float(limit)
+    return f"""WITH {V.REVIEWS},
+r AS (SELECT *, CAST(coalesce(length(text), 0) AS DOUBLE) * 0.25 AS t FROM reviews WHERE {where}),
+tot AS (SELECT product_id, sum(t) AS total FROM r GROUP BY ALL),
+fits AS (SELECT r.product_id, r.review_id FROM r JOIN tot USING (product_id) WHERE total <= {L}),
+over AS (SELECT r.* FROM r JOIN tot USING (product_id) WHERE total > {L}),
+s AS ({V.sentence_rows("over")}),
+sv AS (SELECT product_id, review_id, {V.hash_embed("text")} AS e FROM s),
+x AS (SELECT product_id, review_id, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS d FROM sv),
+pooled0 AS (SELECT product_id, review_id, d, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY ALL),
+dims AS (SELECT product_id, max(len(e)) AS dim FROM sv GROUP BY ALL),
+pooled AS (SELECT o.product_id, o.review_id, g.d, coalesce(p.v, 0.0) AS v
+           FROM over o JOIN dims USING (product_id), LATERAL (SELECT unnest(range(dim)) AS d) g
+           LEFT JOIN pooled0 p ON p.product_id = o.product_id AND p.review_id = o.review_id AND p.d = g.d),
+{V.importance_ctes("pooled")},
+m AS (SELECT product_id, max(coalesce(CAST(helpful_votes AS DOUBLE), 0.0)) AS mx FROM over GROUP BY ALL),
+sc AS (SELECT o.product_id, o.review_id, o.pos, o.t, o.text,
+              round(coalesce(i.importance, 0.0) + CASE WHEN m.mx > 0 THEN least(1.0, greatest(0.0,
+                coalesce(CAST(o.helpful_votes AS DOUBLE), 0.0) / m.mx)) * 0.5 ELSE 0.0 END, 9) AS score
+       FROM over o JOIN m USING (product_id) LEFT JOIN imp i USING (product_id, review_id)),
+g AS (SELECT product_id, list_reduce(list({{'t': t, 'id': review_id}} ORDER BY score DESC, pos),
+      lambda acc, x: CASE WHEN x.t <= acc.rem THEN {{'rem': acc.rem - x.t, 'ids': list_append(acc.ids, x.id)}}
+                          ELSE acc END, {{'rem': {L}::DOUBLE, 'ids': []::VARCHAR[]}}) AS st
+    FROM sc WHERE t > 0 AND t <= {L} GROUP BY product_id),
+picks AS (SELECT product_id, unnest(st.ids) AS review_id FROM g),
+fb AS (SELECT product_id, arg_min(review_id, (coalesce(length(text), 0), pos)) AS review_id,
+              arg_min(t, (coalesce(length(text), 0), pos)) AS t
+       FROM sc WHERE product_id NOT IN (SELECT product_id FROM picks) GROUP BY ALL),
+selected AS (SELECT product_id, review_id FROM fits
+             UNION ALL SELECT product_id, review_id FROM picks
+             UNION ALL SELECT product_id, review_id FROM fb WHERE t <= {L})"""
+
+
+@register("filter_reviews", _filter_sql(1500) + "\nSELECT product_id, review_id FROM selected")
+def q_filter_reviews(spark, sf):
+    selected, _ = _filter_reviews(spark, sf, 1500)
+    return selected.select("product_id", "review_id")
+
+
+@register("filter_reviews_verified", _filter_sql(400, "verified = true")
+          + "\nSELECT product_id, review_id FROM selected")
+def q_filter_reviews_verified(spark, sf):
+    selected, _ = _filter_reviews(spark, sf, 400, use_verified=True)
+    return selected.select("product_id", "review_id")
+
+
+@register("selection_stats", _filter_sql(1500) + """,
+orig AS (SELECT product_id, count(*) AS original_count FROM reviews GROUP BY ALL),
+rk AS (SELECT s.product_id, count(*) AS n, sum(r.t) AS tok FROM selected s JOIN r USING (product_id, review_id) GROUP BY ALL)
+SELECT o.product_id, o.original_count, o.original_count AS after_selection_count,
+       coalesce(rk.n, 0) AS after_ranking_count, round(coalesce(rk.tok, 0.0), 6) AS token_usage,
+       1500.0 AS token_limit, round(coalesce(rk.n, 0) / o.original_count, 6) AS retention_rate
+FROM orig o LEFT JOIN rk USING (product_id)""")
+def q_selection_stats(spark, sf):
+    _, st = _filter_reviews(spark, sf, 1500)
+    return st.select("product_id", "original_count", "after_selection_count", "after_ranking_count",
+                     F.round("token_usage", 6).alias("token_usage"), "token_limit",
+                     F.round("retention_rate", 6).alias("retention_rate"))
