@@ -321,3 +321,144 @@ def q_selection_stats(spark, sf):
     return st.select("product_id", "original_count", "after_selection_count", "after_ranking_count",
                      F.round("token_usage", 6).alias("token_usage"), "token_limit",
                      F.round("retention_rate", 6).alias("retention_rate"))
+
+
+# --------------------------------------------------------------------------- 2.10 grounding / facts / QA
+from opinio.operators import grounding as gr  # noqa: E402
+from opinio.operators import qa as qa_op  # noqa: E402
+
+
+def _ground_sql(threshold: float, max_hits: int, max_evidence: int, restrict: str = "TRUE") -> str:
+    return f"""WITH {V.SENTENCE_VECS}, {V.ENTITY_VECS},
+sv AS (SELECT * FROM sentence_vecs WHERE {restrict}),
+ents AS (SELECT * FROM entity_vecs
+         WHERE {V.strip("coalesce(entity, '')")} <> '' AND product_id IN (SELECT product_id FROM sv)),
+pairs AS (SELECT e.product_id, e.entity_idx, s.review_id, s.sentence_id, s.text, s.sentiment,
+                 round({V.dot(V.unit("e.embedding"), V.unit("s.embedding"))}, 9) AS sim
+          FROM ents e JOIN sv s USING (product_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id, entity_idx ORDER BY sim DESC, sentence_id) AS rn
+           FROM pairs QUALIFY rn <= {max_hits}),
+best AS (SELECT product_id, entity_idx, sim AS best FROM ranked WHERE rn = 1),
+hits AS (SELECT r.* FROM ranked r JOIN best b USING (product_id, entity_idx)
+         WHERE r.sim >= {threshold} OR (b.best < {threshold} AND r.rn = 1 AND r.sim > 0)),
+agg AS (SELECT product_id, entity_idx, count(DISTINCT review_id) AS review_count,
+               count_if(lower(coalesce(sentiment, 'neutral')) = 'positive') AS positive_count,
+               count_if(lower(coalesce(sentiment, 'neutral')) = 'negative') AS negative_count,
+               count_if(lower(coalesce(sentiment, 'neutral')) = 'neutral') AS neutral_count
+        FROM hits GROUP BY ALL),
+ids AS {V.ordered_distinct("review_id", "rn", "hits", "product_id, entity_idx", ",")},
+evs AS {V.ordered_distinct("text", "rn", "hits", "product_id, entity_idx", " | ",
+                           f"rn <= {max_evidence} AND coalesce(text, '') <> ''")},
+facts AS (SELECT e.product_id, e.entity_idx, e.entity AS name,
+                 coalesce(a.review_count, 0) AS review_count, coalesce(a.positive_count, 0) AS positive_count,
+                 coalesce(a.negative_count, 0) AS negative_count, coalesce(a.neutral_count, 0) AS neutral_count,
+                 coalesce(i.agg, '') AS supporting_review_ids, coalesce(v.agg, '') AS evidence_sentences
+          FROM ents e LEFT JOIN agg a USING (product_id, entity_idx)
+               LEFT JOIN ids i USING (product_id, entity_idx) LEFT JOIN evs v USING (product_id, entity_idx))"""
+
+
+def _flat_facts(f):
+    return f.select("product_id", "entity_idx", "name", "review_count", "positive_count",
+                    "negative_count", "neutral_count",
+                    F.array_join("supporting_review_ids", ",").alias("supporting_review_ids"),
+                    F.array_join("evidence_sentences", " | ").alias("evidence_sentences"))
+
+
+@register("ground_entities", _ground_sql(0.3, 50, 5) + "\nSELECT * FROM facts")
+def q_ground_entities(spark, sf):
+    f = gr.ground_entities(tb.entity_vecs(spark, sf), tb.sentence_vecs(spark, sf))
+    return _flat_facts(f)
+
+
+@register("ground_entities_capped", _ground_sql(0.05, 5, 3) + "\nSELECT * FROM facts")
+def q_ground_entities_capped(spark, sf):
+    f = gr.ground_entities(tb.entity_vecs(spark, sf), tb.sentence_vecs(spark, sf),
+                           similarity_threshold=0.05, max_hits=5, max_evidence=3)
+    return _flat_facts(f)
+
+
+@register("product_facts", _ground_sql(0.3, 50, 5, "review_id <> '0'") + """,
+tot AS (SELECT product_id, count(DISTINCT review_id) AS total_reviews FROM sentence_vecs
+        WHERE review_id <> '0' GROUP BY ALL),
+nf AS (SELECT product_id, count(*) AS n_features, string_agg(name, ',' ORDER BY entity_idx) AS feature_names,
+              sum(review_count) AS grounded_reviews FROM facts GROUP BY ALL)
+SELECT t.product_id, t.total_reviews, '' AS summary_text, coalesce(nf.n_features, 0) AS n_features,
+       coalesce(nf.feature_names, '') AS feature_names, coalesce(nf.grounded_reviews, 0) AS grounded_reviews
+FROM tot t LEFT JOIN nf USING (product_id)""")
+def q_product_facts(spark, sf):
+    s = tb.sentence_vecs(spark, sf)
+    # the "selected" reviews: every fixture review except id '0'
+    revs = s.select("product_id", "review_id").where(F.col("review_id") != "0").distinct()
+    pf = gr.product_facts(revs, tb.entity_vecs(spark, sf), s)
+    return pf.select("product_id", "total_reviews", F.col("summary.text").alias("summary_text"),
+                     F.size("features").cast("long").alias("n_features"),
+                     F.array_join(F.transform("features", lambda f: f["name"]), ",").alias("feature_names"),
+                     F.aggregate("features", F.lit(0).cast("long"),
+                                 lambda a, f: a + f["review_count"]).alias("grounded_reviews"))
+
+
+def _qa_sql(top_k: int = 4) -> str:
+    k = top_k if top_k > 0 else 5
+    m = min(k, 3)
+    Q = qa_op
+    return f"""WITH {V.SENTENCE_VECS}, {V.QUESTION_VECS},
+revs AS (SELECT product_id, review_id, string_agg(text, ' ' ORDER BY sentence_id) AS text
+         FROM sentence_vecs GROUP BY ALL),
+ask AS (SELECT * FROM question_vecs
+        WHERE {V.strip("coalesce(question, '')")} <> '' AND coalesce(len(embedding), 0) > 0),
+pairs AS (SELECT q.product_id, q.question_id, s.review_id, s.sentence_id, s.text, s.sentiment,
+                 round({V.dot(V.unit("q.embedding"), V.unit("s.embedding"))}, 9) AS sim
+          FROM ask q JOIN sentence_vecs s USING (product_id)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY product_id, question_id ORDER BY sim DESC, sentence_id) AS rn
+         FROM pairs QUALIFY rn <= {k} AND sim >= {Q.MIN_SIMILARITY}),
+h2 AS (SELECT h.*, coalesce(h.review_id, '') AS rid, coalesce(h.text, '') AS t,
+              {V.strip("coalesce(r.text, '')")} AS full_text
+       FROM hits h LEFT JOIN revs r USING (product_id, review_id)),
+agg AS (SELECT product_id, question_id, count_if(coalesce(sentiment, 'None') = 'positive') AS pos,
+               count_if(coalesce(sentiment, 'None') = 'negative') AS neg, count(*) AS n_hits
+        FROM h2 GROUP BY ALL),
+es AS (SELECT product_id, question_id, list(t ORDER BY o)[1:3] AS q3
+       FROM (SELECT product_id, question_id, t, min(rn) AS o FROM h2 WHERE t <> '' GROUP BY ALL) GROUP BY ALL),
+er AS (SELECT product_id, question_id, string_agg(e, ' || ' ORDER BY o) FILTER (WHERE rk <= {m}) AS evidence
+       FROM (SELECT *, row_number() OVER (PARTITION BY product_id, question_id ORDER BY o) AS rk
+             FROM (SELECT product_id, question_id, rid, min(rn) AS o,
+                          arg_min(CASE WHEN full_text <> '' THEN full_text ELSE t END, rn) AS e
+                   FROM h2 WHERE rid <> '' GROUP BY ALL) WHERE e <> '') GROUP BY ALL),
+ans AS (SELECT a.product_id, a.question_id, a.n_hits,
+               '{Q.ANSWER_HEAD}' || CASE WHEN neg > 0 AND pos > 0 THEN '{Q.TONE_MIXED}'
+                                      WHEN neg > 0 THEN '{Q.TONE_NEG}' WHEN pos > 0 THEN '{Q.TONE_POS}'
+                                      ELSE '{Q.TONE_NEUTRAL}' END || '.' ||
+               CASE WHEN len(coalesce(es.q3, [])) > 0 THEN ' {Q.ANSWER_EXAMPLES}' ||
+                    array_to_string(list_transform(es.q3, lambda s: '"' || s || '"'), ' ') ELSE '' END AS answer,
+               coalesce(er.evidence, '') AS evidence
+        FROM agg a LEFT JOIN es USING (product_id, question_id) LEFT JOIN er USING (product_id, question_id)),
+idx AS (SELECT DISTINCT product_id FROM sentence_vecs)
+SELECT q.product_id, q.question_id,
+       CASE WHEN {V.strip("coalesce(q.question, '')")} = '' THEN '{Q.MSG_BLANK}'
+            WHEN idx.product_id IS NULL THEN '{Q.MSG_NO_INDEX}'
+            WHEN coalesce(len(q.embedding), 0) = 0 THEN '{Q.MSG_NO_VECTOR}'
+            WHEN ans.answer IS NULL THEN '{Q.MSG_NOTHING}' ELSE ans.answer END AS answer,
+       coalesce(ans.evidence, '') AS evidence, coalesce(ans.n_hits, 0) AS n_hits
+FROM question_vecs q LEFT JOIN idx USING (product_id) LEFT JOIN ans USING (product_id, question_id)"""
+
+
+def _fixture_reviews(s):
+    # review text = its sentences in order (derived from the embeddings table)
+    return s.groupBy("product_id", "review_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+@register("answer_questions", _qa_sql(4))
+def q_answer_questions(spark, sf):
+    s = tb.sentence_vecs(spark, sf)
+    a = qa_op.answer_questions(tb.question_vecs(spark, sf), s, _fixture_reviews(s), top_k=4)
+    return a.select("product_id", "question_id", "answer",
+                    F.array_join("evidence", " || ").alias("evidence"), "n_hits")
+
+
+@register("answer_questions_k0", _qa_sql(0))
+def q_answer_questions_k0(spark, sf):
+    s = tb.sentence_vecs(spark, sf)
+    a = qa_op.answer_questions(tb.question_vecs(spark, sf), s, _fixture_reviews(s), top_k=0)
+    return a.select("product_id", "question_id", "answer",
+                    F.array_join("evidence", " || ").alias("evidence"), "n_hits")

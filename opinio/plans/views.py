@@ -121,3 +121,18 @@ mm AS (SELECT product_id, min(sim) AS lo, max(sim) AS hi FROM sim GROUP BY ALL),
 imp AS (SELECT s.product_id, s.review_id,
                CASE WHEN hi > lo THEN round((sim - lo) / (hi - lo), 9) ELSE 0.0 END AS importance
         FROM sim s JOIN mm USING (product_id))"""
+
+
+def unit(x: str) -> str:
+    n = f"sqrt(list_sum(list_transform({x}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))))"
+    return f"list_transform({x}, lambda v: CAST(v AS DOUBLE) / CASE WHEN {n} = 0 THEN 1.0 ELSE {n} END)"
+
+
+def dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+
+
+def ordered_distinct(val: str, order: str, src: str, keys: str, sep: str, where: str = "TRUE") -> str:
+    """string_agg of the distinct values of src in first-occurrence order."""
+    return f"""(SELECT {keys}, string_agg({val}, '{sep}' ORDER BY o) AS agg
+      FROM (SELECT {keys}, {val}, min({order}) AS o FROM {src} WHERE {where} GROUP BY ALL) GROUP BY ALL)"""
