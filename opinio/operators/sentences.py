@@ -20,3 +20,39 @@ def split_sentences(reviews: DataFrame, key: str = "product_id", id_col: str = "
     return ok.select(F.col(key), F.col(id_col),
                      F.posexplode(tx.sentence_array(text_col)).alias("sentence_id", "text")
                      ).withColumn("sentence_id", F.col("sentence_id").cast("int"))
+
+
+def label_to_sentiment(label, text=None):
+    """Model label -> negative / positive / neutral; blank text -> neutral."""
+    lab = F.lower(F.coalesce(label, F.lit("")))
+    out = (F.when(lab.startswith("neg"), F.lit("negative"))
+           .when(lab.startswith("pos"), F.lit("positive"))
+           .otherwise(F.lit("neutral")))
+    if text is not None:
+        out = F.when(tx.strip(F.coalesce(text, F.lit(""))) == "", F.lit("neutral")).otherwise(out)
+    return out
+
+
+def lexicon_label(text_col="text", pos=None, neg=None):
+    """Default offline sentiment: sign(positive hits - negative hits)."""
+    from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS
+    from opinio.operators.themes import word_set_hits
+    p = word_set_hits(text_col, pos or POSITIVE_WORDS)
+    n = word_set_hits(text_col, neg or NEGATIVE_WORDS)
+    lab = F.when(p > n, F.lit("positive")).when(n > p, F.lit("negative")).otherwise(F.lit("neutral"))
+    return label_to_sentiment(lab, F.col(text_col) if isinstance(text_col, str) else text_col)
+
+
+def sentence_index(reviews: DataFrame, key: str = "product_id", id_col: str = "review_id",
+                   text_col: str = "text", dim: int = 64, encoder=None, labeler=None) -> DataFrame:
+    """split -> label -> embed, as one lazy frame.
+
+    ``encoder`` / ``labeler`` are Column -> Column hooks (e.g. an iterator
+    pandas_udf that loads a model once per worker); the defaults are the
+    JVM-side hashing encoder and lexicon labeler.
+    """
+    from opinio.functions.vectors import hash_embed
+    s = split_sentences(reviews, key, id_col, text_col)
+    lab = labeler(F.col("text")) if labeler else lexicon_label("text")
+    emb = encoder(F.col("text")) if encoder else hash_embed("text", dim)
+    return s.withColumn("sentiment", lab).withColumn("embedding", emb)

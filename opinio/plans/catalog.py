@@ -462,3 +462,102 @@ def q_answer_questions_k0(spark, sf):
     a = qa_op.answer_questions(tb.question_vecs(spark, sf), s, _fixture_reviews(s), top_k=0)
     return a.select("product_id", "question_id", "answer",
                     F.array_join("evidence", " || ").alias("evidence"), "n_hits")
+
+
+# --------------------------------------------------------------------------- 2.6 aggregates + flagship
+from opinio.operators import aggregates as ag  # noqa: E402
+from opinio.operators import sentences as se  # noqa: E402
+from opinio.plans import report_sql as _RS  # noqa: E402
+
+
+def _pos_neg_values() -> str:
+    from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, sql_values
+    return sql_values([(w, 1, 0) for w in sorted(set(POSITIVE_WORDS))]
+                      + [(w, 0, 1) for w in sorted(set(NEGATIVE_WORDS))])
+
+
+def _lexicon_sql(src: str) -> str:
+    """lab(product_id, review_id, sentence_id, sentiment) from sentence rows in src."""
+    return f"""pn(word, p, n) AS (VALUES {_pos_neg_values()}),
+stk AS (SELECT product_id, review_id, sentence_id, unnest({V.tokens('text')}) AS t FROM {src}),
+sh AS (SELECT product_id, review_id, sentence_id, sum(p) AS p, sum(n) AS n
+       FROM stk JOIN pn ON stk.t = pn.word GROUP BY ALL),
+lab AS (SELECT s.product_id, s.review_id, s.sentence_id,
+               CASE WHEN {V.strip("coalesce(s.text, '')")} = '' THEN 'neutral'
+                    WHEN coalesce(h.p, 0) > coalesce(h.n, 0) THEN 'positive'
+                    WHEN coalesce(h.n, 0) > coalesce(h.p, 0) THEN 'negative' ELSE 'neutral' END AS sentiment
+        FROM {src} s LEFT JOIN sh h ON s.product_id = h.product_id AND s.review_id = h.review_id
+                                    AND s.sentence_id = h.sentence_id)"""
+
+
+@register("review_overview", f"""WITH {V.REVIEWS}, sr AS ({V.sentence_rows()}),
+{_lexicon_sql("sr")},
+ov AS (SELECT product_id, count(*) AS n_reviews,
+              round(sum(coalesce(rating, 0.0)) / count(*), 6) AS avg_rating,
+              count_if(coalesce(helpful_votes, 0) > 0) AS helpful_reviews,
+              round(sum(CAST(coalesce(length(text), 0) AS DOUBLE) * 0.25), 6) AS total_tokens
+       FROM reviews GROUP BY ALL),
+sc AS (SELECT product_id, count(*) AS n_sentences, count_if(sentiment = 'positive') AS positive_sentences,
+              count_if(sentiment = 'negative') AS negative_sentences,
+              count_if(sentiment = 'neutral') AS neutral_sentences FROM lab GROUP BY ALL)
+SELECT ov.*, coalesce(sc.n_sentences, 0) AS n_sentences,
+       coalesce(sc.positive_sentences, 0) AS positive_sentences,
+       coalesce(sc.negative_sentences, 0) AS negative_sentences,
+       coalesce(sc.neutral_sentences, 0) AS neutral_sentences
+FROM ov LEFT JOIN sc USING (product_id)""")
+def q_review_overview(spark, sf):
+    r = tb.reviews(spark, sf)
+    s = se.split_sentences(r).withColumn("sentiment", se.lexicon_label("text"))
+    ov = ag.product_overview(r)
+    sc = ag.sentiment_counts(s)
+    out = ov.join(sc, "product_id", "left")
+    return out.select("product_id", "n_reviews", F.round("avg_rating", 6).alias("avg_rating"),
+                      "helpful_reviews", F.round("total_tokens", 6).alias("total_tokens"),
+                      *[F.coalesce(c, F.lit(0)).alias(c) for c in
+                        ("n_sentences", "positive_sentences", "negative_sentences", "neutral_sentences")])
+
+
+FLAGSHIP = "review_overview"
+
+
+@register("label_sentences", f"""WITH {V.REVIEWS}, sr AS ({V.sentence_rows()}),
+{_lexicon_sql("sr")}
+SELECT product_id, review_id, sentence_id, sentiment FROM lab""")
+def q_label_sentences(spark, sf):
+    s = se.split_sentences(tb.reviews(spark, sf))
+    return s.select("product_id", "review_id", "sentence_id",
+                    se.lexicon_label("text").alias("sentiment"))
+
+
+@register("rating_distribution", f"""WITH {V.REVIEWS},
+sel AS (SELECT * FROM reviews WHERE verified = true),
+tot AS (SELECT product_id, count(*) AS n FROM sel GROUP BY ALL)
+SELECT s.product_id, 'rating_' || CASE WHEN rating = floor(rating) THEN CAST(CAST(floor(rating) AS BIGINT) AS VARCHAR)
+                                  ELSE CAST(rating AS VARCHAR) END AS rating_key,
+       count(*) AS count, round(count(*) / any_value(t.n), 6) AS proportion
+FROM sel s JOIN tot t USING (product_id) WHERE rating IS NOT NULL GROUP BY s.product_id, rating""")
+def q_rating_distribution(spark, sf):
+    r = sel.select_verified(tb.reviews(spark, sf), True)
+    d = ag.rating_distribution(r)
+    return d.select("product_id", "rating_key", "count", F.round("proportion", 6).alias("proportion"))
+
+
+@register("total_reviews", f"""WITH {V.REVIEWS}
+SELECT product_id, count(DISTINCT review_id) AS total_reviews FROM reviews GROUP BY ALL""")
+def q_total_reviews(spark, sf):
+    return ag.total_reviews(tb.reviews(spark, sf))
+
+
+@register("index_staleness", f"""WITH {V.REVIEWS}, {V.SENTENCE_VECS}, sr AS ({V.sentence_rows()}),
+a AS (SELECT product_id, count(DISTINCT review_id) AS cached_reviews FROM sr GROUP BY ALL),
+b AS (SELECT product_id, count(DISTINCT review_id) AS current_reviews FROM reviews WHERE verified GROUP BY ALL)
+SELECT coalesce(a.product_id, b.product_id) AS product_id, coalesce(cached_reviews, 0) AS cached_reviews,
+       coalesce(current_reviews, 0) AS current_reviews,
+       NOT (coalesce(cached_reviews, 0) = coalesce(current_reviews, 0)) AS stale
+FROM a FULL OUTER JOIN b ON a.product_id = b.product_id""")
+def q_index_staleness(spark, sf):
+    r = tb.reviews(spark, sf)
+    cached = se.split_sentences(r)
+    current = sel.select_verified(r, True)
+    return ag.index_staleness(cached, current).select(
+        "product_id", "cached_reviews", "current_reviews", "stale")

@@ -56,3 +56,18 @@ def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Give CPU-heavy text work at least one partition per core.
+
+    A scan of a few large files (one parquet row group each) yields fewer
+    partitions than the cluster has cores; only then is the frame
+    round-robin repartitioned.  A large scan already has more splits than
+    cores and is returned unchanged, so this adds no shuffle at scale.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -11,14 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinio.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry CPU-heavy text/vector work: spread over cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents LEFT JOIN labels as canonical reviews (M2 + product_id, pos)."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     doc = F.col("doc_id")
     return (d.join(lab, "doc_id", "left")
@@ -46,7 +53,7 @@ def corpus_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as sentence rows: product = label, review = vec_id % 7."""
-    e = table(spark, sf_dir, "embeddings")
+    e = text_table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
     return e.select(F.col("label").cast("string").alias("product_id"),
                     (v % 7).cast("string").alias("review_id"),
@@ -59,7 +66,7 @@ def sentence_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with precomputed vectors (FIXTURES: vec_id < 20, own label)."""
-    e = table(spark, sf_dir, "embeddings")
+    e = text_table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
     return (e.where(v < 20)
             .select(F.col("label").cast("string").alias("product_id"),
@@ -70,7 +77,7 @@ def entity_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with vectors (FIXTURES: vec_id 20..39, product = label)."""
-    e = table(spark, sf_dir, "embeddings")
+    e = text_table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
     return (e.where(v.between(20, 39))
             .select(F.col("label").cast("string").alias("product_id"),
