@@ -51,6 +51,16 @@ SPAM_WORDS_V2 = ["viagra", "casino", "lottery", "xxx"]
 PERSONAL_WORDS = ["I", "my", "mine", "me", "we", "our", "us"]
 # ---------------------------------------------------------------------------
 
+# A user-supplied dictionary (ours, not the reference's) of common function
+# words in the four languages of the driver documents; used to exercise the
+# theme operators on text where the product themes above never occur.
+THEMES_FUNCTION_WORDS = [
+    ("article", ["the", "a", "an", "la", "le", "les", "der", "die", "das", "el", "un"]),
+    ("conjunction", ["and", "und", "et", "y", "or", "but"]),
+    ("preposition", ["of", "de", "to", "in", "for", "on", "with", "by", "at", "from", "en"]),
+    ("pronoun", ["it", "this", "that", "he", "she", "they", "er", "es"]),
+]
+
 DICTIONARY_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType(), False),      # theme | pos | neg | spam
     T.StructField("theme", T.StringType(), True),

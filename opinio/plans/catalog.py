@@ -561,3 +561,216 @@ def q_index_staleness(spark, sf):
     current = sel.select_verified(r, True)
     return ag.index_staleness(cached, current).select(
         "product_id", "cached_reviews", "current_reviews", "stale")
+
+
+# --------------------------------------------------------------------------- 2.6 / 2.7 themes & sentences
+from opinio.operators import themes as th  # noqa: E402
+from opinio.operators import report as rp  # noqa: E402
+
+
+@register("theme_counts", f"""WITH {V.cleaned("inclusive")},
+th(word, theme, theme_idx) AS (VALUES {_RS.theme_values()}),
+tk AS (SELECT parent_asin, unnest({V.tokens("clean_text")}) AS t FROM cleaned)
+SELECT parent_asin, theme, theme_idx, count(*) AS n FROM tk JOIN th ON tk.t = th.word GROUP BY ALL""")
+def q_theme_counts(spark, sf):
+    return th.corpus_theme_counts(_cleaned(spark, sf, "inclusive"), "parent_asin", "clean_text")
+
+
+@register("theme_pct_string", f"""WITH {V.cleaned("inclusive")},
+th(word, theme, theme_idx) AS (VALUES {_RS.theme_values()}),
+tk AS (SELECT parent_asin, unnest({V.tokens("clean_text")}) AS t FROM cleaned),
+tc AS (SELECT parent_asin, theme, theme_idx, count(*) AS n FROM tk JOIN th ON tk.t = th.word GROUP BY ALL),
+{_RS.theme_strings_ctes("tc", "parent_asin")}
+SELECT p.parent_asin, coalesce(counts_str, 'N/A') AS themes_counts, coalesce(pct_str, 'N/A') AS themes_pct
+FROM (SELECT DISTINCT parent_asin FROM cleaned) p LEFT JOIN tstr USING (parent_asin)""")
+def q_theme_pct_string(spark, sf):
+    c = _cleaned(spark, sf, "inclusive")
+    tc = th.corpus_theme_counts(c, "parent_asin", "clean_text")
+    arr = tc.groupBy("parent_asin").agg(F.collect_list(F.struct("theme", "theme_idx", "n")).alias("_c"))
+    cstr, pstr = th.theme_strings(F.col("_c"))
+    out = c.select("parent_asin").distinct().join(arr, "parent_asin", "left")
+    na = F.lit("N/A")
+    return out.select("parent_asin", F.coalesce(cstr, na).alias("themes_counts"),
+                      F.coalesce(pstr, na).alias("themes_pct"))
+
+
+def _per_review_sentences_sql() -> str:
+    return f"""WITH {V.REVIEWS},
+{_RS.sentence_score_ctes("reviews", "review_id", "text")}"""
+
+
+@register("split_sentences_long", _per_review_sentences_sql()
+          + "\nSELECT review_id, CAST(i AS INTEGER) AS sent_pos, s AS text FROM sents")
+def q_split_sentences_long(spark, sf):
+    r = tb.reviews(spark, sf)
+    return r.select("review_id", F.posexplode(tx.long_sentence_array("text")).alias("sent_pos", "text"))
+
+
+@register("sentence_keyword_score", _per_review_sentences_sql()
+          + "\nSELECT review_id, CAST(i AS INTEGER) AS sent_pos, score, pos_score, neg_score FROM sc")
+def q_sentence_keyword_score(spark, sf):
+    r = tb.reviews(spark, sf)
+    x = r.select("review_id", F.explode(th.scored_sentences("text")).alias("x"))
+    return x.select("review_id", F.col("x.i").alias("sent_pos"), F.col("x.score").alias("score"),
+                    F.col("x.pos_score").alias("pos_score"), F.col("x.neg_score").alias("neg_score"))
+
+
+@register("representative_sentences", _per_review_sentences_sql() + """,
+ev AS (SELECT review_id,
+         array_to_string(list(s ORDER BY score DESC, i)[1:3], ' | ') AS evidence,
+         array_to_string(list(s ORDER BY pos_score DESC, i)[1:2], ' | ') AS pos_snippets,
+         array_to_string(list(s ORDER BY neg_score DESC, i)[1:2], ' | ') AS neg_snippets
+       FROM sc GROUP BY ALL)
+SELECT r.review_id, coalesce(evidence, '') AS evidence, coalesce(pos_snippets, '') AS pos_snippets,
+       coalesce(neg_snippets, '') AS neg_snippets FROM reviews r LEFT JOIN ev USING (review_id)""")
+def q_representative_sentences(spark, sf):
+    r = tb.reviews(spark, sf).withColumn("_sc", th.scored_sentences("text"))
+    return r.select("review_id",
+                    tx.pack_evidence(th.top_sentences(F.col("_sc"), "score", 3)).alias("evidence"),
+                    tx.pack_evidence(th.top_sentences(F.col("_sc"), "pos_score", 2)).alias("pos_snippets"),
+                    tx.pack_evidence(th.top_sentences(F.col("_sc"), "neg_score", 2)).alias("neg_snippets"))
+
+
+@register("extractive_summary", _per_review_sentences_sql() + f""",
+sm AS (SELECT review_id, {_RS.summary_agg(40)} AS summary FROM sc GROUP BY ALL)
+SELECT r.review_id, coalesce(summary, '') AS summary FROM reviews r LEFT JOIN sm USING (review_id)""")
+def q_extractive_summary(spark, sf):
+    r = tb.reviews(spark, sf)
+    return r.select("review_id", th.extractive_summary(th.scored_sentences("text"), 40).alias("summary"))
+
+
+@register("count_word", f"""WITH {V.REVIEWS}
+SELECT review_id, len(list_filter({V.tokens("text")}, lambda t: t = 'the')) AS n_the,
+       len(list_filter({V.tokens("text")}, lambda t: t = 'worthless')) AS n_worthless FROM reviews""")
+def q_count_word(spark, sf):
+    r = tb.reviews(spark, sf)
+    return r.select("review_id", tx.count_word("text", "the").alias("n_the"),
+                    tx.count_word("text", "Worthless").alias("n_worthless"))
+
+
+# --------------------------------------------------------------------------- v2 summarizer variants
+def _v2_rows(spark, sf, mode="strict"):
+    c = tb.corpus_reviews(spark, sf)
+    c = c.withColumn("credibility", cl.credibility_open(
+        F.col("verified_purchase"), F.col("helpful_vote"), F.col("text")))
+    if mode == "strict":
+        c = c.where(F.coalesce(F.col("verified_purchase"), F.lit(False)))
+    return c.where(F.length(F.coalesce(F.col("text"), F.lit(""))) >= 30)
+
+
+_V2_CRED = """(1.0 + CASE WHEN coalesce(verified_purchase, false) THEN 1.0 ELSE 0.0 END
+   + least(0.35, coalesce(helpful_vote, 0.0) / 50.0)
+   + CASE WHEN {wc} > 20 THEN 0.05 ELSE 0.0 END
+   - CASE WHEN {spam} THEN 0.4 ELSE 0.0 END)"""
+
+
+def _v2_sql() -> str:
+    from opinio.dictionaries import SPAM_WORDS_V2
+    cred = _V2_CRED.format(wc=V.word_count("text"), spam=V.spam_sql("text", SPAM_WORDS_V2))
+    return f"""WITH {V.CORPUS},
+v2 AS (SELECT *, {cred} AS credibility FROM corpus
+       WHERE coalesce(verified_purchase, false) AND length(coalesce(text, '')) >= 30)"""
+
+
+@register("credibility_open", _v2_sql() + "\nSELECT CAST(pos AS VARCHAR) AS review_id, round(credibility, 6) AS credibility FROM v2")
+def q_credibility_open(spark, sf):
+    return _v2_rows(spark, sf).select(F.col("pos").cast("string").alias("review_id"),
+                                      F.round("credibility", 6).alias("credibility"))
+
+
+@register("product_stats_rows", _v2_sql() + """
+SELECT parent_asin, round(avg(rating), 6) AS avg_rating, count(*) AS review_count,
+       round(avg(credibility), 6) AS credibility_score
+FROM v2 WHERE parent_asin IS NOT NULL GROUP BY ALL HAVING count(*) >= 10""")
+def q_product_stats_rows(spark, sf):
+    s = rp.product_stats_rows(_v2_rows(spark, sf)).where(F.col("review_count") >= 10)
+    return s.select("parent_asin", F.round("avg_rating", 6).alias("avg_rating"), "review_count",
+                    F.round("credibility_score", 6).alias("credibility_score"))
+
+
+# --------------------------------------------------------------------------- 2.7 / 2.8 resume, upsert, caps
+def _stats_sql(mode: str, having: str = "TRUE") -> str:
+    return f"""(SELECT parent_asin, round(avg(rating), 6) AS avg_rating, count(rating) AS review_count,
+        round(avg(credibility_score), 6) AS credibility_score FROM cleaned_{mode}
+        GROUP BY parent_asin HAVING {having})"""
+
+
+def _two_modes_sql() -> str:
+    strict = V.cleaned("strict").replace("cleaned AS (", "cleaned_strict AS (")
+    incl = V.cleaned("inclusive")
+    # reuse the CTE chain twice under different names
+    incl = incl.split("canon AS (", 1)[1]
+    incl = "canon_i AS (" + incl.replace("FROM canon ", "FROM canon_i ").replace(
+        "filtered AS (", "filtered_i AS (").replace("FROM filtered\n", "FROM filtered_i\n").replace(
+        "deduped AS (", "deduped_i AS (").replace("FROM deduped ", "FROM deduped_i ").replace(
+        "cleaned AS (", "cleaned_inclusive AS (")
+    return strict + ",\n" + incl
+
+
+def _stats(spark, sf, mode, min_n=None):
+    s = rp.product_stats(_cleaned(spark, sf, mode))
+    if min_n is not None:
+        s = s.where(F.col("review_count") >= min_n)
+    return s.select("parent_asin", F.round("avg_rating", 6).alias("avg_rating"), "review_count",
+                    F.round("credibility_score", 6).alias("credibility_score"))
+
+
+@register("upsert_keep_last", f"""WITH {_two_modes_sql()},
+ex AS {_stats_sql("strict")}, nw AS {_stats_sql("inclusive", "count(rating) >= 40")}
+SELECT * FROM nw UNION ALL SELECT * FROM ex WHERE parent_asin NOT IN (SELECT parent_asin FROM nw)""")
+def q_upsert(spark, sf):
+    return rp.upsert_keep_last(_stats(spark, sf, "strict"), _stats(spark, sf, "inclusive", 40))
+
+
+@register("union_outputs", f"""WITH {_two_modes_sql()},
+ex AS {_stats_sql("strict")}, nw AS {_stats_sql("inclusive", "count(rating) >= 40")}
+SELECT * FROM ex UNION ALL SELECT * FROM nw""")
+def q_union_outputs(spark, sf):
+    return _stats(spark, sf, "strict").unionByName(_stats(spark, sf, "inclusive", 40))
+
+
+@register("resume_anti_join", f"""WITH {_two_modes_sql()},
+done AS {_stats_sql("strict", "count(rating) >= 20")}, todo AS {_stats_sql("inclusive")}
+SELECT * FROM todo WHERE CAST(parent_asin AS VARCHAR) NOT IN (SELECT CAST(parent_asin AS VARCHAR) FROM done)""")
+def q_resume(spark, sf):
+    return rp.resume_anti_join(_stats(spark, sf, "inclusive"), _stats(spark, sf, "strict", 20))
+
+
+@register("cap_rows", f"""WITH {V.cleaned("inclusive")}
+SELECT * FROM {_stats_sql("inclusive").replace("cleaned_inclusive", "cleaned")} ORDER BY parent_asin LIMIT 10""")
+def q_cap_rows(spark, sf):
+    return _stats(spark, sf, "inclusive").orderBy("parent_asin").limit(10)
+
+
+@register("product_lookup", f"""WITH {V.cleaned("inclusive")}
+SELECT * FROM {_stats_sql("inclusive").replace("cleaned_inclusive", "cleaned")} WHERE parent_asin = 'src3'""")
+def q_product_lookup(spark, sf):
+    return _stats(spark, sf, "inclusive").where(F.col("parent_asin") == "src3")
+
+
+@register("compact_report", RS.report_sql(min_reviews=20, mode="strict").replace(
+    "SELECT g.parent_asin, round(g.avg_rating, 3) AS avg_rating,",
+    "SELECT parent_asin, avg_rating, review_count, credibility_score, themes_pct FROM (\n"
+    "SELECT g.parent_asin, round(g.avg_rating, 3) AS avg_rating,") + ")")
+def q_compact_report(spark, sf):
+    return q_credibility_report(spark, sf).select(
+        "parent_asin", "avg_rating", "review_count", "credibility_score", "themes_pct")
+
+
+# --------------------------------------------------------------------------- user dictionaries
+from opinio.dictionaries import THEMES_FUNCTION_WORDS as _FW  # noqa: E402
+
+
+@register("theme_counts_user_dictionary", f"""WITH {V.cleaned("inclusive")},
+th(word, theme, theme_idx) AS (VALUES {_RS.theme_values(_FW)}),
+tk AS (SELECT parent_asin, unnest({V.tokens("clean_text")}) AS t FROM cleaned)
+SELECT parent_asin, theme, theme_idx, count(*) AS n FROM tk JOIN th ON tk.t = th.word GROUP BY ALL""")
+def q_theme_counts_user(spark, sf):
+    return th.corpus_theme_counts(_cleaned(spark, sf, "inclusive"), "parent_asin", "clean_text",
+                                  themes=_FW)
+
+
+@register("credibility_report_user_dictionary", RS.report_sql(min_reviews=20, mode="strict", themes=_FW))
+def q_credibility_report_user(spark, sf):
+    return rp.credibility_report(_cleaned(spark, sf, "strict"), min_reviews=20, filter_mode="strict",
+                                 themes=_FW)

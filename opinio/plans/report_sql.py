@@ -5,8 +5,8 @@ from opinio.operators.themes import keyword_weights
 from opinio.plans import views as V
 
 
-def weights_values() -> str:
-    kw = keyword_weights()
+def weights_values(themes=THEMES_GEN1) -> str:
+    kw = keyword_weights(themes)
     pos, neg = set(POSITIVE_WORDS), set(NEGATIVE_WORDS)
     return sql_values([(w, kw[w], int(w in pos), int(w in neg)) for w in sorted(kw)])
 
@@ -29,12 +29,12 @@ tstr AS (SELECT {key},
   FROM tot GROUP BY {key})"""
 
 
-def sentence_score_ctes(src: str, key: str, text: str) -> str:
+def sentence_score_ctes(src: str, key: str, text: str, themes=THEMES_GEN1) -> str:
     """From src(key, text) build sc(key, i, s, score, pos_score, neg_score, wc)."""
     return f"""sl AS (SELECT {key}, list_filter({V.sentences(text)}, lambda x: length(x) > 10)[1:800] AS arr
        FROM {src}),
 sents AS (SELECT {key}, unnest(arr) AS s, generate_subscripts(arr, 1) - 1 AS i FROM sl),
-w(word, kw, pw, nw) AS (VALUES {weights_values()}),
+w(word, kw, pw, nw) AS (VALUES {weights_values(themes)}),
 stoks AS (SELECT {key}, i, unnest({V.tokens('s')}) AS t FROM sents),
 hits AS (SELECT {key}, i, sum(kw) AS kw, sum(pw) AS pw, sum(nw) AS nw
          FROM stoks JOIN w ON stoks.t = w.word GROUP BY ALL),
@@ -52,7 +52,8 @@ def summary_agg(max_words: int = 120) -> str:
     return f"array_to_string(list_transform(list_sort(({folded}).picked), lambda x: x.s), ' ')"
 
 
-def report_sql(min_reviews: int = 50, max_chars: int = 4000, mode: str = "strict") -> str:
+def report_sql(min_reviews: int = 50, max_chars: int = 4000, mode: str = "strict",
+               themes=THEMES_GEN1) -> str:
     verified = "verified " if mode == "strict" else ""
     return f"""WITH {V.cleaned(mode)},
 stats AS (SELECT parent_asin, avg(rating) AS avg_rating, count(rating) AS review_count,
@@ -61,14 +62,14 @@ texts AS (SELECT parent_asin, substr(string_agg(clean_text, ' ' ORDER BY pos), 1
           FROM cleaned GROUP BY parent_asin),
 g AS (SELECT s.*, t.agg_text FROM stats s LEFT JOIN texts t ON s.parent_asin IS NOT DISTINCT FROM t.parent_asin
       WHERE s.review_count >= {min_reviews}),
-{sentence_score_ctes('g', 'parent_asin', 'agg_text')},
+{sentence_score_ctes('g', 'parent_asin', 'agg_text', themes)},
 ev AS (SELECT parent_asin,
          array_to_string(list(s ORDER BY score DESC, i)[1:3], ' | ') AS evidence,
          array_to_string(list(s ORDER BY pos_score DESC, i)[1:2], ' | ') AS pos_snippets,
          array_to_string(list(s ORDER BY neg_score DESC, i)[1:2], ' | ') AS neg_snippets,
          {summary_agg()} AS summary
        FROM sc GROUP BY parent_asin),
-th(word, theme, theme_idx) AS (VALUES {theme_values()}),
+th(word, theme, theme_idx) AS (VALUES {theme_values(themes)}),
 ttoks AS (SELECT parent_asin, unnest({V.tokens('agg_text')}) AS t FROM g),
 tc AS (SELECT parent_asin, theme, theme_idx, count(*) AS n FROM ttoks JOIN th ON ttoks.t = th.word GROUP BY ALL),
 {theme_strings_ctes('tc', 'parent_asin')}
