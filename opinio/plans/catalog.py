@@ -774,3 +774,14 @@ def q_theme_counts_user(spark, sf):
 def q_credibility_report_user(spark, sf):
     return rp.credibility_report(_cleaned(spark, sf, "strict"), min_reviews=20, filter_mode="strict",
                                  themes=_FW)
+
+
+# --------------------------------------------------------------------------- 2.11 streaming
+@register("stream_review_counts", """
+SELECT CAST(user_id AS VARCHAR) AS product_id, count(DISTINCT event_id) AS new_reviews
+FROM events GROUP BY ALL""")
+def q_stream_review_counts(spark, sf):
+    from opinio.streaming import refresh as st
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # a glob makes the file stream source list the events file itself
+    return st.staged_review_counts(spark, f"{sf}/events.parque[t]", schema)
