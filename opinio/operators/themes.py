@@ -53,17 +53,23 @@ def word_set_hits(col, words) -> Column:
 
 
 def theme_count_array(col, themes=THEMES_GEN1) -> Column:
-    """ARRAY<STRUCT<theme, theme_idx, n>> of whole-word theme hits in one text."""
-    toks = tx.tokens(col)
+    """ARRAY<STRUCT<theme, theme_idx, n>> of whole-word theme hits in one text.
+
+    One pass over the tokens per theme with a word -> multiplicity map (a
+    word listed twice in a theme counts twice, like a sum over the list).
+    The tokens are split once, inside a one-element array, and read by field.
+    """
     items = []
     for idx, (theme, words) in enumerate(themes):
-        lit_words = _words_lit(words)
-        # a word listed twice in one theme counts twice, like a sum over the list
-        n = F.aggregate(lit_words, F.lit(0),
-                        lambda acc, w: acc + F.size(F.filter(toks, lambda t: t == w)))
-        items.append(F.struct(F.lit(theme).alias("theme"), F.lit(idx).alias("theme_idx"),
-                              n.alias("n")))
-    return F.array(*items)
+        mult: dict = {}
+        for w in words:
+            mult[w] = mult.get(w, 0) + 1
+        items.append((theme, idx, mult))
+    holder = F.array(F.struct(tx.tokens(col).alias("t")))
+    per = F.transform(holder, lambda h: F.array(*[
+        F.struct(F.lit(theme).alias("theme"), F.lit(idx).alias("theme_idx"),
+                 weighted_hits(h["t"], mult).alias("n")) for theme, idx, mult in items]))
+    return F.element_at(per, 1)
 
 
 def _capitalize(c: Column) -> Column:
@@ -98,12 +104,15 @@ def scored_sentences(col, themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_W
     kw = keyword_weights(themes, pos, neg)
     pw = {w: 1 for w in set(pos)}
     nw = {w: 1 for w in set(neg)}
-    return F.transform(sents, lambda s, i: F.struct(
-        i.alias("i"), s.alias("s"),
-        weighted_hits(tx.tokens(s), kw).alias("score"),
-        weighted_hits(tx.tokens(s), pw).alias("pos_score"),
-        weighted_hits(tx.tokens(s), nw).alias("neg_score"),
-        tx.word_count(s).alias("wc")))
+    # split each sentence into tokens once, then score from the stored field
+    with_toks = F.transform(sents, lambda s, i: F.struct(i.alias("i"), s.alias("s"),
+                                                         tx.tokens(s).alias("t")))
+    return F.transform(with_toks, lambda x: F.struct(
+        x["i"].alias("i"), x["s"].alias("s"),
+        weighted_hits(x["t"], kw).alias("score"),
+        weighted_hits(x["t"], pw).alias("pos_score"),
+        weighted_hits(x["t"], nw).alias("neg_score"),
+        tx.word_count(x["s"]).alias("wc")))
 
 
 def top_sentences(scored: Column, field: str, k: int) -> Column:

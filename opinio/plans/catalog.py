@@ -785,3 +785,114 @@ def q_stream_review_counts(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     # a glob makes the file stream source list the events file itself
     return st.staged_review_counts(spark, f"{sf}/events.parque[t]", schema)
+
+
+# --------------------------------------------------------------------------- aspects, chunks, misc
+from opinio.operators import aspects as asp  # noqa: E402
+
+
+def _ngrams_sql(t: str, n: int) -> str:
+    return (f"list_transform(range(1, len({t}) - {n} + 2), "
+            f"lambda i: array_to_string({t}[i:i + {n - 1}], ' '))")
+
+
+@register("aspect_mining", f"""WITH {V.REVIEWS},
+tk AS (SELECT product_id, review_id, {V.tokens("text")} AS t FROM reviews),
+g AS (SELECT DISTINCT product_id, review_id, unnest(list_concat({_ngrams_sql("t", 2)}, {_ngrams_sql("t", 3)})) AS aspect
+      FROM tk),
+c AS (SELECT product_id, aspect, count(*) AS review_count FROM g GROUP BY ALL)
+SELECT product_id, aspect, review_count,
+       row_number() OVER (PARTITION BY product_id ORDER BY review_count DESC, aspect) AS rank
+FROM c QUALIFY rank <= 10""")
+def q_aspect_mining(spark, sf):
+    return asp.aspect_mining(tb.reviews(spark, sf)).select("product_id", "aspect", "review_count", "rank")
+
+
+def _chunk_sql(max_tokens: int) -> str:
+    parts = (f"list_filter(string_split(regexp_replace({V.strip('coalesce(text, ' + chr(39) * 2 + ')')}, "
+             f"'([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')")
+    init = "{'cur': '', 'wc': 0::BIGINT, 'done': []::STRUCT(t VARCHAR, wc BIGINT)[]}"
+    wc = V.word_count("s")
+    step = (f"lambda acc, s: CASE WHEN (CASE WHEN acc.cur = '' THEN {wc} ELSE acc.wc + {wc} END) <= {max_tokens} "
+            f"THEN {{'cur': CASE WHEN acc.cur = '' THEN s ELSE acc.cur || ' ' || s END, "
+            f"'wc': CASE WHEN acc.cur = '' THEN {wc} ELSE acc.wc + {wc} END, 'done': acc.done}} "
+            f"ELSE {{'cur': s, 'wc': {wc}, 'done': CASE WHEN acc.cur <> '' THEN "
+            f"list_append(acc.done, {{'t': acc.cur, 'wc': acc.wc}}) ELSE acc.done END}} END")
+    return f"""WITH {V.REVIEWS},
+st AS (SELECT review_id, list_reduce({parts}, {step}, {init}) AS st FROM reviews),
+ch AS (SELECT review_id, CASE WHEN st.cur <> '' THEN list_append(st.done, {{'t': st.cur, 'wc': st.wc}})
+                              ELSE st.done END AS chunks FROM st),
+c1 AS (SELECT review_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS ci FROM ch),
+c2 AS (SELECT review_id, ci, c.t AS t, c.wc AS wc,
+              list_filter(regexp_split_to_array(c.t, '\\s+'), lambda w: w <> '') AS words FROM c1),
+pieces AS (SELECT review_id, ci, 0 AS pi, t FROM c2 WHERE wc <= {max_tokens}
+           UNION ALL
+           SELECT review_id, ci, i AS pi, array_to_string(words[i * {max_tokens} + 1:(i + 1) * {max_tokens}], ' ') AS t
+           FROM c2, LATERAL (SELECT unnest(range(0, CAST(floor((len(words) - 1) / {max_tokens}) AS BIGINT) + 1)) AS i) g
+           WHERE wc > {max_tokens})
+SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY ci, pi) - 1 AS INTEGER) AS chunk_id,
+       t AS chunk FROM pieces"""
+
+
+@register("chunk_by_budget", _chunk_sql(120))
+def q_chunk_by_budget(spark, sf):
+    r = tb.reviews(spark, sf)
+    return r.select("review_id", F.posexplode(asp.chunk_by_budget("text", 120)).alias("chunk_id", "chunk")) \
+        .withColumn("chunk_id", F.col("chunk_id").cast("int"))
+
+
+@register("shortest_review", f"""WITH {V.REVIEWS}
+SELECT product_id, arg_min(review_id, (coalesce(length(text), 0), pos)) AS review_id FROM reviews GROUP BY ALL""")
+def q_shortest_review(spark, sf):
+    r = tb.reviews(spark, sf)
+    return r.groupBy("product_id").agg(F.min_by("review_id", F.struct(
+        F.coalesce(F.length("text"), F.lit(0)), F.col("pos"))).alias("review_id"))
+
+
+@register("sentence_review_join", f"""WITH {V.REVIEWS}, s AS ({V.sentence_rows()}),
+last AS (SELECT product_id, review_id, arg_max(rating, pos) AS rating FROM reviews GROUP BY ALL)
+SELECT s.product_id, s.review_id, s.sentence_id, l.rating FROM s JOIN last l USING (product_id, review_id)""")
+def q_sentence_review_join(spark, sf):
+    r = tb.reviews(spark, sf)
+    last = r.groupBy("product_id", "review_id").agg(F.max_by("rating", "pos").alias("rating"))
+    return split_sentences(r).join(last, ["product_id", "review_id"]).select(
+        "product_id", "review_id", "sentence_id", "rating")
+
+
+@register("restrict_to_selected", f"""WITH {V.REVIEWS}, s AS ({V.sentence_rows()})
+SELECT product_id, count(*) AS n_sentences FROM s
+WHERE (product_id, review_id) IN (SELECT product_id, review_id FROM reviews WHERE verified) GROUP BY ALL""")
+def q_restrict_to_selected(spark, sf):
+    r = tb.reviews(spark, sf)
+    chosen = sel.select_verified(r, True).select("product_id", "review_id")
+    return split_sentences(r).join(chosen, ["product_id", "review_id"], "left_semi") \
+        .groupBy("product_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+@register("corpus_overview", RS.report_sql(min_reviews=20, mode="strict").replace(
+    "SELECT g.parent_asin, round(g.avg_rating, 3) AS avg_rating,",
+    "SELECT count(*) AS n_products, round(avg(avg_rating), 6) AS mean_rating, "
+    "round(avg(credibility_score), 6) AS mean_credibility FROM (\n"
+    "SELECT g.parent_asin, round(g.avg_rating, 3) AS avg_rating,") + ")")
+def q_corpus_overview(spark, sf):
+    r = q_credibility_report(spark, sf)
+    return r.agg(F.count(F.lit(1)).alias("n_products"), F.round(F.avg("avg_rating"), 6).alias("mean_rating"),
+                 F.round(F.avg("credibility_score"), 6).alias("mean_credibility"))
+
+
+@register("applied_filters", f"""WITH {V.REVIEWS},
+a AS (SELECT product_id, count(*) AS n0, count_if(coalesce(verified, false)) AS n1,
+             count_if(coalesce(verified, false) AND coalesce(helpful_votes, 0) <= 0) AS n2
+      FROM reviews GROUP BY ALL)
+SELECT product_id, array_to_string(list_filter(['verified_only', 'exclude_useful'],
+         lambda x: (x = 'verified_only' AND n0 - n1 > 0) OR (x = 'exclude_useful' AND n1 - n2 > 0)), ',') AS applied
+FROM a""")
+def q_applied_filters(spark, sf):
+    r = tb.reviews(spark, sf).withColumn("tokens", tx.estimate_tokens("text"))
+    crit = sel.FilteringCriteria(use_verified=True, use_useful=False)
+    a = sel.select_verified(r, True)
+    b = sel.select_useful(a, False)
+    st = sel.selection_stats(r, a, b, b, "product_id", 4000, crit)
+    names = F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in
+                      ("verified_only", "useful_only", "exclude_verified", "exclude_useful")])
+    return st.select("product_id", F.array_join(F.filter(names, lambda x: x.isNotNull()), ",").alias("applied"))
