@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opinio.schemas import CORPUS_REVIEW, PRODUCT
 
-_WITH_CORRUPT = T.StructType(CORPUS_REVIEW.fields + [T.StructField("_corrupt_record", T.StringType())])
 
 
 def scan_review_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """One JSON object per line -> (good rows, quarantined lines).
 
-    Malformed lines are kept out of the result (the reference skips them)
-    and returned in the quarantine frame instead of vanishing.
+    Malformed lines are dropped from the result (the reference skips them)
+    and returned in the quarantine frame -- the raw lines that do not parse
+    as JSON -- instead of vanishing.
     """
-    raw = (spark.read.schema(_WITH_CORRUPT).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .withColumn("_file", F.col("_metadata.file_name")))
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
+    good = (spark.read.schema(CORPUS_REVIEW).option("mode", "DROPMALFORMED").json(path)
+            .withColumn("_file", F.col("_metadata.file_name")))
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name"))
+    bad = lines.where((F.trim(F.col("value")) != "")
+                      & F.get_json_object(F.col("value"), "$").isNull()).select("_file", "value")
     return good, bad
 
 

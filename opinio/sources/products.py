@@ -72,7 +72,7 @@ def validate_products(spark: SparkSession, path: str) -> DataFrame:
     Key presence needs the raw text, so files are read whole; only the first
     review's fields are checked and an empty review list is valid.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
            .withColumn("file_name", F.col("_metadata.file_name")))
     _require_files(raw, path)
     keys = F.json_object_keys(F.col("value"))
