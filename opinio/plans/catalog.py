@@ -896,3 +896,49 @@ def q_applied_filters(spark, sf):
     names = F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in
                       ("verified_only", "useful_only", "exclude_verified", "exclude_useful")])
     return st.select("product_id", F.array_join(F.filter(names, lambda x: x.isNotNull()), ",").alias("applied"))
+
+
+# --------------------------------------------------------------------------- small projections / filters
+@register("coerce_numeric", f"""WITH {V.cleaned("inclusive")}
+SELECT parent_asin, CAST(pos AS VARCHAR) AS review_id, rating, verified, helpful_vote FROM canon""")
+def q_coerce_numeric(spark, sf):
+    c = cl.canonicalize_corpus(tb.corpus_reviews(spark, sf))
+    return c.select("parent_asin", F.col("pos").cast("string").alias("review_id"), "rating", "verified",
+                    "helpful_vote")
+
+
+@register("preview", f"""WITH {V.REVIEWS}
+SELECT product_id, review_id, pos FROM reviews ORDER BY pos LIMIT 2""")
+def q_preview(spark, sf):
+    return tb.reviews(spark, sf).select("product_id", "review_id", "pos").orderBy("pos").limit(2)
+
+
+@register("min_length", f"""WITH {V.cleaned("inclusive")}
+SELECT parent_asin, count_if(length(review_text) > 30) AS longer_than_30,
+       count_if(length(coalesce(review_text, '')) >= 30) AS at_least_30 FROM canon GROUP BY ALL""")
+def q_min_length(spark, sf):
+    c = cl.canonicalize_corpus(tb.corpus_reviews(spark, sf))
+    a = cl.min_length(c, "review_text", 30).groupBy("parent_asin").agg(F.count(F.lit(1)).alias("longer_than_30"))
+    b = cl.min_length(c, "review_text", 30, inclusive=True).groupBy("parent_asin").agg(
+        F.count(F.lit(1)).alias("at_least_30"))
+    keys = c.select("parent_asin").distinct()
+    return keys.join(a, "parent_asin", "left").join(b, "parent_asin", "left").select(
+        "parent_asin", F.coalesce("longer_than_30", F.lit(0)).alias("longer_than_30"),
+        F.coalesce("at_least_30", F.lit(0)).alias("at_least_30"))
+
+
+@register("truncate_text", f"""WITH {V.REVIEWS}
+SELECT review_id, substr(coalesce(text, ''), 1, 3000) AS model_input FROM reviews""")
+def q_truncate_text(spark, sf):
+    r = tb.reviews(spark, sf)
+    return r.select("review_id", tx.truncate_text(F.coalesce(F.col("text"), F.lit("")), 3000).alias("model_input"))
+
+
+@register("unpack_evidence", _per_review_sentences_sql() + """,
+ev AS (SELECT review_id, array_to_string(list(s ORDER BY score DESC, i)[1:3], ' | ') AS evidence FROM sc GROUP BY ALL)
+SELECT r.review_id, len(list_filter(list_transform(string_split(coalesce(evidence, ''), '|'),
+         lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')) AS n_parts
+FROM reviews r LEFT JOIN ev USING (review_id)""")
+def q_unpack_evidence(spark, sf):
+    rep = q_representative_sentences(spark, sf)
+    return rep.select("review_id", F.size(tx.unpack_evidence("evidence")).alias("n_parts"))
