@@ -59,3 +59,31 @@ def index_staleness(cached_sentences: DataFrame, reviews: DataFrame, key: str =
     out = a.join(b, key, "full_outer").fillna(0, ["cached_reviews", "current_reviews"])
     stale = ~(F.col("cached_reviews") == F.col("current_reviews"))
     return out.withColumn("stale", stale)
+
+
+def review_overview(reviews: DataFrame, key: str = "product_id") -> DataFrame:
+    """Flagship: per-product review overview plus sentence sentiment counts.
+
+    Sentences are split and labelled inside each review row (no explode), so
+    the whole report is one scan and one partial aggregation per product.
+    """
+    from opinio.operators.sentences import lexicon_label
+    has = ((F.coalesce(F.col("review_id"), F.lit("")) != "")
+           & (F.coalesce(F.col("text"), F.lit("")) != ""))
+    sents = F.when(has, tx.sentence_array("text")).otherwise(F.array().cast("array<string>"))
+    labels = F.transform(sents, lambda s: lexicon_label(s))
+    per = reviews.select(
+        F.col(key), F.col("rating"), F.col("helpful_votes"), F.col("text"),
+        F.size(labels).alias("_n"),
+        F.size(F.filter(labels, lambda x: x == "positive")).alias("_p"),
+        F.size(F.filter(labels, lambda x: x == "negative")).alias("_g"),
+        F.size(F.filter(labels, lambda x: x == "neutral")).alias("_u"))
+    return per.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_reviews"),
+        (F.sum(F.coalesce(F.col("rating"), F.lit(0.0))) / F.count(F.lit(1))).alias("avg_rating"),
+        F.count_if(F.coalesce(F.col("helpful_votes"), F.lit(0)) > 0).alias("helpful_reviews"),
+        F.sum(tx.estimate_tokens("text")).alias("total_tokens"),
+        F.sum("_n").cast("long").alias("n_sentences"),
+        F.sum("_p").cast("long").alias("positive_sentences"),
+        F.sum("_g").cast("long").alias("negative_sentences"),
+        F.sum("_u").cast("long").alias("neutral_sentences"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions import text as tx
 from opinio.operators import themes as th
+from opinio.session import allow_group_limit
 from opinio.schemas import SUMMARY_COLUMNS
 
 
@@ -26,6 +27,7 @@ def ordered_text_prefix(df: DataFrame, key: str, text_col: str, order_col: str,
     is a window group limit, which Spark applies map-side before the shuffle.
     """
     n = max_chars + 1
+    allow_group_limit(df.sparkSession, n)
     w = Window.partitionBy(key).orderBy(F.col(order_col))
     head = (df.select(F.col(key), F.col(order_col),
                       F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, max_chars).alias("_t"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as tx
-from opinio.session import materialize
+from opinio.session import allow_group_limit, materialize
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def _fold(items, budget):
 
 
 def select_under_budget(df: DataFrame, key: str, id_col: str, score_col: str, order_col: str,
-                        tokens_col: str, limit: float, k: int = 2048,
+                        tokens_col: str, limit: float, k: int = 1000,
                         checkpoint: bool = True) -> DataFrame:
     """Rows of ``df`` chosen greedily by (score desc, order asc) under ``limit``.
 
@@ -71,6 +71,7 @@ def select_under_budget(df: DataFrame, key: str, id_col: str, score_col: str, or
     products where nothing was chosen is applied by the caller.
     """
     limit = float(limit)
+    allow_group_limit(df.sparkSession, k)
     cand = (df.select(F.col(key).alias("_k"), F.col(id_col).cast("string").alias("_id"),
                       F.col(score_col).alias("_s"), F.col(order_col).alias("_o"),
                       F.col(tokens_col).cast("double").alias("_t"))
@@ -93,7 +94,9 @@ def select_under_budget(df: DataFrame, key: str, id_col: str, score_col: str, or
             state = materialize(state)
         picked_parts.append(state.select(F.col("_k").alias(key), F.col("_ids"), F.lit(rnd).alias("_round")))
         # carry the rest forward: after the first k, only items that still fit
-        rest = (cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") > k)
+        # everything after the first k: an anti-join on the unique id (a
+        # "row_number > k" filter could not be group-limited)
+        rest = (cand.join(top.select("_k", "_id"), ["_k", "_id"], "left_anti")
                 .join(state.select("_k", "_rem1"), "_k")
                 .where(F.col("_t") <= F.col("_rem1"))
                 .select("_k", "_id", "_s", "_o", "_t", F.col("_rem1").alias("_rem")))

@@ -506,15 +506,10 @@ SELECT ov.*, coalesce(sc.n_sentences, 0) AS n_sentences,
        coalesce(sc.neutral_sentences, 0) AS neutral_sentences
 FROM ov LEFT JOIN sc USING (product_id)""")
 def q_review_overview(spark, sf):
-    r = tb.reviews(spark, sf)
-    s = se.split_sentences(r).withColumn("sentiment", se.lexicon_label("text"))
-    ov = ag.product_overview(r)
-    sc = ag.sentiment_counts(s)
-    out = ov.join(sc, "product_id", "left")
+    out = ag.review_overview(tb.reviews(spark, sf))
     return out.select("product_id", "n_reviews", F.round("avg_rating", 6).alias("avg_rating"),
                       "helpful_reviews", F.round("total_tokens", 6).alias("total_tokens"),
-                      *[F.coalesce(c, F.lit(0)).alias(c) for c in
-                        ("n_sentences", "positive_sentences", "negative_sentences", "neutral_sentences")])
+                      "n_sentences", "positive_sentences", "negative_sentences", "neutral_sentences")
 
 
 FLAGSHIP = "review_overview"

@@ -71,3 +71,16 @@ def spread(df):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def allow_group_limit(spark, n: int) -> None:
+    """Let ``row_number() <= n`` plan as a map-side WindowGroupLimit.
+
+    Spark only inserts the group limit below
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default);
+    without it a top-n window sorts each whole partition key in one task.
+    """
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    cur = int(spark.conf.get(key, "1000"))
+    if cur < n:
+        spark.conf.set(key, str(n))
