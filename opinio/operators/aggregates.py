@@ -67,17 +67,26 @@ def review_overview(reviews: DataFrame, key: str = "product_id") -> DataFrame:
     Sentences are split and labelled inside each review row (no explode), so
     the whole report is one scan and one partial aggregation per product.
     """
-    from opinio.operators.sentences import lexicon_label
+    from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS
+    from opinio.operators.themes import weighted_hits
     has = ((F.coalesce(F.col("review_id"), F.lit("")) != "")
            & (F.coalesce(F.col("text"), F.lit("")) != ""))
     sents = F.when(has, tx.sentence_array("text")).otherwise(F.array().cast("array<string>"))
-    labels = F.transform(sents, lambda s: lexicon_label(s))
-    per = reviews.select(
+    pw = {w: 1 for w in set(POSITIVE_WORDS)}
+    nw = {w: 1 for w in set(NEGATIVE_WORDS)}
+    # one token split per sentence; the label is the sign of positive - negative hits
+    toks = F.transform(sents, lambda s: tx.tokens(s))
+    labels = F.transform(toks, lambda t: F.signum(weighted_hits(t, pw) - weighted_hits(t, nw)).cast("int"))
+    # the label array is its own column, so the four counts read it instead of
+    # recomputing it (no common-subexpression elimination across lambdas)
+    lab = reviews.select(F.col(key), F.col("rating"), F.col("helpful_votes"), F.col("text"),
+                         labels.alias("_lab"))
+    per = lab.select(
         F.col(key), F.col("rating"), F.col("helpful_votes"), F.col("text"),
-        F.size(labels).alias("_n"),
-        F.size(F.filter(labels, lambda x: x == "positive")).alias("_p"),
-        F.size(F.filter(labels, lambda x: x == "negative")).alias("_g"),
-        F.size(F.filter(labels, lambda x: x == "neutral")).alias("_u"))
+        F.size("_lab").alias("_n"),
+        F.size(F.filter("_lab", lambda x: x == 1)).alias("_p"),
+        F.size(F.filter("_lab", lambda x: x == -1)).alias("_g"),
+        F.size(F.filter("_lab", lambda x: x == 0)).alias("_u"))
     return per.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_reviews"),
         (F.sum(F.coalesce(F.col("rating"), F.lit(0.0))) / F.count(F.lit(1))).alias("avg_rating"),
