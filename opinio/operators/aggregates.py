@@ -46,13 +46,12 @@ def rating_distribution(reviews: DataFrame, key: str = "product_id") -> DataFram
                     (F.col("count") / F.col("_n")).alias("proportion")))
 
 
-def index_staleness(cached_sentences: DataFrame, reviews: DataFrame, key: str = "product_id",
-                    with_content_hash: bool = False) -> DataFrame:
+def index_staleness(cached_sentences: DataFrame, reviews: DataFrame, key: str = "product_id") -> DataFrame:
     """Per product: is the cached sentence index stale?
 
     Stale when the distinct review count differs (a product missing on
-    either side counts as 0).  Optionally also compares an order-independent
-    content hash of (review_id, text).
+    either side counts as 0).  Like the reference, a changed text with an
+    unchanged count is not detected.
     """
     a = cached_sentences.groupBy(key).agg(F.countDistinct("review_id").alias("cached_reviews"))
     b = reviews.groupBy(key).agg(F.countDistinct("review_id").alias("current_reviews"))
