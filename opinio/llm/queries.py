@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from opinio.llm import mixing
+from opinio.llm import licenses, mixing, quality
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op6_source_mix": mixing.op6_source_mix,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
+    "op2_license_scan": licenses.ORACLE,
     "op6_source_mix": mixing.ORACLE,
 }
