@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from opinio.llm import licenses, mixing, quality, toxicity, urls
+from opinio.llm import licenses, mixing, ngram_join, quality, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op6_source_mix": mixing.op6_source_mix,
     "op9_url_filter": urls.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
