@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from opinio.llm import licenses, mixing, ngram_join, pieces, quality, toxicity, urls
+from opinio.llm import licenses, mixing, ngram_join, pieces, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_sentence_pieces": pieces.op5_sentence_pieces,
     "op6_source_mix": mixing.op6_source_mix,
     "op9_url_filter": urls.op9_url_filter,
