@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opinio.llm import licenses, mixing, ngram_join, pieces, pii, quality, suffix_dedup, toxicity, urls
+from opinio.llm import hnsw, licenses, mixing, ngram_join, pieces, pii, quality, suffix_dedup, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sentence_pieces": pieces.op5_sentence_pieces,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_embedding_dedup": hnsw.op8_embedding_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
 }
