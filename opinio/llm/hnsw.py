@@ -51,6 +51,7 @@ class Graph:
         top = int(level.max()) if n else -1
         for k in range(top + 1):
             self.layers.append(np.full((n, NEIGHBOURS * (2 if k == 0 else 1)), -1, np.int32))
+        self.incoming = [np.zeros(n, np.int32) for _ in self.layers]    # links to each node
         self.entry = -1
         self.height = -1
         order = draw.permutation(n)
@@ -145,10 +146,19 @@ class Graph:
                 self._set(layer, other, np.append(theirs, node))
 
     def _set(self, layer: int, node: int, nodes: np.ndarray) -> None:
-        table_ = self.layers[layer]
+        """New neighbours of a node.  A full list gives way by choice, but never
+        drops the last link that leads to some node."""
+        table_, incoming = self.layers[layer], self.incoming[layer]
         most = table_.shape[1]
+        old = table_[node]
+        incoming[old[old >= 0]] -= 1
         if len(nodes) > most:
-            nodes = self._choose(node, nodes, self.v[nodes] @ self.v[node], most)
+            only = nodes[incoming[nodes] == 0][:most]
+            chosen = self._choose(node, nodes, self.v[nodes] @ self.v[node], most)
+            if len(only):
+                chosen = np.concatenate([only, chosen[~np.isin(chosen, only)]])[:most]
+            nodes = chosen
+        incoming[nodes] += 1
         table_[node] = -1
         table_[node, :len(nodes)] = nodes
 
