@@ -60,6 +60,17 @@ class Graph:
             part = order[at:at + max(1, min(STEP_ROWS, at))]
             self._insert(part)
             at += len(part)
+        self.both_ways()
+
+    def both_ways(self) -> None:
+        """The bottom layer's links in both directions, as one list with a range a node."""
+        n = len(self.v)
+        table_ = self.layers[0] if self.layers else np.zeros((0, 1), np.int32)
+        a, k = np.nonzero(table_ >= 0)
+        b = table_[a, k].astype(np.int64)
+        pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+        self.ends = (pairs % n).astype(np.int32) if n else pairs
+        self.range = np.searchsorted(pairs // max(n, 1), np.arange(n + 1))
 
     def _near(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Cosine of each query with its row of nodes (-1: none)."""
@@ -191,9 +202,10 @@ class Graph:
         seen[found] = True
         out = [found]
         while len(found):
-            near = np.unique(self.layers[0][found])
-            near = near[near >= 0]
-            near = near[~seen[near]]
+            first, size = self.range[found], self.range[found + 1] - self.range[found]
+            stop = np.cumsum(size)
+            near = self.ends[np.arange(stop[-1]) + np.repeat(first - (stop - size), size)]
+            near = np.unique(near[~seen[near]]).astype(np.int64)
             seen[near] = True
             found = near[self.v[near] @ query >= least]
             out.append(found)
@@ -240,6 +252,7 @@ def _search(stored: dict, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray
     """Verified links (query place, node) of a block in a shard, audited recall, final beam."""
     g = Graph.__new__(Graph)
     g.v, g.layers, g.entry, g.height = stored["v"].astype(np.float32), stored["layers"], stored["entry"], stored["height"]
+    g.both_ways()
     exact = stored["v"]
     draw = np.random.default_rng(SEED)
     audit = draw.permutation(len(ids))[:AUDIT_QUERIES]
