@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from opinio.llm import hnsw, licenses, mixing, ngram_join, pieces, pii, quality, suffix_dedup, toxicity, urls
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_embedding_dedup": hnsw.op8_embedding_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_quality_rules": quality.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
