@@ -38,7 +38,8 @@ REPEAT = 3                  # a window repeats its word so that short words comp
 LEVEL = 3
 MIN_CONTEXTS = 4            # a segment must follow this many different words in toxic text
 FLAG = 0.7
-MEMO = 400_000              # words remembered by a worker (only to save time)
+MEMO = 250_000              # words remembered by a worker (only to save time)
+SLICE = 200                 # texts whose words a worker holds at a time
 _WORD = re.compile(r"[^\W\d_]{1,48}")
 
 
@@ -74,6 +75,8 @@ class _Scorer:
         self.weights: dict[str, float] = {}
 
     def cells(self, words: list[str]) -> list[tuple[int, int, int]]:
+        if not words:
+            return []
         raw = [((" " + w) * REPEAT + " ").encode() for w in words]
         sizes = np.array([len(x) for x in raw], dtype=np.uint64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
@@ -84,19 +87,20 @@ class _Scorer:
         return [(min(len(w.encode()), 30), x - y, y) for w, x, y in zip(words, a, b)]
 
     def evidence(self, texts: list[str]) -> list[float]:
-        found = [_WORD.findall(t.lower()) for t in texts]
-        if len(self.known) > MEMO:
-            self.known, self.weights = set(), {}
-        new = sorted(set().union(*map(set, found)) - self.known) if found else []
-        for i in range(0, len(new), 50_000):
-            part = new[i:i + 50_000]
-            for w, cell in zip(part, self.cells(part)):
+        out: list[float] = []
+        for i in range(0, len(texts), SLICE):
+            found = [_WORD.findall(t.lower()) for t in texts[i:i + SLICE]]
+            if len(self.known) > MEMO:
+                self.known, self.weights = set(), {}
+            new = sorted(set().union(*map(set, found)) - self.known)
+            for w, cell in zip(new, self.cells(new)):
                 weight = self.model.cells.get(cell)
                 if weight is not None:
                     self.weights[w] = weight
-        self.known.update(new)
-        hit = self.weights
-        return [math.fsum(hit[w] for w in ws if w in hit) for ws in found]
+            self.known.update(new)
+            hit = self.weights
+            out += [math.fsum(hit[w] for w in ws if w in hit) for ws in found]
+        return out
 
 
 def _cell_odds(counts: pd.DataFrame) -> dict:
@@ -164,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer, memo = _Scorer(model), {}
-        for b in batches:
+        for b in (x.iloc[i:i + SLICE] for x in batches for i in range(0, len(x), SLICE)):
             found = [_WORD.findall(t.lower()) for t in b["text"]]
             new = sorted(set().union(*map(set, found)) - memo.keys()) if found else []
             memo.update(zip(new, scorer.cells(new)))
