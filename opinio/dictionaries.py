@@ -61,6 +61,10 @@ THEMES_FUNCTION_WORDS = [
     ("pronoun", ["it", "this", "that", "he", "she", "they", "er", "es"]),
 ]
 
+# Word lists that occur in the driver documents, as a user's own sentiment lists.
+POSITIVE_FUNCTION_WORDS = ["and", "of", "und", "la", "que"]
+NEGATIVE_FUNCTION_WORDS = ["in", "to", "die", "le", "de"]
+
 DICTIONARY_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType(), False),      # theme | pos | neg | spam
     T.StructField("theme", T.StringType(), True),

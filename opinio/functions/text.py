@@ -14,9 +14,13 @@ from opinio.dictionaries import PERSONAL_WORDS
 # Non-word characters: Unicode letters, digits and '_' are word characters,
 # which is what Python's Unicode-aware \W excludes.  Java's \W is ASCII-only.
 NON_WORD = r"[^\p{L}\p{N}_]+"
-# Whitespace.  Java's \s is [ \t\n\x0B\f\r].
-WS = r"\s"
-SENTENCE_BREAK = r"(?<=[.!?])\s+"
+# White space as Unicode has it (no-break, ideographic, ... included): Java's \s is
+# ASCII-only.  The same text is valid in the SQL of the oracles.
+WS = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+STUTTER = (rf"(?<![\p{{L}}\p{{N}}_])([\p{{L}}\p{{N}}_]+{WS}+[\p{{L}}\p{{N}}_]+)"
+           rf"{WS}+\1(?![\p{{L}}\p{{N}}_])")
+SENTENCE_BREAK = rf"(?<=[.!?]){WS}+"
 
 
 def _c(col) -> Column:
@@ -25,7 +29,7 @@ def _c(col) -> Column:
 
 def strip(col) -> Column:
     """Python ``str.strip()``: leading/trailing whitespace (not only U+0020)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(col), rf"^{WS}+|{WS}+$", "")
 
 
 def estimate_tokens(col, tokens_per_char: float = 0.25) -> Column:
@@ -57,7 +61,7 @@ def strip_personal(col, words=PERSONAL_WORDS) -> Column:
 
 def strip_stutter(col) -> Column:
     """Collapse an immediately repeated word pair ("a b a b" -> "a b")."""
-    return F.regexp_replace(_c(col), r"\b(\w+\s+\w+)\s+\1\b", "$1")
+    return F.regexp_replace(_c(col), STUTTER, "$1")
 
 
 def truncate_text(col, n: int) -> Column:
@@ -66,7 +70,7 @@ def truncate_text(col, n: int) -> Column:
 
 def word_count(col) -> Column:
     """len(text.split()): whitespace-separated tokens, empty -> 0."""
-    parts = F.split(F.coalesce(_c(col), F.lit("")), r"\s+")
+    parts = F.split(F.coalesce(_c(col), F.lit("")), WS + "+")
     return F.size(F.filter(parts, lambda w: w != F.lit("")))
 
 
@@ -91,10 +95,9 @@ def sentence_array(col) -> Column:
     return F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != F.lit(""))
 
 
-def long_sentence_array(col, min_len: int = 10, max_sentences: int = 800) -> Column:
-    """Sentences longer than ``min_len`` characters, first ``max_sentences``."""
-    kept = F.filter(sentence_array(col), lambda s: F.length(s) > F.lit(min_len))
-    return F.slice(kept, 1, max_sentences)
+def long_sentence_array(col, min_len: int = 10) -> Column:
+    """Sentences longer than ``min_len`` characters."""
+    return F.filter(sentence_array(col), lambda s: F.length(s) > F.lit(min_len))
 
 
 def contains_any(col, phrases) -> Column:

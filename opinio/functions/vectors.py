@@ -30,9 +30,11 @@ def norm(v) -> Column:
 
 def l2_normalize(v) -> Column:
     """Unit vector; a zero vector stays zero (its norm is taken as 1)."""
-    n = norm(v)
-    safe = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(_c(v), lambda x: x.cast("double") / safe)
+    def scaled(n):
+        safe = F.when(n == 0, F.lit(1.0)).otherwise(n)
+        return F.transform(_c(v), lambda x: x.cast("double") / safe)
+    # the norm is computed once and handed on as a lambda variable
+    return F.when(_c(v).isNotNull(), F.transform(F.array(norm(v)), scaled)[0])
 
 
 def cosine(a, b) -> Column:
@@ -40,10 +42,6 @@ def cosine(a, b) -> Column:
     return dot(l2_normalize(a), l2_normalize(b))
 
 
-def zeros(dim) -> Column:
-    return F.array_repeat(F.lit(0.0), dim)
-
-
 def mean_vector(v) -> Column:
     """Aggregate: element-wise mean of ARRAY vectors (as ARRAY<DOUBLE>)."""
     return vector_to_array(Summarizer.mean(array_to_vector(_c(v))))

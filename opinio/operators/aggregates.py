@@ -9,24 +9,6 @@ from pyspark.sql import functions as F
 from opinio.functions import text as tx
 
 
-def product_overview(reviews: DataFrame, key: str = "product_id") -> DataFrame:
-    """Review count, mean rating with missing counted as 0, helpful>0 count."""
-    return reviews.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_reviews"),
-        (F.sum(F.coalesce(F.col("rating"), F.lit(0.0))) / F.count(F.lit(1))).alias("avg_rating"),
-        F.count_if(F.coalesce(F.col("helpful_votes"), F.lit(0)) > 0).alias("helpful_reviews"),
-        F.sum(tx.estimate_tokens("text")).alias("total_tokens"))
-
-
-def sentiment_counts(sentences: DataFrame, key: str = "product_id") -> DataFrame:
-    s = F.lower(F.coalesce(F.col("sentiment"), F.lit("neutral")))
-    return sentences.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_sentences"),
-        F.count_if(s == "positive").alias("positive_sentences"),
-        F.count_if(s == "negative").alias("negative_sentences"),
-        F.count_if(s == "neutral").alias("neutral_sentences"))
-
-
 def total_reviews(reviews: DataFrame, key: str = "product_id") -> DataFrame:
     return reviews.groupBy(key).agg(F.countDistinct("review_id").alias("total_reviews"))
 

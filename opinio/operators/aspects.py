@@ -16,7 +16,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def aspect_mining(reviews: DataFrame, key: str = "product_id", text_col: str = "text",
-                  sizes=(2, 3), top_k: int = 10) -> DataFrame:
+                  sizes=(1, 2, 3, 4, 5), top_k: int = 10) -> DataFrame:
     """Top n-grams per product by the number of distinct reviews using them.
 
     Each review contributes a distinct set (row-local), counts are combined

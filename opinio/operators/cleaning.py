@@ -19,25 +19,21 @@ def canonicalize_corpus(df: DataFrame) -> DataFrame:
     """Coerce a corpus-shaped frame (M12) to typed columns.
 
     rating -> DOUBLE (bad -> null); helpful_vote -> DOUBLE (bad/null/absent
-    -> 0); verified from ``verified_purchase`` else ``verified`` (null ->
-    false), or true when neither column exists (decided at plan time).
+    -> 0); verified likewise (null -> false), or true when neither spelling of
+    the column exists.  Where both spellings are there the first value counts.
     Adds ``review_text`` = strip(title + '. ' + text).
     """
     cols = set(df.columns)
-    rating = (F.expr("try_cast(rating AS DOUBLE)") if "rating" in cols
-              else F.lit(None).cast("double"))
-    if "helpful_vote" in cols:
-        votes = F.coalesce(F.expr("try_cast(helpful_vote AS DOUBLE)"), F.lit(0.0))
-    elif "helpful_votes" in cols:
-        votes = F.coalesce(F.expr("try_cast(helpful_votes AS DOUBLE)"), F.lit(0.0))
-    else:
-        votes = F.lit(0.0)
-    if "verified_purchase" in cols:
-        verified = F.coalesce(F.col("verified_purchase").cast("boolean"), F.lit(False))
-    elif "verified" in cols:
-        verified = F.coalesce(F.col("verified").cast("boolean"), F.lit(False))
-    else:
-        verified = F.lit(True)
+    def first_value(kind: str, *names: str):
+        found = [F.expr(f"try_cast(`{c}` AS {kind})") for c in names if c in cols]
+        return F.coalesce(*found) if found else None
+
+    rating = first_value("DOUBLE", "rating")
+    rating = F.lit(None).cast("double") if rating is None else rating
+    votes = first_value("DOUBLE", "helpful_vote", "helpful_votes")
+    votes = F.lit(0.0) if votes is None else F.coalesce(votes, F.lit(0.0))
+    verified = first_value("BOOLEAN", "verified_purchase", "verified")
+    verified = F.lit(True) if verified is None else F.coalesce(verified, F.lit(False))
     title = F.col("title") if "title" in cols else F.lit(None).cast("string")
     return df.withColumns({
         "rating": rating,
@@ -66,15 +62,14 @@ def dedupe_keep_first(df: DataFrame, text_col: str = "review_text",
                       order_col: str = "pos") -> DataFrame:
     """One row per normalised text key: the first in file order.
 
-    Written as ``min_by`` aggregation, which combines map-side, so a key
-    that holds a third of all rows is reduced before the shuffle instead of
-    being sorted in one task as a ``row_number`` window would be.
+    Keys are compared by their SHA-256 and the smallest ``order_col`` is found
+    by a grouped minimum on fixed-width columns, combined before the shuffle;
+    the winners' rows then come by a semi-join.  ``order_col`` names a row.
     """
-    cols = df.columns
-    keyed = df.withColumn("_dup_key", tx.normalize_dup_key(text_col))
-    first = keyed.groupBy("_dup_key").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_row"))
-    return first.select("_row.*")
+    keyed = df.withColumn("_dup_key", F.sha2(tx.normalize_dup_key(text_col), 256))
+    first = keyed.groupBy(F.col("_dup_key").alias("_key")).agg(F.min(order_col).alias("_first"))
+    won = F.col("_dup_key").eqNullSafe(F.col("_key")) & (F.col(order_col) == F.col("_first"))
+    return keyed.join(first, won, "leftsemi").drop("_dup_key")
 
 
 def strict_mode(df: DataFrame, mode: str = "strict") -> DataFrame:

@@ -82,7 +82,8 @@ def entity_names(col) -> Column:
     text) -> ARRAY<STRING>; falsy names dropped, duplicates and order kept."""
     c = F.col(col) if isinstance(col, str) else col
     arr = F.from_json(c, T.ArrayType(T.StringType()))
-    names = F.transform(arr, lambda e: F.coalesce(F.get_json_object(e, "$.entity"), e))
+    # an object gives its entity (none: dropped), a string itself
+    names = F.transform(arr, lambda e: F.when(e.rlike(r"^\s*\{"), F.get_json_object(e, "$.entity")).otherwise(e))
     return F.filter(names, lambda n: n.isNotNull() & (n != ""))
 
 

@@ -1,8 +1,9 @@
 """Per-product credibility report (the corpus batch job as one Spark plan).
 
-Shuffles: one for the dedupe key, one for the product (stats, partial
-aggregation) and one bounded top-N for the product text prefix.  Everything
-after that is row-local array code on one bounded row per product.
+The report reads every sentence of every review.  Sentences stay rows
+(product, review position, sentence position): themes are counted by partial
+aggregation, the quoted sentences come from group-limited rankings, and the
+summary from the exact greedy pick, so no product is gathered in one task.
 """
 
 from __future__ import annotations
@@ -10,33 +11,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS
 from opinio.functions import text as tx
 from opinio.operators import themes as th
-from opinio.session import allow_group_limit
+from opinio.operators.selection import select_under_budget
 from opinio.schemas import SUMMARY_COLUMNS
 
 
-def ordered_text_prefix(df: DataFrame, key: str, text_col: str, order_col: str,
-                        max_chars: int, sep: str = " ") -> DataFrame:
-    """First ``max_chars`` characters of the texts of each key joined by ``sep``
-    in ``order_col`` order.
+def report_sentences(cleaned: DataFrame, key: str, text_col: str, themes, pos=POSITIVE_WORDS,
+                     neg=NEGATIVE_WORDS) -> DataFrame:
+    """Every scored sentence: key, at (review position, place in the review), s, scores, wc."""
+    x = cleaned.select(F.col(key), F.col("pos"), F.explode(th.scored_sentences(text_col, themes, pos, neg)).alias("x"))
+    return x.select(key, F.struct(F.col("pos"), F.col("x.i").alias("i")).alias("at"), F.col("x.s").alias("s"),
+                    "x.score", "x.pos_score", "x.neg_score", F.col("x.wc").alias("wc"))
+
+
+def quoted(sentences: DataFrame, key: str, score: str, k: int, out: str) -> DataFrame:
+    """The k best sentences of each key by ``score`` (ties: text order), packed into one string."""
+    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col("at"))
+    top = sentences.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    items = F.array_sort(F.collect_list(F.struct("_rn", "s")))
+    return top.groupBy(F.col(key).alias("_of")).agg(
+        tx.pack_evidence(F.transform(items, lambda x: x["s"])).alias(out))
+
+
+def summaries(sentences: DataFrame, key: str, max_words: int) -> DataFrame:
+    """Extractive summary of each key: sentences taken greedily by (score desc,
+    text order) while they fit into ``max_words``, joined in text order.  Runs jobs."""
+    picks = select_under_budget(sentences, key, "score", "at", "wc", max_words)
+    chosen = sentences.join(picks.select(F.col(key).alias("_of"), F.col("at").alias("_at")),
+                            F.col(key).eqNullSafe(F.col("_of")) & (F.col("at") == F.col("_at")), "leftsemi")
+    items = F.array_sort(F.collect_list(F.struct("at", "s")))      # at most max_words of them
+    return chosen.groupBy(F.col(key).alias("_of")).agg(
+        F.array_join(F.transform(items, lambda x: x["s"]), " ").alias("summary"))
 
-    Exact and bounded: every text after the first adds at least one separator
-    character, so only the first ``max_chars + 1`` texts can reach the prefix,
-    and each of them only with its first ``max_chars`` characters.  The top-N
-    is a window group limit, which Spark applies map-side before the shuffle.
-    """
-    n = max_chars + 1
-    allow_group_limit(df.sparkSession, n)
-    w = Window.partitionBy(key).orderBy(F.col(order_col))
-    head = (df.select(F.col(key), F.col(order_col),
-                      F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, max_chars).alias("_t"))
-            .withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= n))
-    joined = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("_t").alias("t")))),
-        lambda x: x["t"]), sep)
-    return head.groupBy(key).agg(F.substring(joined, 1, max_chars).alias("text"))
+
+def theme_columns(cleaned: DataFrame, key: str, text_col: str, themes) -> DataFrame:
+    """themes_counts and themes_pct of each key, over all its texts."""
+    n = th.corpus_theme_counts(cleaned, key, text_col, themes)
+    items = n.groupBy(F.col(key).alias("_of")).agg(F.collect_list(F.struct("theme", "theme_idx", "n")).alias("_t"))
+    counts, pct = th.theme_strings(F.col("_t"))
+    return items.select("_of", counts.alias("themes_counts"), pct.alias("themes_pct"))
+
+
+def _with(df: DataFrame, key: str, part: DataFrame) -> DataFrame:
+    return df.join(part, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def product_stats(df: DataFrame, key: str = "parent_asin") -> DataFrame:
@@ -62,48 +81,51 @@ def formatted_summary(review_count: Column, avg_rating: Column, cred: Column,
         review_count, F.bround(avg_rating, 1), F.bround(cred, 2), pct_str, summary)
 
 
-def credibility_report(cleaned: DataFrame, min_reviews: int = 50, max_input_chars: int = 4000,
-                       filter_mode: str = "strict", summary_words: int = 120,
-                       themes=th.THEMES_GEN1) -> DataFrame:
+def credibility_report(cleaned: DataFrame, min_reviews: int = 50, filter_mode: str = "strict",
+                       summary_words: int = 120, themes=th.THEMES_GEN1, pos=POSITIVE_WORDS,
+                       neg=NEGATIVE_WORDS) -> DataFrame:
     """Cleaned corpus reviews -> one 11-column summary row per product.
 
-    ``summary`` is extractive (the best keyword-scored sentences under a
-    word cap); a generator can replace it through ``summary_by_udf``.
+    Themes, quotes and summary cover the whole text of all reviews; a sentence
+    ends with its review.  ``summary`` is extractive (the best keyword-scored
+    sentences under a word cap); a generator can replace it through
+    ``summary_by_udf``.  Runs jobs when called (the greedy pick).
     """
-    stats = product_stats(cleaned)
-    texts = ordered_text_prefix(cleaned, "parent_asin", "clean_text", "pos", max_input_chars)
-    grouped = (stats.where(F.col("review_count") >= min_reviews)
-               .join(texts, stats["parent_asin"].eqNullSafe(texts["parent_asin"]), "left")
-               .select(stats["*"], texts["text"].alias("agg_text")))
-    scored = th.scored_sentences("agg_text", themes=themes)
-    cstr, pstr = th.theme_strings(th.theme_count_array("agg_text", themes))
-    out = (grouped
-           .withColumn("_sc", scored)
-           .withColumn("themes_counts", cstr)
-           .withColumn("themes_pct", pstr)
-           .withColumn("summary", th.extractive_summary(F.col("_sc"), summary_words))
-           .withColumn("evidence", tx.pack_evidence(th.top_sentences(F.col("_sc"), "score", 3)))
-           .withColumn("pos_snippets", tx.pack_evidence(th.top_sentences(F.col("_sc"), "pos_score", 2)))
-           .withColumn("neg_snippets", tx.pack_evidence(th.top_sentences(F.col("_sc"), "neg_score", 2))))
+    key = "parent_asin"
+    stats = product_stats(cleaned).where(F.col("review_count") >= min_reviews)
+    rows = cleaned.join(stats.select(F.col(key).alias("_of")), F.col(key).eqNullSafe(F.col("_of")), "leftsemi")
+    sents = report_sentences(rows, key, "clean_text", themes, pos, neg)
+    out = _with(stats, key, theme_columns(rows, key, "clean_text", themes))
+    out = _with(out, key, summaries(sents, key, summary_words))
+    for col, score, k in (("evidence", "score", 3), ("pos_snippets", "pos_score", 2), ("neg_snippets", "neg_score", 2)):
+        out = _with(out, key, quoted(sents, key, score, k, col))
+    out = out.fillna("N/A", ["themes_counts", "themes_pct"]).fillna(
+        "", ["summary", "evidence", "pos_snippets", "neg_snippets"])
     out = out.withColumn("formatted_summary", formatted_summary(
         F.col("review_count"), F.col("avg_rating"), F.col("credibility_score"),
         F.col("themes_pct"), F.col("summary"), filter_mode == "strict"))
     return out.select(
-        "parent_asin",
+        key,
         F.round("avg_rating", 3).alias("avg_rating"),
         F.col("review_count").cast("long").alias("review_count"),
         F.round("credibility_score", 3).alias("credibility_score"),
         *SUMMARY_COLUMNS[4:])
 
 
-def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str = "parent_asin") -> DataFrame:
-    """existing UNION ALL new, the last row per key wins (new over existing)."""
+def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str = "parent_asin",
+                     seq: str | None = None) -> DataFrame:
+    """existing UNION ALL new, the last row per key wins (new over existing).
+
+    Inside one side the row with the largest ``seq`` (an order column that both
+    sides have) is the last; without it the rows of one side must have distinct
+    keys.  Columns of either side are kept, null where a side lacks them.
+    """
     both = (existing.withColumn("_batch", F.lit(0))
             .unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True))
-    cols = [c for c in existing.columns]
-    last = both.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols if c != key]),
-                                          F.col("_batch")).alias("_r"))
-    return last.select(key, "_r.*")
+    cols = [c for c in both.columns if c != "_batch"]
+    order = F.struct("_batch", seq) if seq else F.col("_batch")
+    last = both.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols if c != key]), order).alias("_r"))
+    return last.select(key, "_r.*").select(*cols)
 
 
 def resume_anti_join(todo: DataFrame, done: DataFrame, key: str = "parent_asin") -> DataFrame:

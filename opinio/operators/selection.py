@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as tx
-from opinio.session import allow_group_limit, materialize
+from opinio.session import materialize
 
 
 @dataclass(frozen=True)
@@ -53,138 +53,151 @@ def select_useful(df: DataFrame, flag: Optional[bool], col: str = "helpful_votes
 
 
 def _fold(items, budget):
-    """Greedy skip-and-continue over ordered items from remaining budget."""
-    init = F.struct(budget.alias("rem"),
-                    F.array().cast("array<string>").alias("ids"))
+    """Greedy skip-and-continue over ordered items: what is left, and the places taken."""
+    init = F.struct(budget.alias("rem"), F.array().cast("array<int>").alias("taken"))
     return F.aggregate(items, init, lambda acc, x: F.when(
         x["t"] <= acc["rem"],
         F.struct((acc["rem"] - x["t"]).alias("rem"),
-                 F.concat(acc["ids"], F.array(x["id"])).alias("ids"))).otherwise(acc))
+                 F.concat(acc["taken"], F.array(x["rn"])).alias("taken"))).otherwise(acc))
 
 
-def select_under_budget(df: DataFrame, key: str, id_col: str, score_col: str, order_col: str,
-                        tokens_col: str, limit: float, k: int = 1000,
-                        checkpoint: bool = True) -> DataFrame:
+def last_per_id(df: DataFrame, key: str, id_col: str, order_col: str) -> DataFrame:
+    """One row per (key, id): the last in order.  Rows without an id all stay."""
+    last = (df.where(F.col(id_col).isNotNull()).groupBy(F.col(key).alias("_lk"), F.col(id_col).alias("_li"))
+            .agg(F.max(order_col).alias("_lo")))
+    same = (F.col(key).eqNullSafe(F.col("_lk")) & (F.col(id_col) == F.col("_li"))
+            & (F.col(order_col) == F.col("_lo")))
+    return (df.where(F.col(id_col).isNotNull()).join(last, same, "leftsemi")
+            .unionByName(df.where(F.col(id_col).isNull())))
+
+
+def select_under_budget(df: DataFrame, key: str, score_col: str, order_col: str, tokens_col: str,
+                        limit: float, k: int = 1000) -> DataFrame:
     """Rows of ``df`` chosen greedily by (score desc, order asc) under ``limit``.
 
-    Returns (key, id, picked_rank) for the chosen rows; the fallback for
-    products where nothing was chosen is applied by the caller.
+    ``order_col`` (any orderable column, a struct too) names a row within its
+    key; ids play no part.  Returns (key, order_col, picked_rank) of the chosen
+    rows; the fallback for keys where nothing was chosen is up to the caller.
+    Null keys are a key of their own.  Runs jobs when called.
     """
     limit = float(limit)
-    allow_group_limit(df.sparkSession, k)
-    cand = (df.select(F.col(key).alias("_k"), F.col(id_col).cast("string").alias("_id"),
-                      F.col(score_col).alias("_s"), F.col(order_col).alias("_o"),
+    cand = (df.select(F.col(key).alias("_k"), F.col(score_col).alias("_s"), F.col(order_col).alias("_o"),
                       F.col(tokens_col).cast("double").alias("_t"))
             .where((F.col("_t") > 0) & (F.col("_t") <= F.lit(limit)))
             .withColumn("_rem", F.lit(limit)))
-    if checkpoint:
-        cand = materialize(cand)
-    picked_parts = []
+    cand = materialize(cand)
+    parts = []
     w = Window.partitionBy("_k").orderBy(F.col("_s").desc(), F.col("_o").asc())
     rnd = 0
     while True:
         top = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
         items = F.array_sort(F.collect_list(F.struct(
-            F.col("_rn").alias("rn"), F.col("_t").alias("t"), F.col("_id").alias("id"))))
-        state = (top.groupBy("_k")
-                 .agg(F.first("_rem").alias("_rem0"), F.max("_rn").alias("_last"),
-                      _fold(items, F.first("_rem"))["rem"].alias("_rem1"),
-                      _fold(items, F.first("_rem"))["ids"].alias("_ids")))
-        if checkpoint:
-            state = materialize(state)
-        picked_parts.append(state.select(F.col("_k").alias(key), F.col("_ids"), F.lit(rnd).alias("_round")))
-        # carry the rest forward: after the first k, only items that still fit
-        # everything after the first k: an anti-join on the unique id (a
-        # "row_number > k" filter could not be group-limited)
-        rest = (cand.join(top.select("_k", "_id"), ["_k", "_id"], "left_anti")
-                .join(state.select("_k", "_rem1"), "_k")
-                .where(F.col("_t") <= F.col("_rem1"))
-                .select("_k", "_id", "_s", "_o", "_t", F.col("_rem1").alias("_rem")))
-        if checkpoint:
-            rest = materialize(rest)
-        if rest.isEmpty():
+            F.col("_rn").alias("rn"), F.col("_t").alias("t"), F.col("_o").alias("o"), F.col("_s").alias("s"))))
+        state = (top.groupBy("_k").agg(F.first("_rem").alias("_rem0"), items.alias("_items"))
+                 .select("_k", "_items", F.explode(F.array(_fold(F.col("_items"), F.col("_rem0")))).alias("f")))
+        state = materialize(state.select(
+            "_k", F.col("f.rem").alias("_rem1"), F.element_at("_items", -1).alias("_last"),
+            F.transform("f.taken", lambda n: F.element_at("_items", n)["o"]).alias("_taken")))
+        parts.append(state.select(F.col("_k").alias(key), "_taken", F.lit(rnd).alias("_round")))
+        # what comes after the last one seen and still fits
+        seen = state.select(F.col("_k").alias("_sk"), "_rem1", F.col("_last.s").alias("_ls"),
+                            F.col("_last.o").alias("_lo"))
+        later = (F.col("_s") < F.col("_ls")) | ((F.col("_s") == F.col("_ls")) & (F.col("_o") > F.col("_lo")))
+        rest = (cand.join(seen, F.col("_k").eqNullSafe(F.col("_sk")))
+                .where(later & (F.col("_t") <= F.col("_rem1")))
+                .select("_k", "_s", "_o", "_t", F.col("_rem1").alias("_rem")))
+        cand = materialize(rest)
+        if cand.isEmpty():
             break
-        cand = rest
         rnd += 1
-    out = picked_parts[0]
-    for p in picked_parts[1:]:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
-    return (out.select(key, "_round", F.posexplode("_ids").alias("_p", id_col))
-            .select(key, id_col, (F.col("_round") * F.lit(k) + F.col("_p")).alias("picked_rank")))
+    return (out.select(key, "_round", F.posexplode("_taken").alias("_p", order_col))
+            .select(key, order_col, (F.col("_round") * F.lit(k) + F.col("_p")).alias("picked_rank")))
 
 
 def filter_reviews(reviews: DataFrame, sentences: Optional[DataFrame],
                    criteria: FilteringCriteria = FilteringCriteria(),
                    key: str = "product_id", id_col: str = "review_id", text_col: str = "text",
                    order_col: str = "pos", vec_col: str = "embedding",
-                   checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
+                   dim: int = 64) -> tuple[DataFrame, DataFrame]:
     """User selection -> budget check -> importance + boost -> greedy pick.
 
     Returns (selected reviews with ``score``/``tokens``, per-product stats).
-    Products whose selected reviews fit the budget keep all of them and are
-    never embedded or ranked.
+    Of rows with equal ids the last counts; ``order_col`` names a row.  Products
+    whose selected reviews fit the budget keep all of them and are never
+    embedded or ranked.  Scores are computed on narrow rows and written once;
+    texts are joined back to the chosen rows.  Runs jobs when called.
     """
-    from opinio.operators.vectors import helpful_boost, review_embedding_mean, semantic_importance
+    from opinio.operators.vectors import importance_and_boost
 
+    from opinio.sources.jsonl import canonical_columns
     limit = float(criteria.token_limit)
-    base = reviews.withColumn("tokens", tx.estimate_tokens(text_col, criteria.tokens_per_char))
-    after_v = select_verified(base, criteria.use_verified)
-    work = select_useful(after_v, criteria.use_useful)
-
-    totals = work.groupBy(key).agg(F.sum("tokens").alias("_total"))
-    work = work.join(totals, key)
-    fits = work.where(F.col("_total") <= F.lit(limit)).drop("_total")
-    over = work.where(F.col("_total") > F.lit(limit)).drop("_total")
-
+    reviews = canonical_columns(reviews)
+    base = last_per_id(reviews, key, id_col, order_col)
+    base = base.withColumn("tokens", tx.estimate_tokens(text_col, criteria.tokens_per_char))
+    work = select_useful(select_verified(base, criteria.use_verified), criteria.use_useful)
+    narrow = work.select(key, id_col, order_col, "tokens", F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"),
+                         *(["helpful_votes"] if "helpful_votes" in work.columns else []))
+    totals = materialize(work.groupBy(F.col(key).alias("_tk")).agg(F.sum("tokens").alias("_total")))
+    of = F.col(key).eqNullSafe(F.col("_tk"))
+    over_keys = totals.where(F.col("_total") > F.lit(limit)).select("_tk")
+    over = narrow.join(over_keys, of, "leftsemi")
     if sentences is None:
         raise ValueError("sentence vectors are required to rank products over the budget")
-    sent = sentences.join(over.select(key).distinct(), key, "left_semi")
-    pooled = review_embedding_mean(over, sent, key, id_col, vec_col)
-    imp = semantic_importance(pooled, key)
-    boosted = helpful_boost(imp, key, "helpful_votes", criteria.helpful_boost)
-    scored = boosted.withColumn("score", F.round(F.col("importance") + F.col("boost"), 9))
-
-    picks = select_under_budget(scored, key, id_col, "score", order_col, "tokens", limit,
-                                checkpoint=checkpoint)
-    chosen = scored.join(picks, [key, id_col], "left_semi")
-    # fallback: nothing fits -> the shortest review (first on ties) if it fits
-    none_picked = scored.join(picks.select(key).distinct(), key, "left_anti")
-    shortest = (none_picked.groupBy(key).agg(F.min_by(
-        F.struct(F.col(id_col).cast("string").alias("_id"), F.col("tokens").alias("_t")),
-        F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.col(order_col))).alias("_m"))
-        .where(F.col("_m._t") <= F.lit(limit))
-        .select(key, F.col("_m._id").alias("_sid")))
-    fallback = scored.join(shortest, (scored[key] == shortest[key])
-                           & (scored[id_col].cast("string") == shortest["_sid"]), "left_semi")
-    cols = [c for c in fits.columns]
-    selected = (fits.withColumn("score", F.lit(None).cast("double")).select(*cols, "score")
-                .unionByName(chosen.select(*cols, "score"))
-                .unionByName(fallback.select(*cols, "score")))
-
-    stats = selection_stats(base, after_v, work.drop("_total"), selected, key, limit,
-                            criteria)
-    return selected, stats
-
-
-def selection_stats(base: DataFrame, after_verified: DataFrame, after_selection: DataFrame,
-                    selected: DataFrame, key: str, limit: float,
+    sent = sentences.join(over_keys, of, "leftsemi")
+    scored = importance_and_boost(over, sent, key, id_col, vec_col, "helpful_votes", criteria.helpful_boost, dim)
+    scored = materialize(scored.withColumn("score", F.round(F.col("importance") + F.col("boost"), 9))
+                         .select(F.col(key).alias("_ck"), F.col(order_col).alias("_co"), "score", "tokens", "_len"))
+    picks = select_under_budget(scored, "_ck", "score", "_co", "tokens", limit).select("_ck", "_co")
+    # nothing fits: the shortest review (first on ties) if it fits
+    none = scored.join(picks.select(F.col("_ck").alias("_pk")).distinct(), F.col("_ck").eqNullSafe(F.col("_pk")), "leftanti")
+    shortest = (none.groupBy("_ck").agg(F.min(F.struct("_len", "_co", "tokens")).alias("_m"))
+                .where(F.col("_m.tokens") <= F.lit(limit)).select("_ck", F.col("_m._co").alias("_co")))
+    won = picks.unionByName(shortest).select(F.col("_ck").alias("_wk"), F.col("_co").alias("_wo"))
+    won = scored.join(won, F.col("_ck").eqNullSafe(F.col("_wk")) & (F.col("_co") == F.col("_wo"))).select("_ck", "_co", "score")
+    fits = work.join(totals.where(F.col("_total") <= F.lit(limit)).select("_tk"), of, "leftsemi")
+    chosen = work.join(won, F.col(key).eqNullSafe(F.col("_ck")) & (F.col(order_col) == F.col("_co"))).drop("_ck", "_co")
+    selected = fits.withColumn("score", F.lit(None).cast("double")).unionByName(chosen)
+    kept = (totals.where(F.col("_total") <= F.lit(limit)).select(F.col("_tk").alias("_ck"))
+            .join(narrow, F.col(key).eqNullSafe(F.col("_ck"))).select("_ck", "tokens")
+            .unionByName(scored.join(won.select(F.col("_ck").alias("_wk"), F.col("_co").alias("_wo")),
+                                     F.col("_ck").eqNullSafe(F.col("_wk")) & (F.col("_co") == F.col("_wo")), "leftsemi")
+                         .select("_ck", "tokens")))
+    return selected, selection_stats(base, kept, over_keys, key, limit, criteria)
+
+
+def selection_stats(base: DataFrame, kept: DataFrame, ranked_keys: DataFrame, key: str, limit: float,
                     criteria: FilteringCriteria) -> DataFrame:
-    """Per-product counts, removals per filter, tokens and retention.
+    """Per-product counts, removals per filter, tokens, retention and ratings.
 
+    One pass of conditional counts over ``base``; ``kept`` has (_ck, tokens) of
+    the selected rows and ``ranked_keys`` (_tk) the products over the budget.
     Products emptied by selection keep a row with zero counts.
     """
-    def cnt(df, name):
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    s = (cnt(base, "original_count")
-         .join(cnt(after_verified, "_after_v"), key, "left")
-         .join(cnt(after_selection, "after_selection_count"), key, "left")
-         .join(selected.groupBy(key).agg(F.count(F.lit(1)).alias("after_ranking_count"),
-                                         F.sum("tokens").alias("token_usage")), key, "left")
-         .fillna(0, ["_after_v", "after_selection_count", "after_ranking_count"])
-         .fillna(0.0, ["token_usage"]))
+    def passes(flag, yes):
+        return F.lit(True) if flag is None else (yes if flag else ~yes)
+    ver = (F.coalesce(F.col("verified"), F.lit(False)) if "verified" in base.columns else F.lit(True))
+    use = (F.coalesce(F.col("helpful_votes").cast("double"), F.lit(0.0)) if "helpful_votes" in base.columns
+           else F.lit(0.0)) > 0
+    uv, uu = criteria.use_verified, criteria.use_useful
+    ok_v = passes(uv if "verified" in base.columns else None, ver)
+    s = base.groupBy(key).agg(
+        F.count(F.lit(1)).alias("original_count"), F.count_if(ok_v).alias("_after_v"),
+        F.count_if(ok_v & passes(uu, use)).alias("after_selection_count"))
+    n = kept.groupBy("_ck").agg(F.count(F.lit(1)).alias("after_ranking_count"), F.sum("tokens").alias("token_usage"))
+    s = (s.join(n, F.col(key).eqNullSafe(F.col("_ck")), "left")
+         .join(ranked_keys.withColumn("_ranked", F.lit(True)), F.col(key).eqNullSafe(F.col("_tk")), "left")
+         .fillna(0, ["after_ranking_count"]).fillna(0.0, ["token_usage"]))
+    if "rating" in base.columns:    # few distinct ratings a product
+        r = base.where(F.col("rating").isNotNull()).groupBy(F.col(key).alias("_rk"), "rating").agg(F.count(F.lit(1)).alias("c"))
+        r = r.groupBy("_rk").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rating", "c")))).alias("rating_distribution"))
+        s = s.join(r, F.col(key).eqNullSafe(F.col("_rk")), "left")
+    else:
+        s = s.withColumn("rating_distribution", F.lit(None).cast("map<double,bigint>"))
     rv = F.col("original_count") - F.col("_after_v")
     ru = F.col("_after_v") - F.col("after_selection_count")
-    uv, uu = criteria.use_verified, criteria.use_useful
     return s.select(
         key, "original_count", "after_selection_count", "after_ranking_count",
         F.col("token_usage").cast("double").alias("token_usage"),
@@ -193,4 +206,5 @@ def selection_stats(base: DataFrame, after_verified: DataFrame, after_selection:
         (ru if uu is True else F.lit(0)).cast("long").alias("useful_only"),
         (rv if uv is False else F.lit(0)).cast("long").alias("exclude_verified"),
         (ru if uu is False else F.lit(0)).cast("long").alias("exclude_useful"),
-        (F.col("after_ranking_count") / F.col("original_count")).alias("retention_rate"))
+        (F.col("after_ranking_count") / F.col("original_count")).alias("retention_rate"),
+        F.coalesce("_ranked", F.lit(False)).alias("selection_applied"), "rating_distribution")

@@ -36,9 +36,14 @@ def label_to_sentiment(label, text=None):
 def lexicon_label(text_col="text", pos=None, neg=None):
     """Default offline sentiment: sign(positive hits - negative hits)."""
     from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS
-    from opinio.operators.themes import word_set_hits
-    p = word_set_hits(text_col, pos or POSITIVE_WORDS)
-    n = word_set_hits(text_col, neg or NEGATIVE_WORDS)
+    from opinio.functions.text import tokens
+    from opinio.operators.themes import weighted_hits
+    pw = {w: 1 for w in (pos or POSITIVE_WORDS)}
+    nw = {w: 1 for w in (neg or NEGATIVE_WORDS)}
+    # the text is split once; both lists read the stored tokens
+    hits = F.transform(F.array(tokens(text_col)), lambda t: F.struct(
+        weighted_hits(t, pw).alias("p"), weighted_hits(t, nw).alias("n")))[0]
+    p, n = hits["p"], hits["n"]
     lab = F.when(p > n, F.lit("positive")).when(n > p, F.lit("negative")).otherwise(F.lit("neutral"))
     return label_to_sentiment(lab, F.col(text_col) if isinstance(text_col, str) else text_col)
 

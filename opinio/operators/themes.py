@@ -98,9 +98,9 @@ def theme_strings(counts: Column) -> tuple[Column, Column]:
 
 
 def scored_sentences(col, themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS,
-                     min_len: int = 10, max_sentences: int = 800) -> Column:
-    """ARRAY<STRUCT<i, s, score, pos_score, neg_score, wc>> of a bounded text."""
-    sents = tx.long_sentence_array(col, min_len, max_sentences)
+                     min_len: int = 10) -> Column:
+    """ARRAY<STRUCT<i, s, score, pos_score, neg_score, wc>> of one text."""
+    sents = tx.long_sentence_array(col, min_len)
     kw = keyword_weights(themes, pos, neg)
     pw = {w: 1 for w in set(pos)}
     nw = {w: 1 for w in set(neg)}
@@ -145,19 +145,14 @@ def extractive_summary(scored: Column, max_words: int = 120) -> Column:
 def corpus_theme_counts(df: DataFrame, key: str, text_col: str, themes=THEMES_GEN1) -> DataFrame:
     """Whole-text theme hits per (key, theme) over every row of ``df``.
 
-    Only tokens found in the dictionary are exploded; the aggregation is
-    partial (map-side) so hot keys are combined before the shuffle.  The
-    dictionary is a fixed-size table and is broadcast.
+    Tokens are exploded and joined to the dictionary as a table of any size
+    (Spark broadcasts it by its size); the counts are combined before the
+    shuffle, so hot keys stay cheap.
     """
     theme_rows = df.sparkSession.createDataFrame(
         [(w, t, i) for i, (t, ws) in enumerate(themes) for w in ws],
         "word string, theme string, theme_idx int")
-    words = sorted({w for _, ws in themes for w in ws})
-    hits = (df.select(F.col(key).alias("_key"),
-                      F.explode(F.filter(tx.tokens(text_col),
-                                         lambda t: F.array_contains(_words_lit(words), t)))
-                      .alias("word")))
-    per_word = hits.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("hits"))
-    return (per_word.join(F.broadcast(theme_rows), "word")
+    hits = df.select(F.col(key).alias("_key"), F.explode(tx.tokens(text_col)).alias("word"))
+    return (hits.join(theme_rows, "word")
             .groupBy(F.col("_key").alias(key), "theme", "theme_idx")
-            .agg(F.sum("hits").alias("n")))
+            .agg(F.count(F.lit(1)).alias("n")))

@@ -63,3 +63,35 @@ def helpful_boost(df: DataFrame, key: str = "product_id", votes: str = "helpful_
             .withColumn(out, F.when(F.col("_mx") > 0, F.least(F.lit(1.0), F.greatest(
                 F.lit(0.0), F.col("_v") / F.col("_mx"))) * F.lit(float(weight))).otherwise(F.lit(0.0)))
             .drop("_v", "_mx"))
+
+
+def importance_and_boost(reviews: DataFrame, sentences: DataFrame, key: str, id_col: str, vec_col: str,
+                         votes: str, weight: float, dim: int, digits: int = 9) -> DataFrame:
+    """``reviews`` (narrow rows) with importance and boost, as semantic_importance
+    and helpful_boost define them.
+
+    The sentence vectors are pooled and written once; one grouped pass gives the
+    centroid and the largest votes of a key, a second one the range of the
+    similarities.  Only these per-key rows are joined back.
+    """
+    from opinio.session import materialize
+    pooled = sentences.groupBy(F.col(key).alias("_pk"), F.col(id_col).alias("_pi")).agg(
+        vx.mean_vector(vec_col).alias("_pooled"))
+    v = F.coalesce(F.col(votes).cast("double"), F.lit(0.0)) if votes in reviews.columns else F.lit(0.0)
+    unit = materialize(
+        reviews.join(pooled, F.col(key).eqNullSafe(F.col("_pk")) & (F.col(id_col) == F.col("_pi")), "left")
+        .withColumn("_unit", vx.l2_normalize(F.coalesce("_pooled", F.array_repeat(F.lit(0.0), dim))))
+        .withColumn("_v", v).drop("_pk", "_pi", "_pooled"))
+    cent = unit.groupBy(F.col(key).alias("_ck")).agg(vx.mean_vector("_unit").alias("_c"), F.max("_v").alias("_mx"))
+    cent = cent.withColumn("_c", vx.l2_normalize("_c"))
+    sim = materialize(unit.join(cent, F.col(key).eqNullSafe(F.col("_ck")))
+                      .withColumn("_sim", F.round(F.greatest(F.lit(-1.0), F.least(
+                          F.lit(1.0), vx.dot("_unit", "_c"))), digits))
+                      .withColumn("boost", F.when(F.col("_mx") > 0, F.least(F.lit(1.0), F.greatest(
+                          F.lit(0.0), F.col("_v") / F.col("_mx"))) * F.lit(float(weight))).otherwise(F.lit(0.0)))
+                      .drop("_unit", "_c", "_ck", "_mx", "_v"))
+    span = sim.groupBy(F.col(key).alias("_ck")).agg(F.min("_sim").alias("_lo"), F.max("_sim").alias("_hi"))
+    return (sim.join(span, F.col(key).eqNullSafe(F.col("_ck")))
+            .withColumn("importance", F.when(F.col("_hi") > F.col("_lo"), F.round(
+                (F.col("_sim") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), digits)).otherwise(F.lit(0.0)))
+            .drop("_sim", "_ck", "_lo", "_hi"))

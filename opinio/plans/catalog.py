@@ -1,8 +1,7 @@
 """Registry of named queries over the driver tables, each with DuckDB SQL.
 
-Every query reads whole tables (or data Spark derives from them); no row
-caps or id subsets except the FIXTURES definitions of entity / question
-vectors.  Computed columns are aliased identically in Spark and SQL.
+Every query reads whole tables (or data Spark derives from them); there are
+no row caps or id subsets.  Computed columns are aliased identically in Spark and SQL.
 """
 
 from __future__ import annotations
@@ -152,15 +151,6 @@ def q_product_stats(spark, sf):
                     F.round("credibility_score", 6).alias("credibility_score"))
 
 
-@register("product_text", f"""WITH {V.cleaned("inclusive")}
-SELECT parent_asin, substr(string_agg(clean_text, ' ' ORDER BY pos), 1, 4000) AS text
-FROM cleaned GROUP BY parent_asin""")
-def q_product_text(spark, sf):
-    from opinio.operators.report import ordered_text_prefix
-    return ordered_text_prefix(_cleaned(spark, sf, "inclusive"), "parent_asin", "clean_text",
-                               "pos", 4000)
-
-
 # --------------------------------------------------------------------------- 2.10 credibility report
 from opinio.plans import report_sql as RS  # noqa: E402
 
@@ -251,8 +241,8 @@ c AS (SELECT r.product_id, r.review_id, r.pos, CAST(coalesce(length(text), 0) AS
 {_greedy_sql("c", 1500)}""")
 def q_select_under_budget(spark, sf):
     r = ov.helpful_boost(tb.reviews(spark, sf)).withColumn("t", tx.estimate_tokens("text"))
-    return sel.select_under_budget(r, "product_id", "review_id", "boost", "pos", "t",
-                                   1500).select("product_id", "review_id")
+    return sel.select_under_budget(r, "product_id", "boost", "pos", "t", 1500).select(
+        "product_id", F.col("pos").cast("string").alias("review_id"))
 
 
 def _filter_reviews(spark, sf, limit=1500, use_verified=None, use_useful=None):
@@ -314,13 +304,20 @@ orig AS (SELECT product_id, count(*) AS original_count FROM reviews GROUP BY ALL
 rk AS (SELECT s.product_id, count(*) AS n, sum(r.t) AS tok FROM selected s JOIN r USING (product_id, review_id) GROUP BY ALL)
 SELECT o.product_id, o.original_count, o.original_count AS after_selection_count,
        coalesce(rk.n, 0) AS after_ranking_count, round(coalesce(rk.tok, 0.0), 6) AS token_usage,
-       1500.0 AS token_limit, round(coalesce(rk.n, 0) / o.original_count, 6) AS retention_rate
-FROM orig o LEFT JOIN rk USING (product_id)""")
+       1500.0 AS token_limit, round(coalesce(rk.n, 0) / o.original_count, 6) AS retention_rate,
+       coalesce(tot.total > 1500.0, false) AS selection_applied,
+       coalesce(rd.ratings, '') AS ratings
+FROM orig o LEFT JOIN rk USING (product_id) LEFT JOIN tot USING (product_id) LEFT JOIN (
+  SELECT product_id, string_agg(CAST(rating AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY rating) AS ratings
+  FROM (SELECT product_id, rating, count(*) AS n FROM reviews WHERE rating IS NOT NULL GROUP BY ALL) GROUP BY ALL) rd
+  USING (product_id)""")
 def q_selection_stats(spark, sf):
     _, st = _filter_reviews(spark, sf, 1500)
     return st.select("product_id", "original_count", "after_selection_count", "after_ranking_count",
                      F.round("token_usage", 6).alias("token_usage"), "token_limit",
-                     F.round("retention_rate", 6).alias("retention_rate"))
+                     F.round("retention_rate", 6).alias("retention_rate"), "selection_applied",
+                     F.array_join(F.transform(F.map_entries("rating_distribution"), lambda e: F.concat(
+                         e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("ratings"))
 
 
 # --------------------------------------------------------------------------- 2.10 grounding / facts / QA
@@ -328,70 +325,85 @@ from opinio.operators import grounding as gr  # noqa: E402
 from opinio.operators import qa as qa_op  # noqa: E402
 
 
-def _ground_sql(threshold: float, max_hits: int, max_evidence: int, restrict: str = "TRUE") -> str:
-    return f"""WITH {V.SENTENCE_VECS}, {V.ENTITY_VECS},
-sv AS (SELECT * FROM sentence_vecs WHERE {restrict}),
-ents AS (SELECT * FROM entity_vecs
-         WHERE {V.strip("coalesce(entity, '')")} <> '' AND product_id IN (SELECT product_id FROM sv)),
-pairs AS (SELECT e.product_id, e.entity_idx, s.review_id, s.sentence_id, s.text, s.sentiment,
-                 round({V.dot(V.unit("e.embedding"), V.unit("s.embedding"))}, 9) AS sim
-          FROM ents e JOIN sv s USING (product_id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id, entity_idx ORDER BY sim DESC, sentence_id) AS rn
-           FROM pairs QUALIFY rn <= {max_hits}),
-best AS (SELECT product_id, entity_idx, sim AS best FROM ranked WHERE rn = 1),
-hits AS (SELECT r.* FROM ranked r JOIN best b USING (product_id, entity_idx)
-         WHERE r.sim >= {threshold} OR (b.best < {threshold} AND r.rn = 1 AND r.sim > 0)),
+def _ground_sql(threshold: float, max_evidence: int, restrict: str = "TRUE") -> str:
+    """facts(product_id, entity_idx, name, counts, evidence) over aspects and documents."""
+    return f"""{V.doc_sentences()}, {V.aspects()},
+gsv AS (SELECT * FROM ds WHERE {restrict}),
+pairs AS (SELECT e.product_id, e.entity_idx, s.review_id, s.pos, s.sentence_id, s.text, s.sentiment,
+                 round({V.dot("e.u", "s.u")}, 9) AS sim FROM ents e JOIN gsv s USING (product_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id, entity_idx ORDER BY sim DESC, pos, sentence_id) AS rn,
+                  max(sim) OVER (PARTITION BY product_id, entity_idx) AS best FROM pairs),
+hits AS (SELECT * FROM ranked WHERE sim >= {threshold} OR (best < {threshold} AND rn = 1 AND sim > 0)),
 agg AS (SELECT product_id, entity_idx, count(DISTINCT review_id) AS review_count,
-               count_if(lower(coalesce(sentiment, 'neutral')) = 'positive') AS positive_count,
-               count_if(lower(coalesce(sentiment, 'neutral')) = 'negative') AS negative_count,
-               count_if(lower(coalesce(sentiment, 'neutral')) = 'neutral') AS neutral_count
-        FROM hits GROUP BY ALL),
-ids AS {V.ordered_distinct("review_id", "rn", "hits", "product_id, entity_idx", ",")},
+               count_if(sentiment = 'positive') AS positive_count, count_if(sentiment = 'negative') AS negative_count,
+               count_if(sentiment = 'neutral') AS neutral_count FROM hits GROUP BY ALL),
 evs AS {V.ordered_distinct("text", "rn", "hits", "product_id, entity_idx", " | ",
                            f"rn <= {max_evidence} AND coalesce(text, '') <> ''")},
-facts AS (SELECT e.product_id, e.entity_idx, e.entity AS name,
-                 coalesce(a.review_count, 0) AS review_count, coalesce(a.positive_count, 0) AS positive_count,
-                 coalesce(a.negative_count, 0) AS negative_count, coalesce(a.neutral_count, 0) AS neutral_count,
-                 coalesce(i.agg, '') AS supporting_review_ids, coalesce(v.agg, '') AS evidence_sentences
-          FROM ents e LEFT JOIN agg a USING (product_id, entity_idx)
-               LEFT JOIN ids i USING (product_id, entity_idx) LEFT JOIN evs v USING (product_id, entity_idx))"""
+facts AS (SELECT e.product_id, e.entity_idx, e.entity AS name, coalesce(a.review_count, 0) AS review_count,
+                 coalesce(a.positive_count, 0) AS positive_count, coalesce(a.negative_count, 0) AS negative_count,
+                 coalesce(a.neutral_count, 0) AS neutral_count, coalesce(v.agg, '') AS evidence_sentences
+          FROM ents e LEFT JOIN agg a USING (product_id, entity_idx) LEFT JOIN evs v USING (product_id, entity_idx)
+          WHERE e.product_id IN (SELECT product_id FROM gsv))"""
 
 
 def _flat_facts(f):
     return f.select("product_id", "entity_idx", "name", "review_count", "positive_count",
                     "negative_count", "neutral_count",
-                    F.array_join("supporting_review_ids", ",").alias("supporting_review_ids"),
                     F.array_join("evidence_sentences", " | ").alias("evidence_sentences"))
 
 
-@register("ground_entities", _ground_sql(0.3, 50, 5) + "\nSELECT * FROM facts")
-def q_ground_entities(spark, sf):
-    f = gr.ground_entities(tb.entity_vecs(spark, sf), tb.sentence_vecs(spark, sf))
-    return _flat_facts(f)
-
-
-@register("ground_entities_capped", _ground_sql(0.05, 5, 3) + "\nSELECT * FROM facts")
-def q_ground_entities_capped(spark, sf):
-    f = gr.ground_entities(tb.entity_vecs(spark, sf), tb.sentence_vecs(spark, sf),
-                           similarity_threshold=0.05, max_hits=5, max_evidence=3)
-    return _flat_facts(f)
+@register("sentence_index", f"""WITH {V.doc_sentences()}
+SELECT product_id, review_id, sentence_id, sentiment,
+       array_to_string(list_transform(u, lambda x: printf('%.6f', round(x, 6) + 0.0)), ',') AS unit_vec FROM ds""")
+def q_sentence_index(spark, sf):
+    s = tb.doc_sentences(spark, sf)
+    vec = F.transform(vx.l2_normalize("embedding"), lambda x: F.format_string("%.6f", F.round(x, 6)))
+    return s.select("product_id", "review_id", "sentence_id", "sentiment", F.array_join(vec, ",").alias("unit_vec"))
 
 
-@register("product_facts", _ground_sql(0.3, 50, 5, "review_id <> '0'") + """,
-tot AS (SELECT product_id, count(DISTINCT review_id) AS total_reviews FROM sentence_vecs
-        WHERE review_id <> '0' GROUP BY ALL),
+@register("ground_entities", "WITH " + _ground_sql(0.3, 5) + "\nSELECT * FROM facts")
+def q_ground_entities(spark, sf):
+    return _flat_facts(gr.ground_entities(tb.aspects(spark, sf), tb.doc_sentences(spark, sf)))
+
+
+@register("ground_entities_strict", "WITH " + _ground_sql(0.97, 3) + "\nSELECT * FROM facts")
+def q_ground_entities_strict(spark, sf):
+    # few sentences come so near: most entities fall back to their best one
+    return _flat_facts(gr.ground_entities(tb.aspects(spark, sf), tb.doc_sentences(spark, sf),
+                                          similarity_threshold=0.97, max_evidence=3))
+
+
+@register("feature_review_examples", f"WITH {_ground_sql(0.6, 5)}\n" + """
+SELECT f.product_id, f.entity_idx, f.name, coalesce(r.examples, '') AS examples,
+       CAST(least(5, f.review_count) AS VARCHAR) || ' / ' || CAST(f.review_count AS VARCHAR) AS shown
+FROM facts f LEFT JOIN (SELECT product_id, entity_idx, string_agg(review_id, ',' ORDER BY sim DESC, pos) AS examples
+  FROM (SELECT product_id, entity_idx, review_id, pos, max(sim) AS sim,
+               row_number() OVER (PARTITION BY product_id, entity_idx ORDER BY max(sim) DESC, pos) AS k
+        FROM hits GROUP BY product_id, entity_idx, review_id, pos) WHERE k <= 5 GROUP BY ALL) r
+  USING (product_id, entity_idx)""")
+def q_feature_review_examples(spark, sf):
+    return gr.feature_review_examples(tb.aspects(spark, sf), tb.doc_sentences(spark, sf), similarity_threshold=0.6)
+
+
+def _facts_sql() -> str:
+    ground = _ground_sql(0.3, 5, "(product_id, review_id) IN (SELECT product_id, review_id FROM selected)")
+    head, rest = ground.split("gsv AS (", 1)     # the index first, then the selection, then the facts
+    select = _filter_sql(1500).split(V.REVIEWS, 1)[1].lstrip(",\n")
+    return f"""WITH {head}{select},
+gsv AS ({rest},
+chosen AS (SELECT product_id, count(DISTINCT review_id) AS total_reviews FROM selected GROUP BY ALL),
 nf AS (SELECT product_id, count(*) AS n_features, string_agg(name, ',' ORDER BY entity_idx) AS feature_names,
               sum(review_count) AS grounded_reviews FROM facts GROUP BY ALL)
-SELECT t.product_id, t.total_reviews, '' AS summary_text, coalesce(nf.n_features, 0) AS n_features,
+SELECT t.product_id, t.total_reviews, coalesce(nf.n_features, 0) AS n_features,
        coalesce(nf.feature_names, '') AS feature_names, coalesce(nf.grounded_reviews, 0) AS grounded_reviews
-FROM tot t LEFT JOIN nf USING (product_id)""")
+FROM chosen t LEFT JOIN nf USING (product_id)"""
+
+
+@register("product_facts", _facts_sql())
 def q_product_facts(spark, sf):
-    s = tb.sentence_vecs(spark, sf)
-    # the "selected" reviews: every fixture review except id '0'
-    revs = s.select("product_id", "review_id").where(F.col("review_id") != "0").distinct()
-    pf = gr.product_facts(revs, tb.entity_vecs(spark, sf), s)
-    return pf.select("product_id", "total_reviews", F.col("summary.text").alias("summary_text"),
-                     F.size("features").cast("long").alias("n_features"),
+    chosen, _ = _filter_reviews(spark, sf, 1500)
+    pf = gr.product_facts(chosen.select("product_id", "review_id"), tb.aspects(spark, sf), tb.doc_sentences(spark, sf))
+    return pf.select("product_id", "total_reviews", F.size("features").cast("long").alias("n_features"),
                      F.array_join(F.transform("features", lambda f: f["name"]), ",").alias("feature_names"),
                      F.aggregate("features", F.lit(0).cast("long"),
                                  lambda a, f: a + f["review_count"]).alias("grounded_reviews"))
@@ -401,15 +413,12 @@ def _qa_sql(top_k: int = 4) -> str:
     k = top_k if top_k > 0 else 5
     m = min(k, 3)
     Q = qa_op
-    return f"""WITH {V.SENTENCE_VECS}, {V.QUESTION_VECS},
-revs AS (SELECT product_id, review_id, string_agg(text, ' ' ORDER BY sentence_id) AS text
-         FROM sentence_vecs GROUP BY ALL),
-ask AS (SELECT * FROM question_vecs
-        WHERE {V.strip("coalesce(question, '')")} <> '' AND coalesce(len(embedding), 0) > 0),
-pairs AS (SELECT q.product_id, q.question_id, s.review_id, s.sentence_id, s.text, s.sentiment,
-                 round({V.dot(V.unit("q.embedding"), V.unit("s.embedding"))}, 9) AS sim
-          FROM ask q JOIN sentence_vecs s USING (product_id)),
-hits AS (SELECT *, row_number() OVER (PARTITION BY product_id, question_id ORDER BY sim DESC, sentence_id) AS rn
+    return f"""WITH {V.doc_sentences()}, {V.questions()},
+revs AS (SELECT product_id, review_id, text FROM reviews),
+ask AS (SELECT * FROM qs WHERE {V.strip("coalesce(question, '')")} <> '' AND has_vector),
+pairs AS (SELECT q.product_id, q.question_id, s.review_id, s.pos, s.sentence_id, s.text, s.sentiment,
+                 round({V.dot("q.u", "s.u")}, 9) AS sim FROM ask q JOIN ds s USING (product_id)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY product_id, question_id ORDER BY sim DESC, pos, sentence_id) AS rn
          FROM pairs QUALIFY rn <= {k} AND sim >= {Q.MIN_SIMILARITY}),
 h2 AS (SELECT h.*, coalesce(h.review_id, '') AS rid, coalesce(h.text, '') AS t,
               {V.strip("coalesce(r.text, '')")} AS full_text
@@ -432,34 +441,26 @@ ans AS (SELECT a.product_id, a.question_id, a.n_hits,
                     array_to_string(list_transform(es.q3, lambda s: '"' || s || '"'), ' ') ELSE '' END AS answer,
                coalesce(er.evidence, '') AS evidence
         FROM agg a LEFT JOIN es USING (product_id, question_id) LEFT JOIN er USING (product_id, question_id)),
-idx AS (SELECT DISTINCT product_id FROM sentence_vecs)
+idx AS (SELECT DISTINCT product_id FROM ds)
 SELECT q.product_id, q.question_id,
        CASE WHEN {V.strip("coalesce(q.question, '')")} = '' THEN '{Q.MSG_BLANK}'
             WHEN idx.product_id IS NULL THEN '{Q.MSG_NO_INDEX}'
-            WHEN coalesce(len(q.embedding), 0) = 0 THEN '{Q.MSG_NO_VECTOR}'
+            WHEN NOT q.has_vector THEN '{Q.MSG_NO_VECTOR}'
             WHEN ans.answer IS NULL THEN '{Q.MSG_NOTHING}' ELSE ans.answer END AS answer,
        coalesce(ans.evidence, '') AS evidence, coalesce(ans.n_hits, 0) AS n_hits
-FROM question_vecs q LEFT JOIN idx USING (product_id) LEFT JOIN ans USING (product_id, question_id)"""
-
-
-def _fixture_reviews(s):
-    # review text = its sentences in order (derived from the embeddings table)
-    return s.groupBy("product_id", "review_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+FROM qs q LEFT JOIN idx USING (product_id) LEFT JOIN ans USING (product_id, question_id)"""
 
 
 @register("answer_questions", _qa_sql(4))
 def q_answer_questions(spark, sf):
-    s = tb.sentence_vecs(spark, sf)
-    a = qa_op.answer_questions(tb.question_vecs(spark, sf), s, _fixture_reviews(s), top_k=4)
+    a = qa_op.answer_questions(tb.questions(spark, sf), tb.doc_sentences(spark, sf), tb.reviews(spark, sf), top_k=4)
     return a.select("product_id", "question_id", "answer",
                     F.array_join("evidence", " || ").alias("evidence"), "n_hits")
 
 
 @register("answer_questions_k0", _qa_sql(0))
 def q_answer_questions_k0(spark, sf):
-    s = tb.sentence_vecs(spark, sf)
-    a = qa_op.answer_questions(tb.question_vecs(spark, sf), s, _fixture_reviews(s), top_k=0)
+    a = qa_op.answer_questions(tb.questions(spark, sf), tb.doc_sentences(spark, sf), tb.reviews(spark, sf), top_k=0)
     return a.select("product_id", "question_id", "answer",
                     F.array_join("evidence", " || ").alias("evidence"), "n_hits")
 
@@ -470,15 +471,14 @@ from opinio.operators import sentences as se  # noqa: E402
 from opinio.plans import report_sql as _RS  # noqa: E402
 
 
-def _pos_neg_values() -> str:
-    from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, sql_values
-    return sql_values([(w, 1, 0) for w in sorted(set(POSITIVE_WORDS))]
-                      + [(w, 0, 1) for w in sorted(set(NEGATIVE_WORDS))])
+from opinio.dictionaries import NEGATIVE_FUNCTION_WORDS as _NEG  # noqa: E402
+from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, sql_values  # noqa: E402
+from opinio.dictionaries import POSITIVE_FUNCTION_WORDS as _POS  # noqa: E402
 
 
-def _lexicon_sql(src: str) -> str:
+def _lexicon_sql(src: str, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> str:
     """lab(product_id, review_id, sentence_id, sentiment) from sentence rows in src."""
-    return f"""pn(word, p, n) AS (VALUES {_pos_neg_values()}),
+    return f"""pn(word, p, n) AS (VALUES {sql_values([(w, 1, 0) for w in sorted(set(pos))] + [(w, 0, 1) for w in sorted(set(neg))])}),
 stk AS (SELECT product_id, review_id, sentence_id, unnest({V.tokens('text')}) AS t FROM {src}),
 sh AS (SELECT product_id, review_id, sentence_id, sum(p) AS p, sum(n) AS n
        FROM stk JOIN pn ON stk.t = pn.word GROUP BY ALL),
@@ -516,12 +516,12 @@ FLAGSHIP = "review_overview"
 
 
 @register("label_sentences", f"""WITH {V.REVIEWS}, sr AS ({V.sentence_rows()}),
-{_lexicon_sql("sr")}
+{_lexicon_sql("sr", _POS, _NEG)}
 SELECT product_id, review_id, sentence_id, sentiment FROM lab""")
 def q_label_sentences(spark, sf):
     s = se.split_sentences(tb.reviews(spark, sf))
     return s.select("product_id", "review_id", "sentence_id",
-                    se.lexicon_label("text").alias("sentiment"))
+                    se.lexicon_label("text", _POS, _NEG).alias("sentiment"))
 
 
 @register("rating_distribution", f"""WITH {V.REVIEWS},
@@ -559,20 +559,13 @@ def q_index_staleness(spark, sf):
 
 
 # --------------------------------------------------------------------------- 2.6 / 2.7 themes & sentences
+from opinio.dictionaries import THEMES_FUNCTION_WORDS as _FW  # noqa: E402
 from opinio.operators import themes as th  # noqa: E402
 from opinio.operators import report as rp  # noqa: E402
 
 
-@register("theme_counts", f"""WITH {V.cleaned("inclusive")},
-th(word, theme, theme_idx) AS (VALUES {_RS.theme_values()}),
-tk AS (SELECT parent_asin, unnest({V.tokens("clean_text")}) AS t FROM cleaned)
-SELECT parent_asin, theme, theme_idx, count(*) AS n FROM tk JOIN th ON tk.t = th.word GROUP BY ALL""")
-def q_theme_counts(spark, sf):
-    return th.corpus_theme_counts(_cleaned(spark, sf, "inclusive"), "parent_asin", "clean_text")
-
-
 @register("theme_pct_string", f"""WITH {V.cleaned("inclusive")},
-th(word, theme, theme_idx) AS (VALUES {_RS.theme_values()}),
+th(word, theme, theme_idx) AS (VALUES {_RS.theme_values(_FW)}),
 tk AS (SELECT parent_asin, unnest({V.tokens("clean_text")}) AS t FROM cleaned),
 tc AS (SELECT parent_asin, theme, theme_idx, count(*) AS n FROM tk JOIN th ON tk.t = th.word GROUP BY ALL),
 {_RS.theme_strings_ctes("tc", "parent_asin")}
@@ -580,7 +573,7 @@ SELECT p.parent_asin, coalesce(counts_str, 'N/A') AS themes_counts, coalesce(pct
 FROM (SELECT DISTINCT parent_asin FROM cleaned) p LEFT JOIN tstr USING (parent_asin)""")
 def q_theme_pct_string(spark, sf):
     c = _cleaned(spark, sf, "inclusive")
-    tc = th.corpus_theme_counts(c, "parent_asin", "clean_text")
+    tc = th.corpus_theme_counts(c, "parent_asin", "clean_text", _FW)
     arr = tc.groupBy("parent_asin").agg(F.collect_list(F.struct("theme", "theme_idx", "n")).alias("_c"))
     cstr, pstr = th.theme_strings(F.col("_c"))
     out = c.select("parent_asin").distinct().join(arr, "parent_asin", "left")
@@ -591,7 +584,11 @@ def q_theme_pct_string(spark, sf):
 
 def _per_review_sentences_sql() -> str:
     return f"""WITH {V.REVIEWS},
-{_RS.sentence_score_ctes("reviews", "review_id", "text")}"""
+{_RS.sentence_score_ctes("reviews", "review_id", "text", _FW, _POS, _NEG)}"""
+
+
+def _scored(col):
+    return th.scored_sentences(col, _FW, _POS, _NEG)
 
 
 @register("split_sentences_long", _per_review_sentences_sql()
@@ -605,7 +602,7 @@ def q_split_sentences_long(spark, sf):
           + "\nSELECT review_id, CAST(i AS INTEGER) AS sent_pos, score, pos_score, neg_score FROM sc")
 def q_sentence_keyword_score(spark, sf):
     r = tb.reviews(spark, sf)
-    x = r.select("review_id", F.explode(th.scored_sentences("text")).alias("x"))
+    x = r.select("review_id", F.explode(_scored("text")).alias("x"))
     return x.select("review_id", F.col("x.i").alias("sent_pos"), F.col("x.score").alias("score"),
                     F.col("x.pos_score").alias("pos_score"), F.col("x.neg_score").alias("neg_score"))
 
@@ -619,7 +616,7 @@ ev AS (SELECT review_id,
 SELECT r.review_id, coalesce(evidence, '') AS evidence, coalesce(pos_snippets, '') AS pos_snippets,
        coalesce(neg_snippets, '') AS neg_snippets FROM reviews r LEFT JOIN ev USING (review_id)""")
 def q_representative_sentences(spark, sf):
-    r = tb.reviews(spark, sf).withColumn("_sc", th.scored_sentences("text"))
+    r = tb.reviews(spark, sf).withColumn("_sc", _scored("text"))
     return r.select("review_id",
                     tx.pack_evidence(th.top_sentences(F.col("_sc"), "score", 3)).alias("evidence"),
                     tx.pack_evidence(th.top_sentences(F.col("_sc"), "pos_score", 2)).alias("pos_snippets"),
@@ -631,7 +628,7 @@ sm AS (SELECT review_id, {_RS.summary_agg(40)} AS summary FROM sc GROUP BY ALL)
 SELECT r.review_id, coalesce(summary, '') AS summary FROM reviews r LEFT JOIN sm USING (review_id)""")
 def q_extractive_summary(spark, sf):
     r = tb.reviews(spark, sf)
-    return r.select("review_id", th.extractive_summary(th.scored_sentences("text"), 40).alias("summary"))
+    return r.select("review_id", th.extractive_summary(_scored("text"), 40).alias("summary"))
 
 
 @register("count_word", f"""WITH {V.REVIEWS}
@@ -731,12 +728,6 @@ def q_resume(spark, sf):
     return rp.resume_anti_join(_stats(spark, sf, "inclusive"), _stats(spark, sf, "strict", 20))
 
 
-@register("cap_rows", f"""WITH {V.cleaned("inclusive")}
-SELECT * FROM {_stats_sql("inclusive").replace("cleaned_inclusive", "cleaned")} ORDER BY parent_asin LIMIT 10""")
-def q_cap_rows(spark, sf):
-    return _stats(spark, sf, "inclusive").orderBy("parent_asin").limit(10)
-
-
 @register("product_lookup", f"""WITH {V.cleaned("inclusive")}
 SELECT * FROM {_stats_sql("inclusive").replace("cleaned_inclusive", "cleaned")} WHERE parent_asin = 'src3'""")
 def q_product_lookup(spark, sf):
@@ -753,10 +744,9 @@ def q_compact_report(spark, sf):
 
 
 # --------------------------------------------------------------------------- user dictionaries
-from opinio.dictionaries import THEMES_FUNCTION_WORDS as _FW  # noqa: E402
 
 
-@register("theme_counts_user_dictionary", f"""WITH {V.cleaned("inclusive")},
+@register("theme_counts", f"""WITH {V.cleaned("inclusive")},
 th(word, theme, theme_idx) AS (VALUES {_RS.theme_values(_FW)}),
 tk AS (SELECT parent_asin, unnest({V.tokens("clean_text")}) AS t FROM cleaned)
 SELECT parent_asin, theme, theme_idx, count(*) AS n FROM tk JOIN th ON tk.t = th.word GROUP BY ALL""")
@@ -765,47 +755,132 @@ def q_theme_counts_user(spark, sf):
                                   themes=_FW)
 
 
-@register("credibility_report_user_dictionary", RS.report_sql(min_reviews=20, mode="strict", themes=_FW))
+@register("credibility_report_user_dictionary", RS.report_sql(
+    min_reviews=20, mode="strict", themes=_FW, pos=_POS, neg=_NEG))
 def q_credibility_report_user(spark, sf):
     return rp.credibility_report(_cleaned(spark, sf, "strict"), min_reviews=20, filter_mode="strict",
-                                 themes=_FW)
+                                 themes=_FW, pos=_POS, neg=_NEG)
 
 
 # --------------------------------------------------------------------------- 2.11 streaming
+def _staged(spark, sf):
+    """The events feed, run once into a staged table of a run folder of its own."""
+    import uuid
+
+    from opinio.session import checkpoint_dir
+    from opinio.streaming import refresh as st
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # a glob makes the file stream source list the events file itself
+    stream = st.review_stream(spark, f"{sf}/events.parque[t]", schema)
+    st.stage_reviews(stream, f"{run}/staged", f"{run}/checkpoint").awaitTermination()
+    return st.staged_reviews(spark, f"{run}/staged", stream.schema)
+
+
 @register("stream_review_counts", """
 SELECT CAST(user_id AS VARCHAR) AS product_id, count(DISTINCT event_id) AS new_reviews
 FROM events GROUP BY ALL""")
 def q_stream_review_counts(spark, sf):
     from opinio.streaming import refresh as st
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # a glob makes the file stream source list the events file itself
-    return st.staged_review_counts(spark, f"{sf}/events.parque[t]", schema)
+    return st.review_counts(_staged(spark, sf))
 
 
-# --------------------------------------------------------------------------- aspects, chunks, misc
-from opinio.operators import aspects as asp  # noqa: E402
+@register("stream_daily_counts", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS product_id, count(*) AS new_reviews
+FROM (SELECT event_id, user_id, min(ts) AS ts FROM events GROUP BY ALL) GROUP BY ALL""")
+def q_stream_daily_counts(spark, sf):
+    from opinio.streaming import refresh as st
+    d = st.daily_counts(_staged(spark, sf))
+    return d.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "product_id", "new_reviews")
+
+
+# --------------------------------------------------------------------------- JSON built from the documents
+_RAW = """raw AS (SELECT doc_id AS pos, source AS asin, text, doc_id % 4 AS kind FROM documents)"""
+
+
+def _json_lines(spark, sf):
+    """Review lines with mixed spellings, bad values and broken syntax, a line a document."""
+    d = tb.table(spark, sf, "documents")
+    k = F.col("doc_id") % 4
+    base = [F.col("source").alias("parent_asin"), F.col("text")]
+    return d.select(F.col("doc_id").alias("pos"), F.when(k == 0, F.to_json(F.struct(
+        *base, F.lit(True).alias("verified_purchase"), (F.col("doc_id") % 9).alias("helpful_vote"), F.lit(4.5).alias("rating"))))
+        .when(k == 1, F.to_json(F.struct(*base, F.lit("true").alias("verified"), F.lit("7").alias("helpful_votes"),
+                                         F.lit("3").alias("rating"))))
+        .when(k == 2, F.to_json(F.struct(*base, F.lit("maybe").alias("verified"), F.lit("n/a").alias("helpful_vote"),
+                                         F.lit("bad").alias("rating"))))
+        .otherwise(F.concat(F.lit("{broken "), F.col("source"))).alias("value"))
+
+
+@register("adapt_review_shapes", f"""WITH {_RAW}
+SELECT pos, asin AS parent_asin, length(text) AS n_chars,
+       CASE kind WHEN 0 THEN 4.5 WHEN 1 THEN 3.0 END::DOUBLE AS rating, kind <> 2 AS verified,
+       CASE kind WHEN 0 THEN pos % 9 WHEN 1 THEN 7 ELSE 0 END::DOUBLE AS helpful_vote FROM raw WHERE kind <> 3""")
+def q_adapt_review_shapes(spark, sf):
+    from opinio.sources import jsonl
+    good, _ = jsonl.parse_review_lines(_json_lines(spark, sf))
+    c = cl.canonicalize_corpus(good)
+    return c.select("pos", "parent_asin", F.length("text").alias("n_chars"), "rating", "verified", "helpful_vote")
+
+
+@register("quarantine", f"""WITH {_RAW} SELECT pos, '{{broken ' || asin AS line FROM raw WHERE kind = 3""")
+def q_quarantine(spark, sf):
+    from opinio.sources import jsonl
+    _, bad = jsonl.parse_review_lines(_json_lines(spark, sf))
+    return bad.select("pos", F.col("value").alias("line"))
+
+
+def _responses(spark, sf):
+    """Generator responses in three forms, one a document."""
+    d = tb.table(spark, sf, "documents")
+    k = F.col("doc_id") % 3
+    obj = F.to_json(F.struct(F.col("lang").alias("summary"), F.array(
+        F.struct(F.col("source").alias("entity")), F.struct(F.lit("").alias("entity"))).alias("entities")))
+    return d.select("doc_id", F.when(k == 0, obj).when(k == 1, F.concat(F.lit("Here you are: "), obj))
+                    .otherwise(F.concat(F.lit("plain "), F.col("lang"))).alias("response"))
+
+
+@register("parse_summary_response", """
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN lang ELSE 'plain ' || lang END AS summary,
+       CASE WHEN doc_id % 3 < 2 THEN source ELSE '' END AS entities FROM documents""")
+def q_parse_summary_response(spark, sf):
+    from opinio.operators import hooks
+    r = _responses(spark, sf).select("doc_id", hooks.parse_summary_response("response").alias("p"))
+    return r.select("doc_id", "p.summary", F.array_join("p.entities", ",").alias("entities"))
+
+
+@register("entity_names", """
+SELECT doc_id, source || ',' || lang AS names FROM documents""")
+def q_entity_names(spark, sf):
+    from opinio.operators import hooks
+    d = tb.table(spark, sf, "documents")
+    text = F.concat(F.lit('["'), F.col("source"), F.lit('", {"name": "x"}, {"entity": null}, "", {"entity": "'),
+                    F.col("lang"), F.lit('"}, null]'))
+    return d.select("doc_id", F.array_join(hooks.entity_names(text), ",").alias("names"))
+
+
+@register("prompt_block", _filter_sql(1500) + """
+SELECT product_id, string_agg('Review_id: ' || review_id || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY pos) AS prompt
+FROM selected JOIN reviews USING (product_id, review_id) GROUP BY ALL""")
+def q_prompt_block(spark, sf):
+    from opinio.operators import hooks
+    chosen, _ = _filter_reviews(spark, sf, 1500)
+    return hooks.prompt_block(chosen, order_col="pos")
 
 
-def _ngrams_sql(t: str, n: int) -> str:
-    return (f"list_transform(range(1, len({t}) - {n} + 2), "
-            f"lambda i: array_to_string({t}[i:i + {n - 1}], ' '))")
+# --------------------------------------------------------------------------- aspects, chunks, misc
+from opinio.operators import aspects as asp  # noqa: E402
 
 
-@register("aspect_mining", f"""WITH {V.REVIEWS},
-tk AS (SELECT product_id, review_id, {V.tokens("text")} AS t FROM reviews),
-g AS (SELECT DISTINCT product_id, review_id, unnest(list_concat({_ngrams_sql("t", 2)}, {_ngrams_sql("t", 3)})) AS aspect
-      FROM tk),
-c AS (SELECT product_id, aspect, count(*) AS review_count FROM g GROUP BY ALL)
-SELECT product_id, aspect, review_count,
-       row_number() OVER (PARTITION BY product_id ORDER BY review_count DESC, aspect) AS rank
-FROM c QUALIFY rank <= 10""")
+@register("aspect_mining", f"""WITH {V.REVIEWS}, {V.aspects()}
+SELECT product_id, entity AS aspect, review_count, entity_idx AS rank FROM ents""")
 def q_aspect_mining(spark, sf):
     return asp.aspect_mining(tb.reviews(spark, sf)).select("product_id", "aspect", "review_count", "rank")
 
 
 def _chunk_sql(max_tokens: int) -> str:
     parts = (f"list_filter(string_split(regexp_replace({V.strip('coalesce(text, ' + chr(39) * 2 + ')')}, "
-             f"'([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')")
+             f"'([.!?]){V.WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')")
     init = "{'cur': '', 'wc': 0::BIGINT, 'done': []::STRUCT(t VARCHAR, wc BIGINT)[]}"
     wc = V.word_count("s")
     step = (f"lambda acc, s: CASE WHEN (CASE WHEN acc.cur = '' THEN {wc} ELSE acc.wc + {wc} END) <= {max_tokens} "
@@ -819,7 +894,7 @@ ch AS (SELECT review_id, CASE WHEN st.cur <> '' THEN list_append(st.done, {{'t':
                               ELSE st.done END AS chunks FROM st),
 c1 AS (SELECT review_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS ci FROM ch),
 c2 AS (SELECT review_id, ci, c.t AS t, c.wc AS wc,
-              list_filter(regexp_split_to_array(c.t, '\\s+'), lambda w: w <> '') AS words FROM c1),
+              list_filter(regexp_split_to_array(c.t, '{V.WS}+'), lambda w: w <> '') AS words FROM c1),
 pieces AS (SELECT review_id, ci, 0 AS pi, t FROM c2 WHERE wc <= {max_tokens}
            UNION ALL
            SELECT review_id, ci, i AS pi, array_to_string(words[i * {max_tokens} + 1:(i + 1) * {max_tokens}], ' ') AS t
@@ -885,9 +960,9 @@ FROM a""")
 def q_applied_filters(spark, sf):
     r = tb.reviews(spark, sf).withColumn("tokens", tx.estimate_tokens("text"))
     crit = sel.FilteringCriteria(use_verified=True, use_useful=False)
-    a = sel.select_verified(r, True)
-    b = sel.select_useful(a, False)
-    st = sel.selection_stats(r, a, b, b, "product_id", 4000, crit)
+    kept = sel.select_useful(sel.select_verified(r, True), False).select(F.col("product_id").alias("_ck"), "tokens")
+    none = r.where(F.lit(False)).select(F.col("product_id").alias("_tk"))
+    st = sel.selection_stats(r, kept, none, "product_id", 4000, crit)
     names = F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in
                       ("verified_only", "useful_only", "exclude_verified", "exclude_useful")])
     return st.select("product_id", F.array_join(F.filter(names, lambda x: x.isNotNull()), ",").alias("applied"))
@@ -913,13 +988,9 @@ SELECT parent_asin, count_if(length(review_text) > 30) AS longer_than_30,
        count_if(length(coalesce(review_text, '')) >= 30) AS at_least_30 FROM canon GROUP BY ALL""")
 def q_min_length(spark, sf):
     c = cl.canonicalize_corpus(tb.corpus_reviews(spark, sf))
-    a = cl.min_length(c, "review_text", 30).groupBy("parent_asin").agg(F.count(F.lit(1)).alias("longer_than_30"))
-    b = cl.min_length(c, "review_text", 30, inclusive=True).groupBy("parent_asin").agg(
-        F.count(F.lit(1)).alias("at_least_30"))
-    keys = c.select("parent_asin").distinct()
-    return keys.join(a, "parent_asin", "left").join(b, "parent_asin", "left").select(
-        "parent_asin", F.coalesce("longer_than_30", F.lit(0)).alias("longer_than_30"),
-        F.coalesce("at_least_30", F.lit(0)).alias("at_least_30"))
+    n = F.length(F.coalesce(F.col("review_text"), F.lit("")))
+    return c.groupBy("parent_asin").agg(F.count_if(n > 30).alias("longer_than_30"),
+                                        F.count_if(n >= 30).alias("at_least_30"))
 
 
 @register("truncate_text", f"""WITH {V.REVIEWS}
@@ -929,10 +1000,10 @@ def q_truncate_text(spark, sf):
     return r.select("review_id", tx.truncate_text(F.coalesce(F.col("text"), F.lit("")), 3000).alias("model_input"))
 
 
-@register("unpack_evidence", _per_review_sentences_sql() + """,
+@register("unpack_evidence", _per_review_sentences_sql() + f""",
 ev AS (SELECT review_id, array_to_string(list(s ORDER BY score DESC, i)[1:3], ' | ') AS evidence FROM sc GROUP BY ALL)
 SELECT r.review_id, len(list_filter(list_transform(string_split(coalesce(evidence, ''), '|'),
-         lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')) AS n_parts
+         lambda p: {V.strip("p")}), lambda p: p <> '')) AS n_parts
 FROM reviews r LEFT JOIN ev USING (review_id)""")
 def q_unpack_evidence(spark, sf):
     rep = q_representative_sentences(spark, sf)

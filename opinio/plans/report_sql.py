@@ -1,14 +1,15 @@
 """DuckDB oracle SQL for the per-product credibility report."""
 
 from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, THEMES_GEN1, sql_values
-from opinio.operators.themes import keyword_weights
 from opinio.plans import views as V
 
 
-def weights_values(themes=THEMES_GEN1) -> str:
-    kw = keyword_weights(themes)
-    pos, neg = set(POSITIVE_WORDS), set(NEGATIVE_WORDS)
-    return sql_values([(w, kw[w], int(w in pos), int(w in neg)) for w in sorted(kw)])
+def weights_ctes(themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> str:
+    """w(word, kw, pw, nw) from the raw lists, weights summed in SQL."""
+    rows = [(w, 1, 0, 0) for _, ws in themes for w in ws]
+    rows += [(w, 1, 1, 0) for w in sorted(set(pos))] + [(w, 1, 0, 1) for w in sorted(set(neg))]
+    return f"""wl(word, kw, pw, nw) AS (VALUES {sql_values(rows)}),
+w AS (SELECT word, sum(kw) AS kw, max(pw) AS pw, max(nw) AS nw FROM wl GROUP BY ALL)"""
 
 
 def theme_values(themes=THEMES_GEN1) -> str:
@@ -29,12 +30,13 @@ tstr AS (SELECT {key},
   FROM tot GROUP BY {key})"""
 
 
-def sentence_score_ctes(src: str, key: str, text: str, themes=THEMES_GEN1) -> str:
+def sentence_score_ctes(src: str, key: str, text: str, themes=THEMES_GEN1, pos=POSITIVE_WORDS,
+                        neg=NEGATIVE_WORDS) -> str:
     """From src(key, text) build sc(key, i, s, score, pos_score, neg_score, wc)."""
-    return f"""sl AS (SELECT {key}, list_filter({V.sentences(text)}, lambda x: length(x) > 10)[1:800] AS arr
+    return f"""sl AS (SELECT {key}, list_filter({V.sentences(text)}, lambda x: length(x) > 10) AS arr
        FROM {src}),
 sents AS (SELECT {key}, unnest(arr) AS s, generate_subscripts(arr, 1) - 1 AS i FROM sl),
-w(word, kw, pw, nw) AS (VALUES {weights_values(themes)}),
+{weights_ctes(themes, pos, neg)},
 stoks AS (SELECT {key}, i, unnest({V.tokens('s')}) AS t FROM sents),
 hits AS (SELECT {key}, i, sum(kw) AS kw, sum(pw) AS pw, sum(nw) AS nw
          FROM stoks JOIN w ON stoks.t = w.word GROUP BY ALL),
@@ -52,34 +54,37 @@ def summary_agg(max_words: int = 120) -> str:
     return f"array_to_string(list_transform(list_sort(({folded}).picked), lambda x: x.s), ' ')"
 
 
-def report_sql(min_reviews: int = 50, max_chars: int = 4000, mode: str = "strict",
-               themes=THEMES_GEN1) -> str:
+def report_sql(min_reviews: int = 50, mode: str = "strict", themes=THEMES_GEN1,
+               pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> str:
+    """The report over the whole text of all reviews; a sentence ends with its review."""
     verified = "verified " if mode == "strict" else ""
     return f"""WITH {V.cleaned(mode)},
 stats AS (SELECT parent_asin, avg(rating) AS avg_rating, count(rating) AS review_count,
                  avg(credibility_score) AS cred FROM cleaned GROUP BY parent_asin),
-texts AS (SELECT parent_asin, substr(string_agg(clean_text, ' ' ORDER BY pos), 1, {max_chars}) AS agg_text
-          FROM cleaned GROUP BY parent_asin),
-g AS (SELECT s.*, t.agg_text FROM stats s LEFT JOIN texts t ON s.parent_asin IS NOT DISTINCT FROM t.parent_asin
-      WHERE s.review_count >= {min_reviews}),
-{sentence_score_ctes('g', 'parent_asin', 'agg_text', themes)},
+g AS (SELECT * FROM stats WHERE review_count >= {min_reviews}),
+rv AS (SELECT c.parent_asin, c.pos, c.clean_text FROM cleaned c JOIN g ON c.parent_asin IS NOT DISTINCT FROM g.parent_asin),
+{sentence_score_ctes('rv', 'pos', 'clean_text', themes, pos, neg)},
+sp AS (SELECT rv.parent_asin, sc.* FROM sc JOIN rv USING (pos)),
 ev AS (SELECT parent_asin,
-         array_to_string(list(s ORDER BY score DESC, i)[1:3], ' | ') AS evidence,
-         array_to_string(list(s ORDER BY pos_score DESC, i)[1:2], ' | ') AS pos_snippets,
-         array_to_string(list(s ORDER BY neg_score DESC, i)[1:2], ' | ') AS neg_snippets,
-         {summary_agg()} AS summary
-       FROM sc GROUP BY parent_asin),
+         array_to_string(list(s ORDER BY score DESC, pos, i)[1:3], ' | ') AS evidence,
+         array_to_string(list(s ORDER BY pos_score DESC, pos, i)[1:2], ' | ') AS pos_snippets,
+         array_to_string(list(s ORDER BY neg_score DESC, pos, i)[1:2], ' | ') AS neg_snippets
+       FROM sp GROUP BY parent_asin),
+so AS (SELECT parent_asin, s, score, wc, row_number() OVER (PARTITION BY parent_asin ORDER BY pos, i) AS i
+       FROM sp WHERE wc > 0 AND wc <= 120),
+sm AS (SELECT parent_asin, {summary_agg()} AS summary FROM so GROUP BY parent_asin),
 th(word, theme, theme_idx) AS (VALUES {theme_values(themes)}),
-ttoks AS (SELECT parent_asin, unnest({V.tokens('agg_text')}) AS t FROM g),
+ttoks AS (SELECT parent_asin, unnest({V.tokens('clean_text')}) AS t FROM rv),
 tc AS (SELECT parent_asin, theme, theme_idx, count(*) AS n FROM ttoks JOIN th ON ttoks.t = th.word GROUP BY ALL),
 {theme_strings_ctes('tc', 'parent_asin')}
 SELECT g.parent_asin, round(g.avg_rating, 3) AS avg_rating, g.review_count,
        round(g.cred, 3) AS credibility_score,
        coalesce(tstr.counts_str, 'N/A') AS themes_counts, coalesce(tstr.pct_str, 'N/A') AS themes_pct,
-       coalesce(ev.summary, '') AS summary, coalesce(ev.evidence, '') AS evidence,
+       coalesce(sm.summary, '') AS summary, coalesce(ev.evidence, '') AS evidence,
        coalesce(ev.pos_snippets, '') AS pos_snippets, coalesce(ev.neg_snippets, '') AS neg_snippets,
        printf('Based on %d {verified}reviews (avg rating %.1f/5, credibility %.2f). Top themes: %s. %s',
               g.review_count, round_even(g.avg_rating, 1), round_even(g.cred, 2),
-              coalesce(tstr.pct_str, 'N/A'), coalesce(ev.summary, '')) AS formatted_summary
+              coalesce(tstr.pct_str, 'N/A'), coalesce(sm.summary, '')) AS formatted_summary
 FROM g LEFT JOIN ev ON g.parent_asin IS NOT DISTINCT FROM ev.parent_asin
+       LEFT JOIN sm ON g.parent_asin IS NOT DISTINCT FROM sm.parent_asin
        LEFT JOIN tstr ON g.parent_asin IS NOT DISTINCT FROM tstr.parent_asin"""

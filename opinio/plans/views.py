@@ -1,5 +1,9 @@
 """The FIXTURES review views written in DuckDB SQL, for oracle queries."""
 
+from opinio.dictionaries import (NEGATIVE_FUNCTION_WORDS, PERSONAL_WORDS, POSITIVE_FUNCTION_WORDS,
+                                 SPAM_PHRASES)
+from opinio.functions.text import WS
+
 REVIEWS = """reviews AS (
   SELECT d.source AS product_id, CAST(d.doc_id AS VARCHAR) AS review_id, d.doc_id AS pos,
          d.text, CAST(1 + d.doc_id % 5 AS DOUBLE) AS rating, (l.quality = 1) AS verified,
@@ -20,19 +24,9 @@ SENTENCE_VECS = """sentence_vecs AS (
          embedding
   FROM embeddings)"""
 
-ENTITY_VECS = """entity_vecs AS (
-  SELECT CAST(label AS VARCHAR) AS product_id, CAST(vec_id AS INTEGER) AS entity_idx,
-         'e' || CAST(vec_id AS VARCHAR) AS entity, embedding
-  FROM embeddings WHERE vec_id < 20)"""
-
-QUESTION_VECS = """question_vecs AS (
-  SELECT CAST(label AS VARCHAR) AS product_id, vec_id AS question_id,
-         'q' || CAST(vec_id AS VARCHAR) AS question, embedding
-  FROM embeddings WHERE vec_id BETWEEN 20 AND 39)"""
-
 # strip(): leading/trailing whitespace
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 NON_WORD = "[^\\p{L}\\p{N}_]+"
 
@@ -43,26 +37,21 @@ def tokens(x: str) -> str:
 def sentences(x: str) -> str:
     """strip -> split after . ! ? -> strip parts -> drop empties (no look-behind in RE2)."""
     s = strip(f"coalesce({x}, '')")
-    return (f"list_filter(list_transform(string_split(regexp_replace({s}, '([.!?])\\s+', "
+    return (f"list_filter(list_transform(string_split(regexp_replace({s}, '([.!?]){WS}+', "
             f"'\\1' || chr(1), 'g'), chr(1)), lambda p: {strip('p')}), lambda p: p <> '')")
 
 def word_count(x: str) -> str:
-    return (f"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '\\s+'), "
+    return (f"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '{WS}+'), "
             f"lambda w: w <> ''))")
 
 
-SPAM_PHRASES = ["free sample", "gifted", "sponsored", "promotion", "in exchange for",
-                "discounted for review", "ad partnership", "paid partnership", "collaboration",
-                "sponsored review"]
-
-
 def spam_sql(x: str, phrases=SPAM_PHRASES) -> str:
     return "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), '{p}')" for p in phrases) + ")"
 
 
 def personal_sql(x: str) -> str:
     # RE2 has no look-around: consume the preceding character and put it back.
-    return (f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(?i:i|my|mine|me|we|our|us)"
+    return (f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(?i:{'|'.join(PERSONAL_WORDS)})"
             f"([^.!?\\p{{L}}\\p{{N}}_][^.!?]*)?[.!?]', '\\1', 'g')")
 
 
@@ -136,3 +125,48 @@ def ordered_distinct(val: str, order: str, src: str, keys: str, sep: str, where:
     """string_agg of the distinct values of src in first-occurrence order."""
     return f"""(SELECT {keys}, string_agg({val}, '{sep}' ORDER BY o) AS agg
       FROM (SELECT {keys}, {val}, min({order}) AS o FROM {src} WHERE {where} GROUP BY ALL) GROUP BY ALL)"""
+
+
+def doc_sentences(dim: int = 64) -> str:
+    """CTEs up to ds(product_id, review_id, pos, sentence_id, text, sentiment, u): the
+    sentence index of the documents, u being the unit vector."""
+    def hits(words):
+        ws = ", ".join(f"'{w}'" for w in words)
+        return f"len(list_filter({tokens('text')}, lambda t: list_contains([{ws}], t)))"
+    return REVIEWS + f""",
+sr AS ({sentence_rows()}),
+sh AS (SELECT *, {hits(POSITIVE_FUNCTION_WORDS)} AS p, {hits(NEGATIVE_FUNCTION_WORDS)} AS n,
+              {hash_embed("text", dim)} AS e FROM sr),
+ds AS (SELECT product_id, review_id, CAST(review_id AS BIGINT) AS pos, sentence_id, text,
+              CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS sentiment,
+              {unit("e")} AS u FROM sh)"""
+
+
+def ngrams(t: str, n: int) -> str:
+    return (f"list_transform(range(1, len({t}) - {n} + 2), "
+            f"lambda i: array_to_string({t}[i:i + {n - 1}], ' '))")
+
+
+def aspects(dim: int = 64, sizes=(1, 2, 3, 4, 5), top_k: int = 10) -> str:
+    """CTEs up to ents(product_id, entity_idx, entity, review_count, u): the mined aspects."""
+    grams = ngrams("t", sizes[0])
+    for n in sizes[1:]:
+        grams = f"list_concat({grams}, {ngrams('t', n)})"
+    return f"""
+tk AS (SELECT product_id, review_id, {tokens("text")} AS t FROM reviews),
+gr AS (SELECT DISTINCT product_id, review_id, unnest({grams}) AS aspect FROM tk),
+ac AS (SELECT product_id, aspect, count(*) AS review_count FROM gr GROUP BY ALL),
+ar AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY review_count DESC, aspect) AS rank
+       FROM ac QUALIFY rank <= {top_k}),
+ae AS (SELECT *, {hash_embed("aspect", dim)} AS e FROM ar),
+ents AS (SELECT product_id, CAST(rank AS INTEGER) AS entity_idx, aspect AS entity, review_count, {unit("e")} AS u FROM ae)"""
+
+
+def questions(dim: int = 64) -> str:
+    """CTEs up to qs(product_id, question_id, question, has_vector, u)."""
+    return f"""
+q0 AS (SELECT 'src' || CAST(conv_id % 25 AS VARCHAR) AS product_id, conv_id * 1000 + turn AS question_id,
+              CASE WHEN (conv_id * 1000 + turn) % 7 = 0 THEN '  ' ELSE text END AS question
+       FROM conversations WHERE role = 'user'),
+q1 AS (SELECT *, {hash_embed("question", dim)} AS e FROM q0),
+qs AS (SELECT product_id, question_id, question, question_id % 11 <> 0 AS has_vector, {unit("e")} AS u FROM q1)"""

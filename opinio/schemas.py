@@ -61,7 +61,6 @@ FEATURE_FACT = T.StructType([
     T.StructField("positive_count", T.LongType()),
     T.StructField("negative_count", T.LongType()),
     T.StructField("neutral_count", T.LongType()),
-    T.StructField("supporting_review_ids", T.ArrayType(T.StringType())),
     T.StructField("evidence_sentences", T.ArrayType(T.StringType())),
 ])
 

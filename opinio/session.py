@@ -41,11 +41,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object-store) folder there. Only when the
-    setting is unset -- local runs and tests -- a scratch folder is created.
+    On a cluster the setting is required: a folder of one machine would be
+    lost to the others.  Only a local session without it (one process, as in
+    tests) gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="opinio-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -57,30 +61,3 @@ def materialize(df):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df):
-    """Give CPU-heavy text work at least one partition per core.
-
-    A scan of a few large files (one parquet row group each) yields fewer
-    partitions than the cluster has cores; only then is the frame
-    round-robin repartitioned.  A large scan already has more splits than
-    cores and is returned unchanged, so this adds no shuffle at scale.
-    """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-def allow_group_limit(spark, n: int) -> None:
-    """Let ``row_number() <= n`` plan as a map-side WindowGroupLimit.
-
-    Spark only inserts the group limit below
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default);
-    without it a top-n window sorts each whole partition key in one task.
-    """
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    cur = int(spark.conf.get(key, "1000"))
-    if cur < n:
-        spark.conf.set(key, str(n))

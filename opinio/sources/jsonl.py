@@ -4,30 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from opinio.functions.text import strip
 from opinio.schemas import CORPUS_REVIEW, PRODUCT
 
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: spellings of each review field, first match wins (case-insensitive).
+ALIASES = {"review_id": ["review_id", "id"],
+           "text": ["text", "review_text", "content"],
+           "rating": ["rating", "rating_value", "stars"],
+           "verified": ["verified", "verified_purchase"],
+           "helpful_votes": ["helpful_votes", "helpful_vote", "helpful", "useful_votes"]}
+# ---------------------------------------------------------------------------
 
-def scan_review_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """One JSON object per line -> (good rows, quarantined lines).
 
-    Malformed lines are dropped from the result (the reference skips them)
-    and returned in the quarantine frame -- the raw lines that do not parse
-    as JSON -- instead of vanishing.
+#: Every field is read as text: a value of another type must not cost the line.
+_NAMES = sorted({f.name for f in CORPUS_REVIEW.fields} | {a for names in ALIASES.values() for a in names})
+_FIELDS = T.StructType([T.StructField(n, T.StringType()) for n in [*_NAMES, "_corrupt"]])
+
+
+def parse_review_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """A table of JSON lines -> (rows, quarantined lines); other columns are kept.
+
+    A line is quarantined only if it is no JSON object; every other non-blank
+    line gives a row, whatever columns are selected later.  Values stay text
+    (``canonicalize_corpus`` casts them, bad ones to null).
     """
-    good = (spark.read.schema(CORPUS_REVIEW).option("mode", "DROPMALFORMED").json(path)
-            .withColumn("_file", F.col("_metadata.file_name")))
-    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name"))
-    bad = lines.where((F.trim(F.col("value")) != "")
-                      & F.get_json_object(F.col("value"), "$").isNull()).select("_file", "value")
-    return good, bad
+    others = [c for c in lines.columns if c != value]
+    full = lines.where(strip(value) != "").withColumn("_r", F.from_json(
+        F.col(value), _FIELDS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | ~F.ltrim(F.col(value)).startswith("{")
+    more = {"text": ["review_text", "content"], "rating": ["rating_value", "stars"],
+            "helpful_votes": ["helpful", "useful_votes"]}
+    good = full.where(~broken).select(*others, *[
+        F.coalesce(*[F.col(f"_r.{n}") for n in [f.name, *more.get(f.name, [])]]).alias(f.name)
+        for f in CORPUS_REVIEW.fields])
+    return good, full.where(broken).select(*others, value)
 
 
-# alias groups, first match wins (case-insensitive), as in the upload adapter
-ALIASES = {"rating": ["rating", "rating_value"],
-           "verified": ["verified", "verified_purchase"],
-           "helpful_votes": ["helpful_votes", "helpful_vote"]}
+def scan_review_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One JSON object per line -> (rows, quarantined lines).
+
+    Rows get ``pos``, their order within the read (file, then place in the
+    file's split), as ``clean_corpus`` needs it.
+    """
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name")).withColumn(
+        "pos", F.monotonically_increasing_id())
+    return parse_review_lines(lines)
 
 
 def resolve_columns(df: DataFrame, candidates: dict) -> dict:
@@ -42,39 +67,42 @@ def resolve_columns(df: DataFrame, candidates: dict) -> dict:
     return out
 
 
+def canonical_columns(df: DataFrame) -> DataFrame:
+    """``df`` with the columns of a review renamed to their canonical names."""
+    for canon, actual in resolve_columns(df, ALIASES).items():
+        if actual != canon and canon not in df.columns:
+            df = df.withColumnRenamed(actual, canon)
+    return df
+
+
 def adapt_review_shapes(spark: SparkSession, path: str, shape: str) -> DataFrame:
-    """Read ``jsonl`` | ``array`` | ``product`` files into the corpus shape.
+    """Read ``jsonl`` | ``array`` | ``product`` files into the corpus shape, with ``pos``.
 
-    Missing ``parent_asin`` comes from the file stem; missing ``text`` or
-    ``rating`` is an error; missing verified reads as false.
+    Missing ``parent_asin``: a product file gives ISBN-10, ISBN-13, title, then
+    the file stem; the others the file stem.  Broken lines are left out (they
+    are in the quarantine of ``scan_review_jsonl``); bad numbers read as null and
+    missing verified as false.  Schemas are fixed: no inference pass.
     """
+    from opinio.operators.cleaning import canonicalize_corpus
+    stem = F.regexp_extract(F.col("_file"), r"([^/]*?)(\.[^./]*)?$", 1)
     if shape == "jsonl":
-        df = spark.read.json(path)
+        df = scan_review_jsonl(spark, path)[0].withColumn("_asin", stem)
     elif shape == "array":
-        df = spark.read.option("multiLine", True).json(path)
+        whole = spark.read.text(path, wholetext=True).withColumn("_file", F.col("_metadata.file_name"))
+        items = F.from_json("value", T.ArrayType(T.StringType()))
+        df = whole.select("_file", F.posexplode(items).alias("pos", "value"))
+        df = parse_review_lines(df)[0].withColumn("_asin", stem)
     elif shape == "product":
-        p = spark.read.schema(PRODUCT).option("multiLine", True).json(path)
-        df = p.select(F.explode("customer_reviews").alias("r"), F.col("_metadata.file_name").alias("_f"))
-        df = df.select("r.*", "_f")
+        p = (spark.read.schema(PRODUCT).option("multiLine", True).json(path)
+             .withColumn("_file", F.col("_metadata.file_name")))
+        spec = F.col("product_meta.specifications")
+        own = F.coalesce(*[F.nullif(strip(x), F.lit("")) for x in (
+            F.element_at(spec, F.lit("ISBN-10")), F.element_at(spec, F.lit("ISBN-13")), F.col("product_meta.title"))], stem)
+        df = p.select("_file", own.alias("_asin"), F.posexplode("customer_reviews").alias("pos", "r"))
+        df = df.select("_file", "_asin", "pos", "r.*").withColumn("parent_asin", F.lit(None).cast("string"))
     else:
         raise ValueError(f"unknown shape {shape!r}")
-    if "_f" not in df.columns:
-        df = df.withColumn("_f", F.col("_metadata.file_name"))
-    cols = resolve_columns(df, ALIASES)
-    for need in ("text", "rating"):
-        if need != "rating" and need not in [c.lower() for c in df.columns]:
-            raise ValueError(f"input has no {need} column")
-        if need == "rating" and "rating" not in cols:
-            raise ValueError("input has no rating column")
-    stem = F.regexp_extract(F.col("_f"), r"([^/]*?)(\.[^./]*)?$", 1)
-    asin = F.coalesce(F.col("parent_asin").cast("string"), stem) if "parent_asin" in df.columns else stem
-    out = df.select(
-        asin.alias("parent_asin"),
-        (F.col("title") if "title" in df.columns else F.lit(None)).cast("string").alias("title"),
-        F.col("text").cast("string").alias("text"),
-        F.expr(f"try_cast(`{cols['rating']}` AS DOUBLE)").alias("rating"),
-        (F.coalesce(F.col(cols["verified"]).cast("boolean"), F.lit(False)) if "verified" in cols
-         else F.lit(False)).alias("verified_purchase"),
-        (F.col(cols["helpful_votes"]).cast("double") if "helpful_votes" in cols
-         else F.lit(0.0)).alias("helpful_vote"))
-    return out
+    c = canonicalize_corpus(df)
+    return c.select(F.coalesce(F.nullif(F.col("parent_asin"), F.lit("")), F.col("_asin")).alias("parent_asin"), "title",
+                    "text", "rating", F.col("verified").alias("verified_purchase"), "helpful_vote",
+                    F.col("pos").cast("long").alias("pos"))

@@ -3,7 +3,7 @@
 Each view is a projection (plus one join for ``reviews``) declared with the
 DataFrame API, so column pruning and filters reach the parquet scan.
 The same definitions are written in SQL for the DuckDB oracles
-(``opinio.plans.oracle``).
+(``opinio.plans.views``).
 """
 
 from __future__ import annotations
@@ -11,21 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.session import spread
+from opinio.dictionaries import NEGATIVE_FUNCTION_WORDS, POSITIVE_FUNCTION_WORDS
+from opinio.functions.vectors import hash_embed
+from opinio.operators.aspects import aspect_mining
+from opinio.operators.sentences import lexicon_label, sentence_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows carry CPU-heavy text/vector work: spread over cores."""
-    return spread(table(spark, sf_dir, name))
-
-
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents LEFT JOIN labels as canonical reviews (M2 + product_id, pos)."""
-    d = text_table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     doc = F.col("doc_id")
     return (d.join(lab, "doc_id", "left")
@@ -53,7 +51,7 @@ def corpus_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as sentence rows: product = label, review = vec_id % 7."""
-    e = text_table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
     return e.select(F.col("label").cast("string").alias("product_id"),
                     (v % 7).cast("string").alias("review_id"),
@@ -64,32 +62,26 @@ def sentence_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("embedding"))
 
 
-def entity_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with precomputed vectors (FIXTURES: vec_id < 20, own label)."""
-    e = text_table(spark, sf_dir, "embeddings")
-    v = F.col("vec_id")
-    return (e.where(v < 20)
-            .select(F.col("label").cast("string").alias("product_id"),
-                    v.cast("int").alias("entity_idx"),
-                    F.concat(F.lit("e"), v.cast("string")).alias("entity"),
-                    F.col("embedding")))
+def doc_sentences(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
+    """The sentence index of the reviews, with each review's place; labels come
+    from word lists that occur in these texts."""
+    r = reviews(spark, sf_dir)
+    s = sentence_index(r, dim=dim, labeler=lambda c: lexicon_label(c, POSITIVE_FUNCTION_WORDS, NEGATIVE_FUNCTION_WORDS))
+    return s.withColumn("pos", F.col("review_id").cast("long"))
 
 
-def question_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with vectors (FIXTURES: vec_id 20..39, product = label)."""
-    e = text_table(spark, sf_dir, "embeddings")
-    v = F.col("vec_id")
-    return (e.where(v.between(20, 39))
-            .select(F.col("label").cast("string").alias("product_id"),
-                    v.alias("question_id"),
-                    F.concat(F.lit("q"), v.cast("string")).alias("question"),
-                    F.col("embedding")))
-
-
-def review_stream_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a review feed (batch form of the stream)."""
-    ev = table(spark, sf_dir, "events")
-    return ev.select(F.col("user_id").cast("string").alias("product_id"),
-                     F.col("event_id").alias("review_id"),
-                     F.col("ts").cast("timestamp").alias("ts"),
-                     F.col("value").alias("rating"))
+def aspects(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
+    """Entities: the mined aspects (1 to 5 words) of each product, embedded."""
+    a = aspect_mining(reviews(spark, sf_dir))
+    return a.select("product_id", F.col("rank").cast("int").alias("entity_idx"), F.col("aspect").alias("entity"),
+                    hash_embed("aspect", dim).alias("embedding"))
+
+
+def questions(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
+    """Questions: all user turns of ``conversations``, dealt to 25 products (five of
+    which have no reviews); every 7th question is blank, every 11th has no vector."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    qid = F.col("conv_id") * 1000 + F.col("turn")
+    q = c.select(F.concat(F.lit("src"), (F.col("conv_id") % 25).cast("string")).alias("product_id"),
+                 qid.alias("question_id"), F.when(qid % 7 == 0, F.lit("  ")).otherwise(F.col("text")).alias("question"))
+    return q.withColumn("embedding", F.when(F.col("question_id") % 11 != 0, hash_embed("question", dim)))

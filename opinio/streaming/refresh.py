@@ -1,24 +1,22 @@
 """Append-only review streams.
 
-* ``review_counts``: distinct new reviews per product (watermarked dedupe,
-  then a streaming aggregation in update/complete mode).
-* ``daily_counts``: the same in tumbling event-time windows; rows later than
-  the watermark are dropped.
-* ``stage_reviews`` / ``refresh_after_n``: deduplicated rows are appended to a
-  staged table keyed by batch id (a retried batch rewrites its own folder),
-  and products that gathered >= N new reviews are recomputed by a batch job
-  and overwritten partition by partition.
+Every micro-batch is appended to a staged table under its batch id (a retried
+batch rewrites its own folder).  Distinct reviews are counted on the staged
+table, so neither late rows nor repeats far apart in time change the result.
+Products that gathered N new reviews since their last refresh are recomputed
+and overwritten.  Folders are parameters: a restarted job finds its own.
 """
 
 from __future__ import annotations
 
-import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.session import checkpoint_dir
+from opinio.session import materialize
+
+SPREAD = 256    # folders of the recomputed table: a hash of the product, not one folder each
 
 
 def review_stream(spark: SparkSession, source_dir: str, schema) -> DataFrame:
@@ -30,54 +28,74 @@ def review_stream(spark: SparkSession, source_dir: str, schema) -> DataFrame:
                      F.col("value").alias("rating"))
 
 
-def dedupe(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["review_id"])
+def stage_reviews(stream: DataFrame, staged_dir: str, checkpoint: str, available_now: bool = True):
+    """Append every row to ``staged_dir/batch_id=<id>`` (idempotent by batch)."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{staged_dir}/batch_id={batch_id}")
 
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
 
-def review_counts(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    return dedupe(stream, delay).groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))
 
+def staged_reviews(spark: SparkSession, staged_dir: str, schema=None) -> DataFrame:
+    """The distinct staged reviews: of rows with one id the first by (ts, batch_id).
 
-def daily_counts(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    d = dedupe(stream, delay)
-    return d.groupBy(F.window("ts", "1 day").alias("day"), "product_id").agg(
-        F.count(F.lit(1)).alias("new_reviews"))
+    A grouped minimum, combined before the shuffle.
+    """
+    staged = spark.read.parquet(staged_dir)
+    rest = [c for c in staged.columns if c != "review_id"]
+    order = ["ts", "batch_id"] + [c for c in rest if c not in ("ts", "batch_id")]
+    first = staged.groupBy("review_id").agg(F.min(F.struct(*order)).alias("r"))
+    return first.select("review_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def stage_reviews(stream: DataFrame, staged_dir: str, ckpt: str, delay: str = "2 days",
-                  available_now: bool = True):
-    """Append deduplicated reviews to ``staged_dir/batch_id=<id>`` (idempotent)."""
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.write.mode("overwrite").parquet(os.path.join(staged_dir, f"batch_id={batch_id}")))
+def review_counts(reviews: DataFrame) -> DataFrame:
+    """Distinct new reviews per product."""
+    return reviews.groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))
 
-    w = dedupe(stream, delay).writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+
+def daily_counts(reviews: DataFrame) -> DataFrame:
+    """The same in tumbling windows of a day of event time."""
+    return reviews.groupBy(F.window("ts", "1 day").alias("day"), "product_id").agg(
+        F.count(F.lit(1)).alias("new_reviews"))
 
 
 def refresh_after_n(spark: SparkSession, staged_dir: str, refreshed: DataFrame | None, n: int,
-                    recompute: Callable[[DataFrame], DataFrame], out_dir: str) -> DataFrame:
-    """Products with >= n staged reviews since their last refresh are
-    recomputed by ``recompute(products)`` and overwritten (dynamic partitions).
-    Returns the products refreshed."""
+                    recompute: Callable[[DataFrame], DataFrame], out_dir: str, done_dir: str) -> DataFrame:
+    """Products with >= n distinct new reviews since their last refresh are recomputed
+    by ``recompute(products)`` and overwritten.
+
+    ``refreshed`` has (product_id, last_batch_id); only reviews first staged in a
+    later batch count.  The products refreshed now, with the last batch id of the
+    staged table, are written to ``done_dir`` and returned: they belong into
+    ``refreshed`` next time.
+    """
     staged = spark.read.parquet(staged_dir)
-    counts = staged.groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))
+    last = staged.agg(F.max("batch_id").alias("last_batch_id"))
+    first = staged.groupBy("product_id", "review_id").agg(F.min("batch_id").alias("batch_id"))
     if refreshed is not None:
-        counts = counts.join(refreshed, "product_id", "left_anti")
-    due = counts.where(F.col("new_reviews") >= n).select("product_id")
-    out = recompute(due)
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("product_id").parquet(out_dir))
+        seen = refreshed.groupBy("product_id").agg(F.max("last_batch_id").alias("_seen"))
+        first = first.join(seen, "product_id", "left").where(
+            F.col("batch_id") > F.coalesce("_seen", F.lit(-1)))
+    due = first.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select("product_id")
+    newest = last.first()
+    due = due.withColumn("last_batch_id", F.lit(None if newest is None else newest[0]).cast("long"))
+    due.write.mode("overwrite").parquet(done_dir)
+    due = spark.read.parquet(done_dir)
+    part = F.pmod(F.xxhash64("product_id"), F.lit(SPREAD)).cast("int")
+    # folders are overwritten whole: what else they hold is carried over
+    out = recompute(due.select("product_id")).withColumn("part", part)
+    try:
+        old = spark.read.parquet(out_dir)
+    except Exception as e:  # noqa: BLE001 -- first run: nothing there yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    if old is not None:
+        touched = due.select(part.alias("part")).distinct()
+        keep = (old.join(touched, "part", "leftsemi").join(due.select("product_id"), "product_id", "leftanti"))
+        out = materialize(out.unionByName(keep.select(*out.columns)))
+    (out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("part").parquet(out_dir))
     return due
-
-
-def staged_review_counts(spark: SparkSession, events_dir: str, schema, delay: str = "2 days") -> DataFrame:
-    """Run the feed once (AvailableNow) into a staged table in the shared
-    checkpoint folder and return distinct reviews per product from it."""
-    base = checkpoint_dir(spark)
-    run = os.path.join(base, f"stream-{os.getpid()}-{id(schema)}-{abs(hash(events_dir)) % 10**8}")
-    q = stage_reviews(review_stream(spark, events_dir, schema), os.path.join(run, "staged"),
-                      os.path.join(run, "ckpt"), delay)
-    q.awaitTermination()
-    staged = spark.read.parquet(os.path.join(run, "staged"))
-    return staged.groupBy("product_id").agg(F.count(F.lit(1)).alias("new_reviews"))

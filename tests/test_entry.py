@@ -9,9 +9,12 @@ def test_contract(spark):
     assert "product_id" in df.columns
 
 
-def test_every_query_plans(spark):
-    # planning only (no execution) for every registered query at sf0.001
+# these run jobs when called (greedy rounds, streams); the oracle check covers them
+EAGER = ("stream_", "filter_reviews", "selection_stats", "product_facts", "prompt_block", "credibility_report",
+         "compact_report", "corpus_overview", "select_under_budget", "op", "pipeline")
+
+
+def test_lazy_queries_plan(spark):
     for name, fn in E.queries().items():
-        if name == "stream_review_counts":
-            continue
-        fn(spark, "/root/testdata/sf0.001").schema
+        if not name.startswith(EAGER):
+            fn(spark, "/root/testdata/sf0.001").schema

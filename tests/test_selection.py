@@ -19,8 +19,9 @@ def greedy(items, limit):
 
 def run(spark, rows, limit, k=2048):
     df = spark.createDataFrame(rows, "id string, score double, pos long, t double").withColumn("p", F.lit("A"))
-    got = sel.select_under_budget(df, "p", "id", "score", "pos", "t", limit, k=k)
-    return [r.id for r in got.orderBy("picked_rank").collect()]
+    got = sel.select_under_budget(df, "p", "score", "pos", "t", limit, k=k)
+    names = {r[2]: r[0] for r in rows}
+    return [names[r.pos] for r in got.orderBy("picked_rank").collect()]
 
 
 def test_greedy_skip_and_continue(spark):
@@ -81,3 +82,25 @@ def test_filter_reviews_all_fit_returns_all(spark):
     assert selected.count() == 2
     s = stats.first()
     assert s.after_ranking_count == 2 and s.token_usage == 0.0 and s.retention_rate == 1.0
+
+
+REVIEWS = ("product_id string, id string, pos long, text string, stars double, verified boolean, "
+           "helpful_votes int")
+
+
+def test_repeated_ids_stay_in_budget(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", None]), str(rnd.randint(0, 6)), i, "x" * rnd.choice([4, 40, 80, 160]), 4.0, True, 1)
+            for i in range(40)]
+    reviews = spark.createDataFrame(rows, REVIEWS)     # other spellings: id, stars
+    sents = spark.createDataFrame([("a", "1", [1.0, 0.0])], "product_id string, review_id string, embedding array<double>")
+    selected, stats = sel.filter_reviews(reviews, sents, sel.FilteringCriteria(token_limit=50), dim=2)
+    last = {(r[0], r[1]): r[2] for r in rows}
+    got = selected.collect()
+    assert all(last[(r.product_id, r.review_id)] == r.pos for r in got)
+    for key in ("a", None):
+        assert 0 < sum(r.tokens for r in got if r.product_id == key) <= 50
+    s = {r.product_id: r for r in stats.collect()}
+    assert set(s) == {"a", None} and s["a"].selection_applied and s["a"].rating_distribution == {
+        4.0: len([k for k in last if k[0] == "a"])}
+    assert s[None].token_usage == sum(r.tokens for r in got if r.product_id is None)

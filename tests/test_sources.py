@@ -67,3 +67,26 @@ def test_adapt_shapes(spark):
     write(os.path.join(d, "P1.json"), [{"text": "x", "rating_value": "4", "verified_purchase": True}])
     rows = jsonl.adapt_review_shapes(spark, d, "array").collect()
     assert rows[0].parent_asin == "P1" and rows[0].rating == 4.0 and rows[0].verified_purchase is True
+
+
+def test_every_line_is_a_row_or_quarantined(spark):
+    d = tempfile.mkdtemp(prefix="opinio-lossless-")
+    lines = ['{"parent_asin": "A", "text": "one and a half words of text, long enough", "rating": 5, "verified": "yes"}',
+             '{"parent_asin": "A", "text": "two is also long enough to be kept here", "verified_purchase": 1, "stars": "4"}',
+             "{not json", "", '{"parent_asin": "A", "text": "three, and long enough to be kept as well", "verified": true, "helpful_votes": 7}']
+    with open(os.path.join(d, "r.jsonl"), "w") as f:
+        f.write("\n".join(lines))
+    good, bad = jsonl.scan_review_jsonl(spark, d)
+    assert good.count() == len(good.collect()) == good.select("text").count() == 3 and bad.count() == 1
+    from opinio.operators import cleaning, report
+    c = cleaning.clean_corpus(good, filter_mode="inclusive")
+    got = {r.text[:3]: r for r in c.collect()}
+    assert got["thr"].verified and got["thr"].helpful_vote == 7.0 and got["two"].rating is None or got["two"].rating == 4.0
+    assert report.credibility_report(c, min_reviews=1, filter_mode="inclusive").count() == 1
+
+
+def test_product_document_ids(spark):
+    d = tempfile.mkdtemp(prefix="opinio-pid-")
+    write(os.path.join(d, "f.json"), {"website_summaries": [], "customer_reviews": [review(1)],
+                                      "product_meta": {"title": "T", "specifications": {"ISBN-13": "978"}}})
+    assert jsonl.adapt_review_shapes(spark, d, "product").first().parent_asin == "978"

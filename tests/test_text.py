@@ -46,3 +46,14 @@ def test_count_word_whole_words(spark):
 
 def test_contains_any_is_substring(spark):
     assert one(spark, tx.contains_any(F.col("x"), ["gifted"]), "a GIFTED-ish item") is True
+
+
+def test_unicode_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from opinio.functions import text as tx
+    t = "\u00a0Bonjour\u2009le monde.\u00a0Encore\u3000un mot un mot\u00a0"
+    df = spark.createDataFrame([(t,)], "t string")
+    r = df.select(tx.strip("t").alias("s"), tx.word_count("t").alias("n"), F.size(tx.sentence_array("t")).alias("k"),
+                  tx.strip_stutter("t").alias("u")).first()
+    assert r.s == t.strip() and r.n == len(t.split()) and r.k == 2 and r.u.strip().endswith("Encore\u3000un mot")
