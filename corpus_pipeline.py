@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opinio.llm.common import table
 from opinio.llm.mixing import mix_documents
@@ -23,8 +24,9 @@ from opinio.session import checkpoint_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score under the toxicity threshold (null and empty texts stay)."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, model)
-    return scored.where(scored["toxic_score"] < FLAG).select(*docs.columns)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score_toxicity(docs.select(columns.alias("row"), "text"), model)
+    return scored.where(F.col("toxic_score") < FLAG).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -443,10 +443,10 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     round_trip tells whether decoding the ids gives back the text's normal form.
     Defined results: null and empty texts have no ids; repeated rows are encoded
-    alike; an empty table gives an empty result; other columns are kept.
-    ``docs`` must not have columns named ids, n_ids or round_trip.
+    alike; an empty table gives an empty result; other columns are kept, but
+    those called ids, n_ids or round_trip are replaced.
     """
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    others = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_ids", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceEncoder(model)

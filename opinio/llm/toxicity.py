@@ -209,14 +209,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Defined results: null and empty texts have no windows and the score of no
     evidence; without toxic labels to learn from every score is 0; repeated
-    rows score alike; an empty table stays empty.  ``docs`` must not have
-    columns named evidence or toxic_score.
+    rows score alike; an empty table stays empty; a column that is already
+    called toxic_score is replaced.
     """
     if not model.cells:
         return docs.withColumn("toxic_score", F.lit(0.0))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     x = F.least(F.col("evidence"), F.lit(20.0))
     score = 1 / (1 + F.exp(-(F.lit(model.slope) * x + F.lit(model.offset))))
-    return evidence(docs, model).withColumn("toxic_score", score).drop("evidence")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "toxic_score"]
+    return evidence(packed, model).select(*kept, score.alias("toxic_score"))
 
 
 def held_out():
