@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents LEFT JOIN labels as canonical reviews (M2 + product_id, pos)."""
+    """documents LEFT JOIN labels as canonical reviews (M2 + product_id, pos).
+
+    The labels cover a fixed share of the documents, so at scale this is a
+    shuffled join; the hint makes it one at every size (a broadcast of the small
+    test table would leave a one-file scan as a single task).
+    """
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     doc = F.col("doc_id")
-    return (d.join(lab, "doc_id", "left")
+    return (d.join(lab.hint("shuffle_hash"), "doc_id", "left")
             .select(F.col("source").alias("product_id"),
                     doc.cast("string").alias("review_id"),
                     doc.alias("pos"),
