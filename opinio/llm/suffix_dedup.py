@@ -35,8 +35,9 @@ WIDTH = 400
 GRAM = 100
 PIECE = 1 << 20         # window starts handled at a time
 MAX_SPANS = 1000        # different spans of an anchor that one suffix sort takes
-SORT_BYTES = 1 << 16    # spans of several anchors are sorted together up to this size
+SORT_BYTES = 1 << 18    # spans of several anchors are sorted together up to this size
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
 _UP = bytes([(b + 1) & 255 for b in range(256)])    # UTF-8 has no byte 255; 0 ends a span
 
 
@@ -167,21 +168,73 @@ def suffix_order(s: bytes) -> list[int]:
     return out
 
 
-def repeated_windows(spans: list[tuple[bytes, int]], width: int = WIDTH) -> list[list[int]]:
-    """For (bytes, number of windows) spans: the window starts that occur twice or more."""
-    text = b"".join(t.translate(_UP) + b"\0" for t, _ in spans)
-    owner, base, at = {}, [], 0
+def candidate_runs(spans: list[tuple[bytes, int]], width: int = WIDTH) -> list[tuple[int, int, int]]:
+    """(span, first window, last window): windows whose short grams all occur twice or more.
+
+    A window with a gram that no other place has cannot be repeated; this cuts
+    away what surrounds a repeat, which differs from text to text.
+    """
+    gram = min(64, width)
+    text = np.frombuffer(b"".join(t.translate(_UP) + b"\0" for t, _ in spans), np.uint8)
+    n = len(text)
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
+    back = np.multiply.accumulate(np.concatenate(
+        [np.ones(1, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[text] * power[:n], dtype=np.uint64)])
+    h = (sums[gram:] - sums[:-gram]) * back[:n - gram + 1]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    lone = np.concatenate([[0], np.cumsum(~twice)])
+    out, at = [], 0
     for k, (t, windows) in enumerate(spans):
-        base.append(at)
-        for i in range(windows):
-            owner[at + i] = k
+        i = np.arange(at, at + windows)
+        ok = np.concatenate([[False], lone[i + width - gram + 1] == lone[i], [False]])
+        edge = np.flatnonzero(ok[1:] != ok[:-1])
+        out += [(k, a, z - 1) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist())]
         at += len(t) + 1
+    return out
+
+
+def repeated_windows(spans: list[tuple[bytes, int]], groups: list | None = None,
+                     width: int = WIDTH) -> list[list[int]]:
+    """For (bytes, number of windows) spans: the window starts that occur twice or more.
+
+    Equal candidate runs need no sorting.  The others are sorted as suffixes,
+    with one of each set of equal runs, within the groups (anchors) that have
+    any run on its own.
+    """
+    groups = groups or [0] * len(spans)
     out: list[list[int]] = [[] for _ in spans]
+    runs_: dict[tuple, list[tuple[int, int, int]]] = {}
+    for k, a, z in candidate_runs(spans, width):
+        runs_.setdefault((groups[k], spans[k][0][a:z + width]), []).append((k, a, z))
+    several: dict = {}
+    for (g, _), places in runs_.items():
+        n, lone = several.get(g, (0, False))
+        several[g] = (n + 1, lone or len(places) == 1)
+        if len(places) > 1:
+            for k, a, z in places:
+                out[k] += range(a, z + 1)
+    sort = [(t, places) for (g, t), places in runs_.items() if several[g][0] > 1 and several[g][1]]
+    if not sort:
+        return out
+    text = b"".join(t.translate(_UP) + b"\0" for t, _ in sort)
+    owner, base, at = {}, [], 0
+    for r, (t, _) in enumerate(sort):
+        base.append(at)
+        for i in range(len(t) - width + 1):
+            owner[at + i] = r
+        at += len(t) + 1
     sorted_ = [i for i in suffix_order(text) if i in owner]
     same = [text[i:i + width] == text[j:j + width] for i, j in zip(sorted_, sorted_[1:])]
-    for k, i in enumerate(sorted_):
-        if (k and same[k - 1]) or (k < len(same) and same[k]):
-            out[owner[i]].append(i - base[owner[i]])
+    for x, i in enumerate(sorted_):
+        r = owner[i]
+        if len(sort[r][1]) == 1 and ((x and same[x - 1]) or (x < len(same) and same[x])):
+            k, a, _ = sort[r][1][0]
+            out[k].append(a + i - base[r])
     return out
 
 
@@ -252,7 +305,7 @@ def sort_spans(spans: DataFrame) -> DataFrame:
         held: list[tuple[int, int, int, bytes]] = []
 
         def solve(rows):
-            got = repeated_windows([(s, w) for _, _, w, s in rows])
+            got = repeated_windows([(s, w) for _, _, w, s in rows], [r[0] for r in rows])
             hit = [(r, runs(g)) for r, g in zip(rows, got) if g]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r, _ in hit], pa.int64()), pa.array([r[1] for r, _ in hit], pa.int64()),
