@@ -14,7 +14,9 @@ from opinio.schemas import PRODUCT_FACTS, SUMMARY_ROW
 
 
 def write_partitioned(df: DataFrame, path: str, key: str = "product_id", fmt: str = "parquet") -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # the rows of a product go to a few tasks only, so it gets a few files, and a hot one is no single task
+    salt = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(8))
+    (df.repartition(F.col(key), salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(key).format(fmt).save(path))
 
 
@@ -59,9 +61,10 @@ def read_checkpoint_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def run_report(summary: DataFrame, stats: DataFrame, facts: DataFrame, config: dict,
                key: str = "product_id") -> DataFrame:
-    """One JSON document per product: summary + filter stats + facts + config."""
+    """One JSON document per product: summary + filter stats + facts + config (nulls kept)."""
     cfg = F.struct(*[F.lit(v).alias(k) for k, v in sorted(config.items())])
     j = (summary.join(stats, key, "left").join(facts, key, "left"))
     cols = [c for c in j.columns if c != key]
     return j.select(key, F.to_json(F.struct(F.col(key), *[F.col(c) for c in cols],
-                                            cfg.alias("config"))).alias("report"))
+                                            cfg.alias("config")),
+                                     {"ignoreNullFields": "false"}).alias("report"))
