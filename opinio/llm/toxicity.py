@@ -9,6 +9,12 @@ falls into a cell; the log-odds of the cells among labelled documents give
 calibrated thresholds, and a logistic fit turns the evidence of a document's
 windows into a score.
 
+Evidence is judged against the number of windows: every window costs the
+midpoint of what a clean and a toxic window bring on average, and the best
+region of the whole text counts (all of it if toxic words are spread, a passage
+if they stand together).  In clean text that maximum grows with the logarithm
+of the length only; it is divided by that growth.
+
 The fit uses at most ``MAX_LABELLED`` labelled documents a class (by hash
 order).  Scoring covers every window of every text and keeps only the
 dictionaries and the cell table (a few KB) in each worker.
@@ -38,6 +44,7 @@ REPEAT = 3                  # a window repeats its word so that short words comp
 LEVEL = 3
 MIN_CONTEXTS = 4            # a segment must follow this many different words in toxic text
 FLAG = 0.7
+GROWTH = 0.5                # growth of the best clean region, as a share, with each e-fold of length
 MEMO = 250_000              # words remembered by a worker (only to save time)
 SLICE = 200                 # texts whose words a worker holds at a time
 _WORD = re.compile(r"[^\W\d_]{1,48}")
@@ -50,6 +57,8 @@ class ToxicityModel:
     cells: dict             # (word bytes, difference, length) -> log-odds, flagged cells only
     slope: float
     offset: float
+    cost: float = 0.0       # of a window
+    typical: float = 1.0    # windows of a labelled text
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -98,10 +107,21 @@ class _Scorer:
                 if weight is not None:
                     self.weights[w] = weight
             self.known.update(new)
-            hit = self.weights
-            out += [math.fsum(hit[w] for w in ws if w in hit) for ws in found]
+            out += map(self._judge, found)
         return out
 
+    def _judge(self, words: list[str]) -> float:
+        """The best region's log-odds less the cost of its windows, by the text's length."""
+        hit, cost = self.weights, self.model.cost
+        best = run = 0.0
+        last = -1
+        for i, weight in [(i, hit[w]) for i, w in enumerate(words) if w in hit]:
+            run = max(0.0, run - cost * (i - last - 1)) + weight - cost
+            last = i
+            if run > best:
+                best = run
+        return best / (1 + GROWTH * math.log1p(len(words) / self.model.typical))
+
 
 def _cell_odds(counts: pd.DataFrame) -> dict:
     """Flagged cells: the log-odds toxic to ordinary stay above 2 after two standard errors."""
@@ -184,6 +204,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counts = (sample.mapInPandas(count_cells, "toxic int, cell string, n long")
               .groupBy("toxic", "cell").agg(F.sum("n").alias("n")).toPandas())
     model.cells = _cell_odds(counts)
+    counts["odds"] = [model.cells.get(tuple(map(int, k.split(","))), 0.0) for k in counts["cell"]]
+    rates = [float((c["n"] * c["odds"]).sum() / max(1, c["n"].sum()))
+             for c in (counts[counts["toxic"] == t] for t in (0, 1))]
+    model.cost = sum(rates) / 2
+    model.typical = max(1.0, float(counts["n"].sum()) / max(1, sample.count()))
     ev = evidence(sample, model).groupBy("toxic", F.round("evidence", 1).alias("x")).count().toPandas()
     if ev["toxic"].nunique() == 2:
         x = np.minimum(ev["x"].to_numpy(float), 20.0)
@@ -192,7 +217,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Adds evidence: the summed log-odds of a text's flagged windows."""
+    """Adds evidence: the log-odds of a text's best region, judged by its length."""
     cols = docs.columns
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -42,6 +42,27 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean([(r.toxic_score >= toxicity.FLAG) == bool(r.toxic) for r in got]) >= 0.97
 
 
+def test_toxicity_of_very_long_texts(spark):
+    rnd = random.Random(21)
+    bad = ["worthlox", "idiotix", "scumbor", "trashka", "pathetok"]
+
+    def text(n, every, passage=0):
+        ws = prose(rnd, n).split()
+        ws = [rnd.choice(bad) if every and rnd.random() < 1 / every else w for w in ws]
+        at = rnd.randrange(len(ws))
+        return " ".join(ws[:at] + [rnd.choice(bad) for _ in range(passage)] + ws[at:])
+
+    # ordinary texts hold a bad word in 1,500, toxic texts one in 12
+    docs = docs_of(spark, [text(60, 12 if i % 3 == 0 else 1500) for i in range(500)])
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(500)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, lab)
+    kinds = {"clean": (1500, 0), "spread": (25, 0), "passage": (1500, 12)}
+    long = {k: [text(n, *v) for n in (5_000, 20_000, 60_000)] for k, v in kinds.items()}
+    got = toxicity.score_toxicity(docs_of(spark, sum(long.values(), [])), model).orderBy("doc_id").collect()
+    flags = [r.toxic_score >= toxicity.FLAG for r in got]
+    assert flags == [False] * 3 + [True] * 6
+
+
 def test_license_scan_equals_brute_force(spark):
     rnd = random.Random(2)
     texts = []
