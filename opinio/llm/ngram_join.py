@@ -238,11 +238,14 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """key, doc_id, class_id, n_links, component_id for every row of ``docs``.
+    """key, doc_id, class_id, n_links, component_id, cls, component for every row of ``docs``.
 
     class_id is the smallest doc_id with the same shingle set, n_links the
     number of other rows with Jaccard similarity of 0.8 or more (copies
-    included), component_id the smallest doc_id reachable by links.
+    included), component_id the smallest doc_id reachable by links.  cls and
+    component name the class and the component themselves (null without a word):
+    components apart from each other may share a component_id where ids are
+    null or repeated.
 
     Defined results: texts without a word (null, empty, white space) link with
     nothing and are their own class and component; texts under five words have
@@ -285,18 +288,18 @@ def ngram_join(docs: DataFrame) -> DataFrame:
              .select("cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                      F.coalesce("component", "cls").alias("component")))
     lowest = state.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    state = state.join(lowest, "component").select("cls", "class_id", "n_links", "component_id")
+    state = state.join(lowest, "component").select("cls", "class_id", "n_links", "component_id", "component")
     out = signed.select("key", "doc_id", "cls").join(state, "cls", "left")
     return out.select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+                      F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "component")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row
     with the smallest doc_id (then key) stays; texts without a word all stay."""
     joined = written(ngram_join(docs), "ngram-joined")
-    first = (joined.where(F.col("cls").isNotNull()).groupBy("component_id")
+    first = (joined.where(F.col("cls").isNotNull()).groupBy("component")
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
              .select(F.col("best.key").alias("__key")))
     rows = docs.withColumn("__key", row_key())

@@ -60,6 +60,15 @@ def test_defined_results(spark):
     assert marks[3] == "reserved" and marks[2] == ""
 
 
+def test_one_of_each_group_under_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]),
+            (8, texts[4] + " more"), (7, texts[5]), (None, texts[5]), (9, texts[6]), (None, None), (None, " ")]
+    kept = ngram_join.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted(
+        [(0, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]] + [(9, texts[6]), (0, ""), (0, " ")])
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = edge_docs(spark)
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
