@@ -236,10 +236,10 @@ def _unit(rows: list) -> np.ndarray:
 def build_shards(vectors: DataFrame) -> DataFrame:
     """(label, shard, graph): one stored graph a shard."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", ignore_index=True)
+        pdf = pdf.sort_values(["vec_id", "same"], ignore_index=True)
         unit = _unit(pdf["embedding"].tolist())
         g = Graph(unit)
-        stored = pickle.dumps({"v": unit.astype(np.float64), "ids": pdf["vec_id"].to_numpy(np.int64),
+        stored = pickle.dumps({"v": unit.astype(np.float64), "ids": pdf["node"].to_numpy(np.int64),
                                "copies": pdf["copies"].to_numpy(np.int64), "layers": g.layers,
                                "entry": g.entry, "height": g.height}, protocol=5)
         return pd.DataFrame({"label": pdf["label"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [stored]})
@@ -349,29 +349,32 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
                    .withColumn("same", F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256)),
                    "hnsw-vectors")
     nodes = written(good.groupBy("label", "same").agg(
-        F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "hnsw-nodes")
-    held = (good.join(nodes.select("label", "same", "vec_id", "copies"), ["label", "same", "vec_id"])
+        F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id()), "hnsw-nodes")     # a vec_id may name several
+    held = (good.join(nodes.select("label", "same", "vec_id", "copies", "node"), ["label", "same", "vec_id"])
             .dropDuplicates(["label", "same"]))
     sizes = held.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("rows"))
-    spread = F.xxhash64("vec_id", F.lit(SEED))
+    spread = F.xxhash64("vec_id", "same", F.lit(SEED))
     dealt = written(held.join(sizes, F.col("label") == F.col("l")).select(
-        "label", "vec_id", "copies", "embedding",
+        "label", "vec_id", "same", "node", "copies", "embedding",
         F.pmod(spread, F.ceil(F.col("rows") / SHARD_ROWS)).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("block")),
+        F.pmod(F.xxhash64("vec_id", "same", F.lit(SEED + 1)), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("block")),
         "hnsw-dealt")
     graphs = written(build_shards(dealt.drop("block")), "hnsw-graphs")
-    blocks = dealt.groupBy("label", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
-    blocks = written(blocks.select("label", "block", F.transform("q", lambda x: x["vec_id"]).alias("qids"),
+    blocks = dealt.groupBy("label", "block").agg(F.collect_list(F.struct("node", "embedding")).alias("q"))
+    blocks = written(blocks.select("label", "block", F.transform("q", lambda x: x["node"]).alias("qids"),
                                    F.transform("q", lambda x: x["embedding"]).alias("qvecs")), "hnsw-blocks")
     # each block against each shard of its label: the pairs are dealt out one by one
     keys = written(graphs.select("label", "shard").join(blocks.select("label", "block"), "label"), "hnsw-pairs")
     tasks = (keys.join(graphs, ["label", "shard"]).join(blocks, ["label", "block"]))
     found = written(search_shards(tasks), "hnsw-links")
-    links = found.groupBy(F.col("node").alias("vec_id")).agg(F.sum("links").alias("links"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("node", "root").distinct(), "node", "root")
-    state = (nodes.join(links, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-             .select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component", "vec_id").alias("component_id")))
+    state = (nodes.join(links, "node", "left").join(groups, "node", "left")
+             .select("label", "same", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                     F.coalesce("component", "node").alias("component")))
+    lowest = state.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    state = state.join(lowest, "component").select("label", "same", "n_links", "component_id")
     linked = good.select("vec_id", "label", "same").join(state, ["label", "same"]).select(
         "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"),

@@ -102,6 +102,14 @@ def test_vector_edges(spark):
     assert hnsw.near_vectors(df.where(F.lit(False))).count() == 0
 
 
+def test_one_vec_id_names_several_vectors(spark):
+    a, near, b = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 0), (5, near, 0), (3, [0.0, 0.01, 1.0], 1), (5, [0.0, 0.0, 1.0], 1), (5, b, 0), (6, b, 2), (8, [0.01, 1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw.near_vectors(df).collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (5, 1, 5), (5, 1, 5), (5, 1, 5), (6, 0, 6), (8, 1, 5)]
+
+
 def test_url_edges(spark):
     rows = [(1, None), (1, None), (2, ""), (3, "no scheme"), (4, "https://EXAMPLE.com/en/" + "x" * 50_000), (4, "http://a.net/es/"),
             (None, "http://b.net/fr/?q"), (5, "http://"), (5, "http://")]
