@@ -1008,3 +1008,7 @@ FROM reviews r LEFT JOIN ev USING (review_id)""")
 def q_unpack_evidence(spark, sf):
     rep = q_representative_sentences(spark, sf)
     return rep.select("review_id", F.size(tx.unpack_evidence("evidence")).alias("n_parts"))
+
+
+# --------------------------------------------------------------------------- queries in modules of their own
+from opinio.plans import feed_queries  # noqa: E402, F401

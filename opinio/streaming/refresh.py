@@ -83,11 +83,20 @@ def refresh_after_n(spark: SparkSession, staged_dir: str, refreshed: DataFrame |
     due = due.withColumn("last_batch_id", F.lit(None if newest is None else newest[0]).cast("long"))
     due.write.mode("overwrite").parquet(done_dir)
     due = spark.read.parquet(done_dir)
+    replace_products(recompute(due.select("product_id")), due.select("product_id"), out_dir)
+    return due
+
+
+def replace_products(rows: DataFrame, due: DataFrame, out_dir: str) -> None:
+    """Replace the rows of the ``due`` products in the table ``out_dir`` by ``rows``.
+
+    The table lies in folders by a hash of the product; only folders of due products
+    are written, and what else they hold is carried over.
+    """
     part = F.pmod(F.xxhash64("product_id"), F.lit(SPREAD)).cast("int")
-    # folders are overwritten whole: what else they hold is carried over
-    out = recompute(due.select("product_id")).withColumn("part", part)
+    out = rows.withColumn("part", part)
     try:
-        old = spark.read.parquet(out_dir)
+        old = rows.sparkSession.read.parquet(out_dir)
     except Exception as e:  # noqa: BLE001 -- first run: nothing there yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -98,4 +107,3 @@ def refresh_after_n(spark: SparkSession, staged_dir: str, refreshed: DataFrame |
         out = materialize(out.unionByName(keep.select(*out.columns)))
     (out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("part").parquet(out_dir))
-    return due
