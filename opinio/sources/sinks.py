@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinio.schemas import PRODUCT_FACTS, SUMMARY_ROW
 
@@ -25,8 +26,15 @@ def write_sentence_index(sentences: DataFrame, path: str) -> None:
     write_partitioned(sentences, path, "product_id", "parquet")
 
 
+def read_partitioned(spark: SparkSession, path: str, key: str = "product_id") -> DataFrame:
+    """A table of ``write_partitioned``; keys stay text ("007" is no number)."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name == key else f.dataType)
+                                           for f in found.fields])).parquet(path)
+
+
 def read_sentence_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_partitioned(spark, path)
 
 
 def write_product_facts(facts: DataFrame, path: str, fmt: str = "json") -> None:
