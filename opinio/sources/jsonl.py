@@ -75,14 +75,21 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def adapt_review_shapes(spark: SparkSession, path: str, shape: str) -> DataFrame:
+def adapt_review_shapes(spark: SparkSession, path: str, shape: str | None = None) -> DataFrame:
     """Read ``jsonl`` | ``array`` | ``product`` files into the corpus shape, with ``pos``.
 
+    Without ``shape`` the files may be of any of the three, which is found out value by
+    value (``detect_review_shapes``, which also returns the quarantine); ``pos`` is then
+    a struct.
+
     Missing ``parent_asin``: a product file gives ISBN-10, ISBN-13, title, then
     the file stem; the others the file stem.  Broken lines are left out (they
     are in the quarantine of ``scan_review_jsonl``); bad numbers read as null and
     missing verified as false.  Schemas are fixed: no inference pass.
     """
+    if shape is None:
+        from opinio.sources.shapes import detect_review_shapes
+        return detect_review_shapes(spark, path)[0].drop("shape", "file")
     from opinio.operators.cleaning import canonicalize_corpus
     stem = F.regexp_extract(F.col("_file"), r"([^/]*?)(\.[^./]*)?$", 1)
     if shape == "jsonl":
