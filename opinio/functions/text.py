@@ -6,7 +6,7 @@ whole-stage codegen (or, for higher-order functions, inside the JVM).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinio.dictionaries import PERSONAL_WORDS
@@ -68,6 +68,11 @@ def truncate_text(col, n: int) -> Column:
     return F.substring(_c(col), 1, n)
 
 
+def review_texts(reviews: DataFrame, key: str = "product_id", order_col: str = "pos", text_col: str = "text") -> DataFrame:
+    """The texts of all reviews with their product and place; nulls and empty ones stay."""
+    return reviews.select(key, order_col, text_col)
+
+
 def word_count(col) -> Column:
     """len(text.split()): whitespace-separated tokens, empty -> 0."""
     parts = F.split(F.coalesce(_c(col), F.lit("")), WS + "+")

@@ -15,10 +15,33 @@ def ngrams(tokens: Column, n: int) -> Column:
         lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def drop_subsumed(counts: DataFrame, key: str = "product_id") -> DataFrame:
+    """Of (key, aspect, review_count), the grams that no longer gram contains with the same count.
+
+    The count of a gram is at least that of every gram that holds it, so it is enough to
+    look at grams one word longer: each hands its count to the two grams that it is made
+    of, and a gram that is handed its own count says nothing that the longer one does
+    not.  One grouped pass (handed counts are combined before the shuffle), no self join.
+    """
+    a, n = F.col("aspect"), F.col("review_count")
+    said = lambda gram, own, handed: F.struct(gram.alias("aspect"), own.alias("own"), handed.alias("handed"))
+    none = F.lit(None).cast("long")
+    first = said(F.regexp_replace(a, " [^ ]+$", ""), none, n)
+    last = said(F.regexp_replace(a, "^[^ ]+ ", ""), none, n)
+    told = F.when(F.contains(a, F.lit(" ")), F.array(said(a, n, none), first, last)).otherwise(F.array(said(a, n, none)))
+    return (counts.select(key, F.inline(told)).groupBy(key, "aspect")
+            .agg(F.max("own").alias("review_count"), F.max("handed").alias("handed"))
+            .where(F.col("review_count").isNotNull() & (F.coalesce("handed", F.lit(0)) < F.col("review_count")))
+            .drop("handed"))
+
+
 def aspect_mining(reviews: DataFrame, key: str = "product_id", text_col: str = "text",
-                  sizes=(1, 2, 3, 4, 5), top_k: int = 10) -> DataFrame:
+                  sizes=(1, 2, 3, 4, 5), top_k: int = 10, novel: bool = False) -> DataFrame:
     """Top n-grams per product by the number of distinct reviews using them.
 
+    With ``novel`` a gram is left out if a longer mined gram holds it and occurs in as
+    many reviews (``sizes`` must be consecutive): the more specific one stands for both.
+
     Each review contributes a distinct set (row-local), counts are combined
     map-side, and the per-product top-k is a window group limit -- no step
     holds a product's whole vocabulary in one task.
@@ -29,6 +52,8 @@ def aspect_mining(reviews: DataFrame, key: str = "product_id", text_col: str = "
     grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("_toks"), n) for n in sizes])))
     exploded = tok.select(F.col(key), F.explode(grams).alias("aspect"))
     counts = exploded.groupBy(key, "aspect").agg(F.count(F.lit(1)).alias("review_count"))
+    if novel:
+        counts = drop_subsumed(counts, key)
     w = Window.partitionBy(key).orderBy(F.col("review_count").desc(), F.col("aspect"))
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k))
 
@@ -58,7 +83,7 @@ def chunk_by_budget(text_col, max_tokens: int = 900) -> Column:
         F.struct(st["cur"].alias("t"), st["wc"].alias("wc"))))).otherwise(st["done"])
 
     def hard_split(c):
-        words = F.filter(F.split(c["t"], r"\s+"), lambda w: w != "")
+        words = F.filter(F.split(c["t"], tx.WS + "+"), lambda w: w != "")
         n = F.size(words)
         return F.when(c["wc"] <= max_tokens, F.array(c["t"])).otherwise(F.transform(
             F.sequence(F.lit(0), F.floor((n - 1) / max_tokens).cast("int")),

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS
+from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, THEMES_V2
 from opinio.functions import text as tx
 from opinio.operators import themes as th
+from opinio.operators.cleaning import canonicalize_corpus, credibility_open, min_length, strict_mode
 from opinio.operators.selection import select_under_budget
 from opinio.schemas import SUMMARY_COLUMNS
 
@@ -81,6 +82,21 @@ def formatted_summary(review_count: Column, avg_rating: Column, cred: Column,
         review_count, F.bround(avg_rating, 1), F.bround(cred, 2), pct_str, summary)
 
 
+def _report_parts(rows: DataFrame, stats: DataFrame, key: str, text_col: str, summary_words: int, themes, pos, neg,
+                  verified: bool) -> DataFrame:
+    """``stats`` with themes, quotes, summary and the formatted line of each product."""
+    sents = report_sentences(rows, key, text_col, themes, pos, neg)
+    out = _with(stats, key, theme_columns(rows, key, text_col, themes))
+    out = _with(out, key, summaries(sents, key, summary_words))
+    for col, score, k in (("evidence", "score", 3), ("pos_snippets", "pos_score", 2), ("neg_snippets", "neg_score", 2)):
+        out = _with(out, key, quoted(sents, key, score, k, col))
+    out = out.fillna("N/A", ["themes_counts", "themes_pct"]).fillna(
+        "", ["summary", "evidence", "pos_snippets", "neg_snippets"])
+    return out.withColumn("formatted_summary", formatted_summary(
+        F.col("review_count"), F.col("avg_rating"), F.col("credibility_score"),
+        F.col("themes_pct"), F.col("summary"), verified))
+
+
 def credibility_report(cleaned: DataFrame, min_reviews: int = 50, filter_mode: str = "strict",
                        summary_words: int = 120, themes=th.THEMES_GEN1, pos=POSITIVE_WORDS,
                        neg=NEGATIVE_WORDS) -> DataFrame:
@@ -94,16 +110,7 @@ def credibility_report(cleaned: DataFrame, min_reviews: int = 50, filter_mode: s
     key = "parent_asin"
     stats = product_stats(cleaned).where(F.col("review_count") >= min_reviews)
     rows = cleaned.join(stats.select(F.col(key).alias("_of")), F.col(key).eqNullSafe(F.col("_of")), "leftsemi")
-    sents = report_sentences(rows, key, "clean_text", themes, pos, neg)
-    out = _with(stats, key, theme_columns(rows, key, "clean_text", themes))
-    out = _with(out, key, summaries(sents, key, summary_words))
-    for col, score, k in (("evidence", "score", 3), ("pos_snippets", "pos_score", 2), ("neg_snippets", "neg_score", 2)):
-        out = _with(out, key, quoted(sents, key, score, k, col))
-    out = out.fillna("N/A", ["themes_counts", "themes_pct"]).fillna(
-        "", ["summary", "evidence", "pos_snippets", "neg_snippets"])
-    out = out.withColumn("formatted_summary", formatted_summary(
-        F.col("review_count"), F.col("avg_rating"), F.col("credibility_score"),
-        F.col("themes_pct"), F.col("summary"), filter_mode == "strict"))
+    out = _report_parts(rows, stats, key, "clean_text", summary_words, themes, pos, neg, filter_mode == "strict")
     return out.select(
         key,
         F.round("avg_rating", 3).alias("avg_rating"),
@@ -112,6 +119,24 @@ def credibility_report(cleaned: DataFrame, min_reviews: int = 50, filter_mode: s
         *SUMMARY_COLUMNS[4:])
 
 
+def credibility_report_v2(corpus: DataFrame, min_reviews: int = 50, filter_mode: str = "strict",
+                          summary_words: int = 120, themes=THEMES_V2, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> DataFrame:
+    """Second generation: corpus reviews -> one 11-column row per product.
+
+    Unlike the first it neither drops spam and duplicates nor strips sentences, scores
+    with ``credibility_open`` (unbounded), keeps texts of at least 30 characters, counts
+    rows (a null rating counts), has themes of its own, and rounds nothing but the
+    formatted line.  Reviews without a product are left out.  Runs jobs when called.
+    """
+    key = "parent_asin"
+    c = canonicalize_corpus(corpus).where(F.col(key).isNotNull())
+    c = min_length(strict_mode(c, filter_mode), "text", 30, inclusive=True)
+    c = c.withColumn("credibility", credibility_open(F.col("verified"), F.col("helpful_vote"), F.col("text")))
+    stats = product_stats_rows(c, key).where(F.col("review_count") >= min_reviews)
+    rows = c.join(stats.select(F.col(key).alias("_of")), F.col(key) == F.col("_of"), "leftsemi")
+    return _report_parts(rows, stats, key, "text", summary_words, themes, pos, neg, False).select(*SUMMARY_COLUMNS)
+
+
 def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str = "parent_asin",
                      seq: str | None = None) -> DataFrame:
     """existing UNION ALL new, the last row per key wins (new over existing).
@@ -129,6 +154,6 @@ def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str = "parent_asi
 
 
 def resume_anti_join(todo: DataFrame, done: DataFrame, key: str = "parent_asin") -> DataFrame:
-    """Drop products already summarised (compared as strings)."""
-    d = done.select(F.col(key).cast("string").alias("_done")).where(F.col("_done").isNotNull())
-    return todo.join(d, F.col(key).cast("string") == F.col("_done"), "left_anti")
+    """Drop products already summarised (compared as strings; no key is a key too)."""
+    d = done.select(F.col(key).cast("string").alias("_done"))
+    return todo.join(d, F.col(key).cast("string").eqNullSafe(F.col("_done")), "left_anti")

@@ -1011,4 +1011,4 @@ def q_unpack_evidence(spark, sf):
 
 
 # --------------------------------------------------------------------------- queries in modules of their own
-from opinio.plans import feed_queries, file_queries, index_queries  # noqa: E402, F401
+from opinio.plans import feed_queries, file_queries, index_queries, report_queries  # noqa: E402, F401

@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for the per-product credibility report."""
 
-from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, THEMES_GEN1, sql_values
+from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, SPAM_WORDS_V2, THEMES_GEN1, THEMES_V2, sql_values
 from opinio.plans import views as V
 
 
@@ -57,11 +57,30 @@ def summary_agg(max_words: int = 120) -> str:
 def report_sql(min_reviews: int = 50, mode: str = "strict", themes=THEMES_GEN1,
                pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> str:
     """The report over the whole text of all reviews; a sentence ends with its review."""
-    verified = "verified " if mode == "strict" else ""
     return f"""WITH {V.cleaned(mode)},
 stats AS (SELECT parent_asin, avg(rating) AS avg_rating, count(rating) AS review_count,
                  avg(credibility_score) AS cred FROM cleaned GROUP BY parent_asin),
-g AS (SELECT * FROM stats WHERE review_count >= {min_reviews}),
+{_report_tail(min_reviews, "verified " if mode == "strict" else "", themes, pos, neg)}"""
+
+
+def report_v2_sql(min_reviews: int = 50, themes=THEMES_V2, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> str:
+    """The second generation's report, verified reviews only."""
+    spam = V.spam_sql("text", SPAM_WORDS_V2)
+    tail = _report_tail(min_reviews, "", themes, pos, neg).replace("round(g.avg_rating, 3)", "g.avg_rating").replace(
+        "round(g.cred, 3)", "g.cred")
+    return f"""WITH {V.CORPUS},
+cleaned AS (SELECT parent_asin, pos, rating, text AS clean_text, 2.0
+        + least(0.35, coalesce(helpful_vote, 0.0) / 50.0) + CASE WHEN {V.word_count("text")} > 20 THEN 0.05 ELSE 0.0 END
+        - CASE WHEN {spam} THEN 0.4 ELSE 0.0 END AS credibility_score
+    FROM corpus WHERE verified_purchase AND length(coalesce(text, '')) >= 30 AND parent_asin IS NOT NULL),
+stats AS (SELECT parent_asin, avg(rating) AS avg_rating, count(*) AS review_count, avg(credibility_score) AS cred
+    FROM cleaned GROUP BY parent_asin),
+{tail}"""
+
+
+def _report_tail(min_reviews: int, verified: str, themes, pos, neg) -> str:
+    """From cleaned(parent_asin, pos, clean_text) and stats(parent_asin, avg_rating, review_count, cred)."""
+    return f"""g AS (SELECT * FROM stats WHERE review_count >= {min_reviews}),
 rv AS (SELECT c.parent_asin, c.pos, c.clean_text FROM cleaned c JOIN g ON c.parent_asin IS NOT DISTINCT FROM g.parent_asin),
 {sentence_score_ctes('rv', 'pos', 'clean_text', themes, pos, neg)},
 sp AS (SELECT rv.parent_asin, sc.* FROM sc JOIN rv USING (pos)),
