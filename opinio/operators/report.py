@@ -17,6 +17,7 @@ from opinio.operators import themes as th
 from opinio.operators.cleaning import canonicalize_corpus, credibility_open, min_length, strict_mode
 from opinio.operators.selection import select_under_budget
 from opinio.schemas import SUMMARY_COLUMNS
+from opinio.session import stored
 
 
 def report_sentences(cleaned: DataFrame, key: str, text_col: str, themes, pos=POSITIVE_WORDS,
@@ -85,7 +86,7 @@ def formatted_summary(review_count: Column, avg_rating: Column, cred: Column,
 def _report_parts(rows: DataFrame, stats: DataFrame, key: str, text_col: str, summary_words: int, themes, pos, neg,
                   verified: bool) -> DataFrame:
     """``stats`` with themes, quotes, summary and the formatted line of each product."""
-    sents = report_sentences(rows, key, text_col, themes, pos, neg)
+    sents = stored(report_sentences(rows, key, text_col, themes, pos, neg), "scored-sentences")
     out = _with(stats, key, theme_columns(rows, key, text_col, themes))
     out = _with(out, key, summaries(sents, key, summary_words))
     for col, score, k in (("evidence", "score", 3), ("pos_snippets", "pos_score", 2), ("neg_snippets", "neg_score", 2)):
@@ -108,6 +109,7 @@ def credibility_report(cleaned: DataFrame, min_reviews: int = 50, filter_mode: s
     ``summary_by_udf``.  Runs jobs when called (the greedy pick).
     """
     key = "parent_asin"
+    cleaned = stored(cleaned.select(key, "pos", "clean_text", "rating", "credibility_score"), "cleaned-reviews")
     stats = product_stats(cleaned).where(F.col("review_count") >= min_reviews)
     rows = cleaned.join(stats.select(F.col(key).alias("_of")), F.col(key).eqNullSafe(F.col("_of")), "leftsemi")
     out = _report_parts(rows, stats, key, "clean_text", summary_words, themes, pos, neg, filter_mode == "strict")
@@ -132,6 +134,7 @@ def credibility_report_v2(corpus: DataFrame, min_reviews: int = 50, filter_mode:
     c = canonicalize_corpus(corpus).where(F.col(key).isNotNull())
     c = min_length(strict_mode(c, filter_mode), "text", 30, inclusive=True)
     c = c.withColumn("credibility", credibility_open(F.col("verified"), F.col("helpful_vote"), F.col("text")))
+    c = stored(c.select(key, "pos", "text", "rating", "credibility"), "scored-reviews")
     stats = product_stats_rows(c, key).where(F.col("review_count") >= min_reviews)
     rows = c.join(stats.select(F.col(key).alias("_of")), F.col(key) == F.col("_of"), "leftsemi")
     return _report_parts(rows, stats, key, "text", summary_words, themes, pos, neg, False).select(*SUMMARY_COLUMNS)

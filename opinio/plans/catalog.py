@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None):
 SELECT product_id, pos, printf('r%03d', pos) AS review_id, rating, verified, helpful_votes
 FROM reviews""")
 def q_reviews_table(spark, sf):
-    r = tb.reviews(spark, sf)
+    r = tb.reviews(spark, sf, verified=True)
     return r.select("product_id", "pos",
                     F.format_string("r%03d", F.col("pos")).alias("review_id"),
                     "rating", "verified", "helpful_votes")
@@ -245,9 +245,9 @@ def q_select_under_budget(spark, sf):
         "product_id", F.col("pos").cast("string").alias("review_id"))
 
 
-def _filter_reviews(spark, sf, limit=1500, use_verified=None, use_useful=None):
-    r = tb.reviews(spark, sf)
-    s = split_sentences(r).withColumn("embedding", vx.hash_embed("text", 64))
+def _filter_reviews(spark, sf, limit=1500, use_verified=None, use_useful=None, sentences=None):
+    r = tb.reviews(spark, sf, verified=True)
+    s = tb.doc_sentences(spark, sf) if sentences is None else sentences
     crit = sel.FilteringCriteria(use_verified=use_verified, use_useful=use_useful, token_limit=limit)
     return sel.filter_reviews(r, s, crit)
 
@@ -401,8 +401,9 @@ FROM chosen t LEFT JOIN nf USING (product_id)"""
 
 @register("product_facts", _facts_sql())
 def q_product_facts(spark, sf):
-    chosen, _ = _filter_reviews(spark, sf, 1500)
-    pf = gr.product_facts(chosen.select("product_id", "review_id"), tb.aspects(spark, sf), tb.doc_sentences(spark, sf))
+    s = tb.doc_sentences(spark, sf)
+    chosen, _ = _filter_reviews(spark, sf, 1500, sentences=s)
+    pf = gr.product_facts(chosen.select("product_id", "review_id"), tb.aspects(spark, sf), s)
     return pf.select("product_id", "total_reviews", F.size("features").cast("long").alias("n_features"),
                      F.array_join(F.transform("features", lambda f: f["name"]), ",").alias("feature_names"),
                      F.aggregate("features", F.lit(0).cast("long"),
@@ -532,7 +533,7 @@ SELECT s.product_id, 'rating_' || CASE WHEN rating = floor(rating) THEN CAST(CAS
        count(*) AS count, round(count(*) / any_value(t.n), 6) AS proportion
 FROM sel s JOIN tot t USING (product_id) WHERE rating IS NOT NULL GROUP BY s.product_id, rating""")
 def q_rating_distribution(spark, sf):
-    r = sel.select_verified(tb.reviews(spark, sf), True)
+    r = sel.select_verified(tb.reviews(spark, sf, verified=True), True)
     d = ag.rating_distribution(r)
     return d.select("product_id", "rating_key", "count", F.round("proportion", 6).alias("proportion"))
 
@@ -551,7 +552,7 @@ SELECT coalesce(a.product_id, b.product_id) AS product_id, coalesce(cached_revie
        NOT (coalesce(cached_reviews, 0) = coalesce(current_reviews, 0)) AS stale
 FROM a FULL OUTER JOIN b ON a.product_id = b.product_id""")
 def q_index_staleness(spark, sf):
-    r = tb.reviews(spark, sf)
+    r = tb.reviews(spark, sf, verified=True)
     cached = se.split_sentences(r)
     current = sel.select_verified(r, True)
     return ag.index_staleness(cached, current).select(
@@ -933,7 +934,7 @@ def q_sentence_review_join(spark, sf):
 SELECT product_id, count(*) AS n_sentences FROM s
 WHERE (product_id, review_id) IN (SELECT product_id, review_id FROM reviews WHERE verified) GROUP BY ALL""")
 def q_restrict_to_selected(spark, sf):
-    r = tb.reviews(spark, sf)
+    r = tb.reviews(spark, sf, verified=True)
     chosen = sel.select_verified(r, True).select("product_id", "review_id")
     return split_sentences(r).join(chosen, ["product_id", "review_id"], "left_semi") \
         .groupBy("product_id").agg(F.count(F.lit(1)).alias("n_sentences"))
@@ -958,7 +959,7 @@ SELECT product_id, array_to_string(list_filter(['verified_only', 'exclude_useful
          lambda x: (x = 'verified_only' AND n0 - n1 > 0) OR (x = 'exclude_useful' AND n1 - n2 > 0)), ',') AS applied
 FROM a""")
 def q_applied_filters(spark, sf):
-    r = tb.reviews(spark, sf).withColumn("tokens", tx.estimate_tokens("text"))
+    r = tb.reviews(spark, sf, verified=True).withColumn("tokens", tx.estimate_tokens("text"))
     crit = sel.FilteringCriteria(use_verified=True, use_useful=False)
     kept = sel.select_useful(sel.select_verified(r, True), False).select(F.col("product_id").alias("_ck"), "tokens")
     none = r.where(F.lit(False)).select(F.col("product_id").alias("_tk"))

@@ -56,7 +56,7 @@ def q_product_status(spark, sf):
     """Every product that conversations ask about: read, filtered out, or without reviews."""
     asked = tb.table(spark, sf, "conversations").select(
         F.concat(F.lit("src"), (F.col("conv_id") % 25).cast("string")).alias("product_id"))
-    read = tb.reviews(spark, sf)
+    read = tb.reviews(spark, sf, verified=True)
     verified = sel.select_verified(read, True)
     return st.product_status(asked, [("read", read), ("verified", verified), ("rated", verified.where(F.col("rating") >= 3))])
 

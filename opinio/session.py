@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +62,23 @@ def materialize(df):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+def stored(df, label: str = "table"):
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    For inputs that several steps read: each then reads only its columns of the
+    written table instead of computing everything again.  Runs a job when called.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Deal the rows of a scan with fewer splits than cores to all cores.
+
+    A small table in one file is one task otherwise.  A scan that has splits for all
+    cores is left alone: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
