@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from opinio.functions import text as tx
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of a token array (empty when shorter than n)."""
-    return F.when(F.size(tokens) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - n + 1),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def ngrams(tokens: Column, sizes=(1, 2, 3, 4, 5)) -> Column:
+    """All space-joined n-grams of a token array, of every size in one pass over it."""
+    def starting(token, i):
+        words = [token, *[F.get(tokens, i + k) for k in range(1, max(sizes))]]
+        joined = lambda n: F.concat(*[x for w in words[:n] for x in (F.lit(" "), w)][1:])
+        return F.array(*[joined(n) for n in sizes])     # null where the text ends before
+    return F.filter(F.flatten(F.transform(tokens, starting)), lambda g: g.isNotNull())
 
 
 def drop_subsumed(counts: DataFrame, key: str = "product_id") -> DataFrame:
@@ -49,7 +51,7 @@ def aspect_mining(reviews: DataFrame, key: str = "product_id", text_col: str = "
     # tokens are a column of their own: inside the n-gram lambdas they are
     # then read, not re-split, for every position
     tok = reviews.select(F.col(key), tx.tokens(text_col).alias("_toks"))
-    grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("_toks"), n) for n in sizes])))
+    grams = F.array_distinct(ngrams(F.col("_toks"), sizes))
     exploded = tok.select(F.col(key), F.explode(grams).alias("aspect"))
     counts = exploded.groupBy(key, "aspect").agg(F.count(F.lit(1)).alias("review_count"))
     if novel:
