@@ -6,7 +6,9 @@ meets each shard of its label.  A search descends the upper layers and then
 keeps a beam of the nearest nodes at the bottom; many queries advance in step.
 Beams are widened twice over: for a query that has links, as far as nodes above
 the threshold hang together, and for a whole block until a recall audit of
-sampled queries against all vectors of the shard passes.  Links are verified by
+sampled queries against all vectors of the shard passes: they must find their links
+and, so that a shard without links is audited too, their nearest vectors.  The lowest
+audited recall of a label is returned with its rows.  Links are verified by
 cosine in double precision, counted per vector, and only the edges of local
 spanning stars leave a task, so output grows with the vectors, not the links.
 """
@@ -33,7 +35,9 @@ NEIGHBOURS = 12         # of a node in the upper layers; twice as many at the bo
 BUILD_BEAM = 48
 FIRST_BEAM = 32
 AUDIT_QUERIES = 64      # of each block and shard
-AUDIT_RECALL = 0.99
+AUDIT_NEAREST = 5       # true nearest vectors that an audited query must find, however far they are
+AUDIT_RECALL = 0.99     # of the links of audited queries
+NEAREST_RECALL = 0.95   # of their nearest vectors
 STEP_ROWS = 256         # queries that advance together
 SEED = 20240917
 
@@ -228,6 +232,15 @@ class Graph:
         return out
 
 
+    def nearest(self, queries: np.ndarray, k: int, beam: int) -> np.ndarray:
+        """The k best nodes that each query's beam finds; -1 pads."""
+        width = min(max(beam, k), len(self.v))
+        step = max(1, min(STEP_ROWS, (1 << 23) // max(len(self.v), 1)))
+        parts = [self._beam(q, self._descend(q, 0), 0, width)[0][:, :k] for q in (
+            queries[i:i + step].astype(np.float32) for i in range(0, len(queries), step))]
+        return np.concatenate(parts) if parts else np.zeros((0, k), np.int64)
+
+
 def _unit(rows: list) -> np.ndarray:
     v = np.array(rows, dtype=np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -267,22 +280,37 @@ def _search(stored: dict, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray
             ok[s] = np.einsum("kd,kd->k", unit[a[s]], exact[b[s]]) >= THRESHOLD
         return a[ok], b[ok]
 
-    truth = {(i, j) for k in range(0, len(audit), 16) for i, j in zip(*(
-        x.tolist() for x in _above(unit, audit[k:k + 16], exact)))}
+    links, near = _truth(unit, audit, exact, ids, stored["ids"])
     beam = FIRST_BEAM
     while True:
         got = set(zip(*(x.tolist() for x in verified(g.within(unit[audit], THRESHOLD, beam), audit))))
-        recall = len(got & truth) / len(truth) if truth else 1.0
-        if recall >= AUDIT_RECALL or beam >= len(exact):
+        linked = len(got & links) / len(links) if links else 1.0
+        # a node as near as the last true one counts, whichever of several equal ones it is
+        top = g.nearest(unit[audit], AUDIT_NEAREST + 1, beam)
+        sims = np.where((top >= 0) & (stored["ids"][top] != ids[audit][:, None]),
+                        np.einsum("qd,qkd->qk", unit[audit], exact[top]), -np.inf)
+        right = np.minimum((sims >= near[:, -1:] - 1e-6).sum(axis=1), (near > -np.inf).sum(axis=1)).sum()
+        recall = float(right / max(1, (near > -np.inf).sum())) if (near > -np.inf).any() else 1.0
+        if (linked >= AUDIT_RECALL and recall >= NEAREST_RECALL) or beam >= len(exact):
             break
         beam *= 2
     a, b = verified(g.within(unit, THRESHOLD, beam), np.arange(len(ids)))
-    return a, b, recall, beam
+    return a, b, min(linked, recall), beam
 
 
-def _above(unit: np.ndarray, who: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(unit[who] @ exact.T >= THRESHOLD)
-    return who[i], j
+def _truth(unit: np.ndarray, audit: np.ndarray, exact: np.ndarray, ids: np.ndarray,
+           stored_ids: np.ndarray) -> tuple[set, np.ndarray]:
+    """By brute force, a few queries at a time: the audited links, and each query's nearest cosines
+    to other vectors (descending; -inf where there are fewer)."""
+    links, near = set(), np.full((len(audit), AUDIT_NEAREST), -np.inf)
+    for i in range(0, len(audit), 16):
+        who = audit[i:i + 16]
+        sims = unit[who] @ exact.T
+        links |= {(int(who[r]), int(c)) for r, c in zip(*np.nonzero(sims >= THRESHOLD))}
+        sims = np.where(stored_ids[None, :] == ids[who][:, None], -np.inf, sims)
+        best = -np.sort(-sims, axis=1)[:, :AUDIT_NEAREST]
+        near[i:i + 16, :best.shape[1]] = best
+    return links, np.where(near > -np.inf, near, -np.inf)
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +329,10 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search_shards(pairs: DataFrame) -> DataFrame:
-    """(label, graph, qids, qvecs) -> (vec_id, links, root, recall): every block against a shard."""
+    """(label, graph, qids, qvecs) -> (label, node, links, root, recall): every block against a
+    shard.  One row a pair has its audited recall and no node; the others name what was linked."""
+    kind = pairs.schema["label"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -314,21 +345,23 @@ def search_shards(pairs: DataFrame) -> DataFrame:
                 links = np.bincount(a, weights=stored["copies"][b], minlength=len(qids)).astype(np.int64)
                 nodes, roots = _stars(qids[a], stored["ids"][b])
                 hit = np.flatnonzero(links)
-                n = len(hit)
+                n = len(hit) + len(nodes)
+                said = lambda *parts: pa.array([None, *np.concatenate(parts).tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([qids[hit], nodes])),
-                     pa.array(np.concatenate([links[hit], np.zeros(len(nodes), np.int64)])),
-                     pa.array(np.concatenate([qids[hit], roots])),
-                     pa.array(np.full(n + len(nodes), recall))], ["node", "links", "root", "recall"])
+                    [batch["label"].take(pa.array([k] * (n + 1))), said(qids[hit], nodes),
+                     said(links[hit], np.zeros(len(nodes), np.int64)), said(qids[hit], roots),
+                     pa.array([recall] + [None] * n, pa.float64())], ["label", "node", "links", "root", "recall"])
 
-    return pairs.select("graph", "qids", "qvecs").mapInArrow(
-        run, "node bigint, links bigint, root bigint, recall double")
+    return pairs.select("label", "graph", "qids", "qvecs").mapInArrow(
+        run, f"label {kind}, node bigint, links bigint, root bigint, recall double")
 
 
 def near_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``embeddings``.
+    """vec_id, n_links, component_id, kept, recall for every row of ``embeddings``.
 
-    Rows of equal label (not null) with a cosine of 0.98 or more are linked.
+    Rows of equal label (not null) with a cosine of 0.98 or more are linked.  ``recall`` is
+    the lowest that an audit of the row's label has measured (null for rows that are not
+    searched).
     Defined results: null labels, and vectors that are null, empty, zero or
     hold null or non-finite components, link with nothing; vectors are compared
     only with those of equal length; equal vectors of a label share one node
@@ -367,20 +400,23 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     # each block against each shard of its label: the pairs are dealt out one by one
     keys = written(graphs.select("label", "shard").join(blocks.select("label", "block"), "label"), "hnsw-pairs")
     tasks = (keys.join(graphs, ["label", "shard"]).join(blocks, ["label", "block"]))
-    found = written(search_shards(tasks), "hnsw-links")
+    told = written(search_shards(tasks), "hnsw-links")
+    audits = told.where(F.col("node").isNull()).groupBy("label").agg(F.min("recall").alias("recall"))
+    found = told.where(F.col("node").isNotNull())
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("node", "root").distinct(), "node", "root")
     state = (nodes.join(links, "node", "left").join(groups, "node", "left")
              .select("label", "same", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                      F.coalesce("component", "node").alias("component")))
     lowest = state.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    state = state.join(lowest, "component").select("label", "same", "n_links", "component_id")
+    state = state.join(lowest, "component").join(audits, "label").select("label", "same", "n_links", "component_id", "recall")
     linked = good.select("vec_id", "label", "same").join(state, ["label", "same"]).select(
-        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", "recall")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"),
-                                       F.col("vec_id").alias("component_id"))
+                                       F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     out = linked.unionByName(alone)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.select("vec_id", "n_links", "component_id",
+                      F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "recall")
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:

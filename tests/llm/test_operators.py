@@ -343,3 +343,26 @@ def test_quality_counts_and_outliers(spark):
                                         len(lines) - len(set(lines)), len(cover), failed)
         assert got[i].kept or failed or i >= 160
     assert not got[160].kept and not got[161].kept
+
+
+def test_recall_audit_without_links():
+    """A graph that has lost its links to most nodes fails the audit although no pair is at the threshold."""
+    rng = np.random.default_rng(12)
+    unit = hnsw._unit(rng.normal(size=(600, 24)).tolist())
+    g = hnsw.Graph(unit)
+    stored = {"v": unit, "ids": np.arange(600), "copies": np.ones(600, np.int64), "layers": g.layers,
+              "entry": g.entry, "height": g.height}
+    a, _, recall, beam = hnsw._search(stored, np.arange(600), unit)
+    assert len(a) == 600 and 0.95 <= recall <= 1.0      # only each vector with itself
+    broken = [np.where(np.arange(600)[:, None] < 500, -1, layer).astype(layer.dtype) for layer in g.layers]
+    _, _, recall, wide = hnsw._search({**stored, "layers": broken}, np.arange(600), unit)
+    assert recall < 0.95 and wide >= 600 > beam     # the audit has widened the beam to the whole shard
+
+
+def test_recall_is_returned(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=16).tolist(), i % 2) for i in range(300)] + [(300, None, 0), (301, [1.0] * 16, None)]
+    got = hnsw.near_vectors(spark.createDataFrame(rows, VECS)).collect()
+    assert all((r.recall is None) == (r.vec_id >= 300) for r in got)
+    assert all(0.95 <= r.recall <= 1 for r in got if r.vec_id < 300)
