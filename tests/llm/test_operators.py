@@ -366,3 +366,57 @@ def test_recall_is_returned(spark, monkeypatch):
     got = hnsw.near_vectors(spark.createDataFrame(rows, VECS)).collect()
     assert all((r.recall is None) == (r.vec_id >= 300) for r in got)
     assert all(0.95 <= r.recall <= 1 for r in got if r.vec_id < 300)
+
+
+def mcd_by_search(x, starts=300, seed=5):
+    """Smallest log-determinant over many random starts, with the operator's floors and factor."""
+    rng = np.random.default_rng(seed)
+    h = int(np.ceil(quality.KEEP_SHARE * len(x)))
+
+    def fit(part):
+        return part.mean(axis=0), np.cov(part.T, bias=True) * quality.CONSISTENCY + np.diag(
+            np.array(quality.FLOORS) - 0)
+
+    best = np.inf
+    for _ in range(starts):
+        m, c = fit(x[rng.choice(len(x), 6, replace=False)])
+        last = np.inf
+        while True:
+            z = x - m
+            m, c = fit(x[np.argsort(np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z), kind="stable")[:h]])
+            now = np.linalg.slogdet(c)[1]
+            if now >= last - 1e-6:
+                break
+            last = now
+        best = min(best, last)
+    return best
+
+
+def test_minimum_determinant_is_found(spark):
+    rng = np.random.default_rng(14)
+    groups = {1: np.concatenate([rng.normal(size=(240, 4)) * [1, 2, 1, 0.5], rng.normal(size=(60, 4)) + [9, 9, -9, 4]]),
+              2: np.concatenate([rng.normal(size=(160, 4)) * 3, rng.normal(size=(160, 4)) * 0.4 + [20, 0, 0, 0]]),   # two kinds
+              3: rng.normal(size=(80, 4)) @ rng.normal(size=(4, 4)), 4: np.ones((40, 4))}
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    est = {r.gid: r for r in quality.minimum_covariance(
+        spark.createDataFrame(rows, "gid long, x0 double, x1 double, x2 double, x3 double")).collect()}
+    for g, x in groups.items():
+        assert est[g].log_det <= mcd_by_search(x) + 0.1, g
+    # the correction: without outliers the estimate has the size of the true covariance
+    low = np.array([[est[1][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    true = np.diag([1, 4, 1, 0.25]) + np.diag(quality.FLOORS)
+    assert 0.6 < np.exp(np.linalg.slogdet(low @ low.T)[1] - np.linalg.slogdet(true)[1]) ** 0.25 < 1.6
+    assert np.allclose([est[1][f"m_x{i}"] for i in range(4)], 0, atol=0.5)
+
+
+def test_small_groups_are_judged_with_their_language(spark):
+    rnd = random.Random(15)
+    clean = lambda: prose(rnd, rnd.randrange(80, 160))
+    rows = [(i, clean(), "en", f"s{i % 30}", 0) for i in range(150)] + [(i, clean(), "de", "one", 0) for i in range(150, 153)]
+    odd = " ".join("#$%&|<>*" * 12 for _ in range(40))
+    rows += [(200, odd, "en", "s0", 0), (201, odd, "de", "one", 0), (202, odd, None, None, 0), (203, clean(), "a|b", "c", 0),
+             (204, clean(), "a", "b|c", 0)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r.d2 is not None for r in got.values())
+    assert [got[i].kept for i in (200, 201, 202, 203, 204)] == [False, False, False, True, True]
+    assert sum(got[i].kept for i in range(153)) >= 151
