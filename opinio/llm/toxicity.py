@@ -13,10 +13,11 @@ Evidence is judged against the number of windows: every window costs the
 midpoint of what a clean and a toxic window bring on average, and the best
 region of the whole text counts (all of it if toxic words are spread, a passage
 if they stand together).  In clean text that maximum grows with the logarithm
-of the length only; it is divided by that growth.
+of the length only; it is divided by a growth with it, chosen with the logistic fit
+on the labelled documents of the fit.
 
 The fit uses at most ``MAX_LABELLED`` labelled documents a class (by hash
-order).  Scoring covers every window of every text and keeps only the
+order, one text an id) and nothing else.  Scoring covers every window of every text and keeps only the
 dictionaries and the cell table (a few KB) in each worker.
 """
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,14 @@ from opinio.llm.common import table, text_or_empty, written
 MAX_LABELLED = 3000         # labelled documents a class that the fit may use
 ORDINARY_WINDOWS = 20_000   # windows to train the ordinary dictionary on
 WINDOW_CHARS = 96
-MAX_SEGMENTS = 400          # distinctive segments to train the toxic dictionary on
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
 REPEAT = 3                  # a window repeats its word so that short words compress at all
 LEVEL = 3
 MIN_CONTEXTS = 4            # a segment must follow this many different words in toxic text
 FLAG = 0.7
-GROWTH = 0.5                # growth of the best clean region, as a share, with each e-fold of length
+LONG_TEXTS = 25             # labelled texts in one of the long ones that the calibration adds
+LONG_SHARE = 0.2            # of the calibration's weight
+GROWTHS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0)   # of the best clean region with length, to choose from
 MEMO = 250_000              # words remembered by a worker (only to save time)
 SLICE = 200                 # texts whose words a worker holds at a time
 _WORD = re.compile(r"[^\W\d_]{1,48}")
@@ -59,6 +61,7 @@ class ToxicityModel:
     offset: float
     cost: float = 0.0       # of a window
     typical: float = 1.0    # windows of a labelled text
+    growth: float = 0.0     # of the best clean region, as a share, with each e-fold of length
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -107,11 +110,19 @@ class _Scorer:
                 if weight is not None:
                     self.weights[w] = weight
             self.known.update(new)
-            out += map(self._judge, found)
+            out += (self._best(f) / (1 + self.model.growth * self.length(f)) for f in found)
         return out
 
-    def _judge(self, words: list[str]) -> float:
-        """The best region's log-odds less the cost of its windows, by the text's length."""
+    def length(self, words: list[str]) -> float:
+        return math.log1p(len(words) / self.model.typical)
+
+    def regions(self, texts: list[str]) -> list[tuple[float, float]]:
+        """Each text's best region, not yet divided, and the logarithm of its length."""
+        raw = _Scorer(replace(self.model, growth=0.0)).evidence(texts)
+        return [(x, self.length(_WORD.findall(t.lower()))) for x, t in zip(raw, texts, strict=True)]
+
+    def _best(self, words: list[str]) -> float:
+        """The best region's log-odds less the cost of its windows."""
         hit, cost = self.weights, self.model.cost
         best = run = 0.0
         last = -1
@@ -120,7 +131,7 @@ class _Scorer:
             last = i
             if run > best:
                 best = run
-        return best / (1 + GROWTH * math.log1p(len(words) / self.model.typical))
+        return best
 
 
 def _cell_odds(counts: pd.DataFrame) -> dict:
@@ -158,9 +169,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     picks = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(MAX_LABELLED) for c in (0, 1)]
-    sample = written(docs.select("doc_id", text_or_empty().alias("text"))
-                     .join(picks[0].unionByName(picks[1]), "doc_id")
-                     .select("toxic", "text"), "toxic-sample")
+    named = docs.select("doc_id", text_or_empty().alias("text"))
+    sample = written(named.join(picks[0].unionByName(picks[1]), "doc_id").groupBy("doc_id", "toxic")
+                     .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text"), "toxic-sample")
     # distinctive segments: words by the number of different words before them
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]{1,48}"), F.lit(0))
     pairs = (sample.select("toxic", words.alias("w"))
@@ -174,7 +185,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n1, n0 = max(1, n.n1 or 0), max(1, n.n0 or 0)
     odds = F.log((F.col("c1") + 0.5) / n1) - F.log((F.col("c0") + 0.5) / n0)
     segments = (seen.where(F.col("c1") >= MIN_CONTEXTS).withColumn("odds", odds - 2 / F.sqrt("c1"))
-                .where(F.col("odds") > 2).orderBy(F.desc("odds"), "word").limit(MAX_SEGMENTS).collect())
+                .where(F.col("odds") > 2).orderBy(F.desc("odds"), "word").collect())     # words of the sample
     windows = (sample.where(F.col("toxic") == 0).select(F.explode(F.regexp_extract_all(
         "text", F.lit(rf"(?s).{{1,{WINDOW_CHARS}}}"), F.lit(0))).alias("w"))
         .orderBy(F.xxhash64("w"), "w").limit(ORDINARY_WINDOWS).collect())
@@ -209,13 +220,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
              for c in (counts[counts["toxic"] == t] for t in (0, 1))]
     model.cost = sum(rates) / 2
     model.typical = max(1.0, float(counts["n"].sum()) / max(1, sample.count()))
-    ev = evidence(sample, model).groupBy("toxic", F.round("evidence", 1).alias("x")).count().toPandas()
-    if ev["toxic"].nunique() == 2:
-        x = np.minimum(ev["x"].to_numpy(float), 20.0)
-        model.slope, model.offset = _logistic(x, ev["toxic"].to_numpy(float), ev["count"].to_numpy(float))
+
+    def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(model)
+        for b in (x.iloc[i:i + SLICE] for x in batches for i in range(0, len(x), SLICE)):
+            yield pd.DataFrame([(int(t), int(k), *r) for t, k, r in zip(
+                b["toxic"], b["long"], scorer.regions(b["text"].tolist()))], columns=["toxic", "long", "best", "length"])
+
+    # a row a labelled text of the sample, and a few long texts made of them
+    texts = sample.withColumn("long", F.lit(0)).unionByName(_long_texts(sample))
+    seen = texts.mapInPandas(regions, "toxic int, long int, best double, length double").toPandas()
+    if seen["toxic"].nunique() == 2:
+        _calibrate(model, seen)
     return model
 
 
+def _long_texts(sample: DataFrame) -> DataFrame:
+    """(toxic, text, long = 1): clean texts of the sample joined by LONG_TEXTS, and each once
+    more with a toxic text at its end."""
+    clean = sample.where(F.col("toxic") == 0)
+    n = -(-clean.count() // LONG_TEXTS)
+    of = F.pmod(F.xxhash64("text"), F.lit(max(1, n))).alias("of")
+    joined = clean.groupBy(of).agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
+    toxic = sample.where(F.col("toxic") == 1).groupBy(of).agg(F.min_by("text", F.xxhash64("text")).alias("tail"))
+    both = joined.join(toxic, "of").select(F.lit(1).alias("toxic"), F.concat("text", F.lit(" "), "tail").alias("text"))
+    return joined.select(F.lit(0).alias("toxic"), "text").unionByName(both).withColumn("long", F.lit(1))
+
+
+def _calibrate(model: ToxicityModel, seen: pd.DataFrame) -> None:
+    """Sets growth, slope and offset: of the growths, the one whose logistic fit has the least loss.
+    The classes weigh the same; in each the joined texts have a share of LONG_SHARE."""
+    best, length, toxic = seen[["best", "length", "toxic"]].to_numpy(float).T
+    weight = (1 / seen.groupby(["toxic", "long"])["best"].transform("size")).to_numpy(float)
+    weight = weight * np.where(seen["long"] == 1, LONG_SHARE, 1 - LONG_SHARE)
+    fits = []
+    for growth in GROWTHS:
+        x = np.minimum(best / (1 + growth * length), 20.0)
+        a, b = _logistic(x, toxic, weight)
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        right = np.where(toxic == 1, p, 1 - p)
+        fits.append((-(weight * np.log(right)).sum(), growth, a, b))
+    _, model.growth, model.slope, model.offset = min(fits)
+
+
 def evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Adds evidence: the log-odds of a text's best region, judged by its length."""
     cols = docs.columns

@@ -420,3 +420,25 @@ def test_small_groups_are_judged_with_their_language(spark):
     assert all(r.d2 is not None for r in got.values())
     assert [got[i].kept for i in (200, 201, 202, 203, 204)] == [False, False, False, True, True]
     assert sum(got[i].kept for i in range(153)) >= 151
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Every word compressed alone, every region of a text tried."""
+    rnd = random.Random(16)
+    bad = ["worthlox", "idiotix", "scumbor", "trashka"]
+    texts = []
+    for i in range(150):
+        ws = prose(rnd, rnd.randrange(5, 120)).split()
+        for _ in range(5 if i % 3 == 0 else 0):
+            ws.insert(rnd.randrange(len(ws)), rnd.choice(bad))
+        texts.append(" ".join(ws))
+    docs = docs_of(spark, [*texts, "", "1 2 3", "É" * 60])
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int"))
+    assert model.growth in toxicity.GROWTHS and model.cells
+    scorer = toxicity._Scorer(model)
+    for r in toxicity.score_toxicity(docs, model).collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", r.text.lower()) for w in re.findall(".{1,48}", w)]
+        gain = [model.cells.get(scorer.cells([w])[0], 0.0) - model.cost for w in words]
+        best = max([0.0] + [sum(gain[i:j]) for i in range(len(gain)) for j in range(i + 1, len(gain) + 1)])
+        x = min(best / (1 + model.growth * np.log1p(len(words) / model.typical)), 20.0)
+        assert r.toxic_score == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.offset))), abs=1e-9)
