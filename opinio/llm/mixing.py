@@ -136,8 +136,9 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
         nodes = nodes.withColumn("total", total)
 
         def deal(a, x):
-            u = (F.pmod(F.xxhash64(F.lit(seed), F.col("node"), F.coalesce(x["name"], F.lit("\0null"))),
-                        F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+            named = F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"),
+                                x["none"].cast("string"), F.coalesce(x["name"], F.lit("")))
+            u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
             k = _hypergeometric(a["rest"], x["q"], a["want"], u)
             return F.transform(F.array(k), lambda got: F.struct(
                 (a["rest"] - x["q"]).alias("rest"), (a["want"] - got).alias("want"),
@@ -216,7 +217,10 @@ def assign(keyed: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     once more if its key is at most its source's cutoff.
     """
     per_pass = 16 ** BLOCK_HEX
-    p = bounded(plan.withColumnRenamed("source", "__of"), MAX_SOURCES)
+    of = "__of"
+    while of in keyed.columns:
+        of += "_"
+    p = bounded(plan.withColumnRenamed("source", of), MAX_SOURCES)
     block0 = F.conv(F.substring("key", 1, BLOCK_HEX), 16, 10).cast("long")
     taken = (F.col("passes") + (F.col("key") <= F.col("cutoff")).cast("long")).cast("int")
     passes = F.when(taken > 0, F.sequence(F.lit(0), taken - 1)).otherwise(F.array().cast("array<int>"))
@@ -224,8 +228,8 @@ def assign(keyed: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
         e.alias("copy"),
         F.size(F.filter("ends", lambda x: x <= e * F.lit(per_pass) + block0)).alias("shard"),
         F.xxhash64(F.lit(seed), F.col("key"), e).alias("place")))
-    return (keyed.join(p, F.col("source").eqNullSafe(F.col("__of")))
-            .withColumn("copies", copies).drop("__of", "passes", "cutoff", "ends"))
+    return (keyed.join(p, F.col("source").eqNullSafe(F.col(of)))
+            .withColumn("copies", copies).drop(of, "passes", "cutoff", "ends"))
 
 
 def measure(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -254,14 +258,41 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat:
 
 
 def op6_source_mix(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and the output shard of each of its copies."""
     measured = measure(table(spark, sf_dir, "documents"))
     got = assign(measured, mix_plan(measured))
     return got.select("doc_id", "size", "source_size", "target",
-                      (F.col("size") * F.size("copies")).cast("long").alias("taken"))
-
-
-ORACLE = f"""
-WITH d AS (SELECT doc_id, source, md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'),
+                      (F.col("size") * F.size("copies")).cast("long").alias("taken"),
+                      F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",").alias("shards"))
+
+
+def _oracle() -> str:
+    """The mix in SQL, the splitting tree included: a recursive query, a level a step."""
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    # h: total t, good g, draws d; then bounds, mode and the cells outwards from it
+    bounds = "{'lo': greatest(0.0::DOUBLE, h.d + h.g - h.t), 'hi': least(h.g, h.d)}"
+    mode = ("{'lo': s.lo, 'hi': s.hi, 'm': least(s.hi, greatest(s.lo, floor((h.d + 1) * (h.g + 1) / (h.t + 2)))), 'reach': "
+            "ceil(12 * sqrt(h.d * h.g * (h.t - h.g) * (h.t - h.d) / greatest(h.t * h.t * (h.t - 1), 1.0::DOUBLE))) + 2}")
+    ends = "{'m': s.m, 'a': greatest(s.lo, s.m - s.reach), 'b': least(s.hi, s.m + s.reach)}"
+    ratio = lambda k: f"((h.g - ({k})) * (h.d - ({k})) / ((({k}) + 1) * (h.t - h.g - h.d + ({k}) + 1)))"
+    start = "[{'k': e.m, 'p': 1.0::DOUBLE}]"
+    up = (f"list_reduce(range(1, CAST(e.b - e.m AS BIGINT) + 1), lambda c, i: list_append(c, "
+          f"{{'k': c[-1].k + 1, 'p': c[-1].p * {ratio('c[-1].k')}}}), {start})")
+    down = (f"list_reduce(range(1, CAST(e.m - e.a AS BIGINT) + 1), lambda c, i: list_append(c, "
+            f"{{'k': c[-1].k - 1, 'p': c[-1].p / {ratio('c[-1].k - 1')}}}), {start})")
+    cells = f"list_concat(list_reverse(({down})[2:]), {up})"
+    mass = "list_reduce(c, lambda a, x: a + x.p, 0.0::DOUBLE)"
+    pick = ("list_reduce(c, lambda a, x: {'sum': a.sum + x.p, 'k': CASE WHEN a.k < 0 AND a.sum + x.p >= h.u * mass THEN x.k ELSE a.k END}, "
+            "{'sum': 0.0::DOUBLE, 'k': -1.0::DOUBLE}).k")
+    drawn = let(bounds, "s", let(mode, "s", let(ends, "e", let(cells, "c", let(mass, "mass", let(
+        pick, "k", "CAST(CASE WHEN k < 0 THEN e.b ELSE k END AS BIGINT)"))))))
+    step = let("{'t': a.rest::DOUBLE, 'g': x.q::DOUBLE, 'd': a.want::DOUBLE, 'u': x.u}", "h", let(
+        drawn, "got", "{'rest': a.rest - x.q, 'want': a.want - got, 'out': list_append(a.out, got)}"))
+    total = "list_sum(list_transform(held, lambda x: x.q))::BIGINT"
+    levels = SHARDS.bit_length() - 1
+    per_pass = 16 ** BLOCK_HEX
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'),
         md5(coalesce(text, '')))) AS key,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -279,8 +310,32 @@ o AS (SELECT d.*, g.source_size, g.target, g.passes, g.target - g.passes * g.sou
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT source, max(key) AS cutoff FROM o WHERE before + size / 2.0 < rest GROUP BY source)
+bk AS (SELECT source, substr(key, 1, {BUCKET_HEX}) AS bucket, min(before) AS before, any_value(rest) AS rest FROM o GROUP BY ALL),
+ed AS (SELECT source, max(bucket) AS edge FROM bk WHERE before < rest GROUP BY source),
+k AS (SELECT ed.source, coalesce(max(key) FILTER (WHERE before + size / 2.0 < rest), any_value(edge)) AS cutoff
+    FROM ed JOIN o ON o.source IS NOT DISTINCT FROM ed.source AND substr(key, 1, {BUCKET_HEX}) = edge GROUP BY ed.source),
+q AS (SELECT g.source, passes * {per_pass} + CASE WHEN cutoff IS NULL THEN 0
+    ELSE CAST('0x' || substr(cutoff, 1, {BLOCK_HEX}) AS BIGINT) + 1 END AS blocks
+    FROM g LEFT JOIN k ON g.source IS NOT DISTINCT FROM k.source),
+tree(level, node, held) AS (
+    SELECT 0, 1::BIGINT, list({{'none': source IS NULL, 'name': source, 'q': blocks::BIGINT}} ORDER BY source NULLS LAST) FROM q
+    UNION ALL
+    SELECT level + 1, node * 2 + side, list_transform(held, lambda h, i: {{'none': h.none, 'name': h.name,
+            'q': CASE side WHEN 0 THEN lefts[i] ELSE h.q - lefts[i] END}})
+    FROM (SELECT level, node, held, list_reduce(list_transform(held, lambda x: {{'q': x.q, 'u': (CAST('0x' || substr(md5(
+                concat_ws('|', '{SEED}', CAST(node AS VARCHAR), CAST(x.none AS VARCHAR), coalesce(x.name, ''))), 1, 13) AS BIGINT)
+                + 0.5::DOUBLE) / {float(1 << 52)}::DOUBLE}}),
+            lambda a, x: {step}, {{'rest': {total}, 'want': {total} // 2, 'out': []::BIGINT[]}}).out AS lefts
+        FROM tree WHERE level < {levels}) AS n, (VALUES (0), (1)) AS v(side)),
+leaf AS (SELECT node - {SHARDS} AS shard, unnest(held) AS h FROM tree WHERE level = {levels}),
+ends AS (SELECT h.name AS source, list(CAST(e AS BIGINT) ORDER BY shard) AS ends FROM (
+    SELECT shard, h, sum(h.q) OVER (PARTITION BY h.name, h.none ORDER BY shard) AS e FROM leaf) GROUP BY h.name, h.none)
 SELECT o.doc_id, o.size, o.source_size, o.target,
-    CAST(o.size * (o.passes + CASE WHEN o.key <= k.cutoff THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM o LEFT JOIN k ON o.source IS NOT DISTINCT FROM k.source
+    CAST(o.size * (o.passes + CASE WHEN o.key <= k.cutoff THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+    coalesce(array_to_string(list_transform(range(0, o.passes + CASE WHEN o.key <= k.cutoff THEN 1 ELSE 0 END), lambda e: len(list_filter(
+        ends.ends, lambda x: x <= e * {per_pass} + CAST('0x' || substr(o.key, 1, {BLOCK_HEX}) AS BIGINT)))), ','), '') AS shards
+FROM o LEFT JOIN k ON o.source IS NOT DISTINCT FROM k.source JOIN ends ON o.source IS NOT DISTINCT FROM ends.source
 """
+
+
+ORACLE = _oracle()

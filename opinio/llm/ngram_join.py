@@ -301,11 +301,12 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     joined = written(ngram_join(docs), "ngram-joined")
     first = (joined.where(F.col("cls").isNotNull()).groupBy("component")
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
-             .select(F.col("best.key").alias("__key")))
-    rows = docs.withColumn("__key", row_key())
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    chosen = rows.where(worded).join(first, "__key", "leftsemi").dropDuplicates(["__key"])
-    return chosen.unionByName(rows.where(~worded)).drop("__key")
+             .select(F.col("best.key").alias("key")))
+    # the caller's row as a struct: none of its columns can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key"),
+                       text_or_empty().rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    chosen = rows.where("worded").join(first, "key", "leftsemi").dropDuplicates(["key"])
+    return chosen.unionByName(rows.where("not worded")).select("row.*")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -443,10 +443,11 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     round_trip tells whether decoding the ids gives back the text's normal form.
     Defined results: null and empty texts have no ids; repeated rows are encoded
-    alike; an empty table gives an empty result; other columns are kept, but
-    those called ids, n_ids or round_trip are replaced.
+    alike; an empty table gives an empty result; other columns are kept, those
+    called ids, n_ids or round_trip under their name with ``_given`` behind it.
     """
-    others = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_ids", "round_trip")]
+    made = ("ids", "n_ids", "round_trip")
+    others = [(f, f.name + "_given" * (f.name in made)) for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceEncoder(model)
@@ -460,13 +461,13 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(stop), pa.array(
                     np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part[f.name] for f in others]
+                    [part[name] for _, name in others]
                     + [lists, pa.array([len(x) for x in ids], pa.int32()), pa.array(back, pa.bool_())],
-                    [f.name for f in others] + ["ids", "n_ids", "round_trip"])
+                    [name for _, name in others] + list(made))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others]
+    schema = ", ".join([f"`{name}` {f.dataType.simpleString()}" for f, name in others]
                        + ["ids array<int>", "n_ids int", "round_trip boolean"])
-    return docs.select(*[F.col(f"`{f.name}`") for f in others],
+    return docs.select(*[F.col(f"`{f.name}`").alias(name) for f, name in others],
                        text_or_empty().alias("__text")).mapInArrow(run, schema)
 
 

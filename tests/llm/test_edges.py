@@ -67,6 +67,8 @@ def test_one_of_each_group_under_null_and_repeated_ids(spark):
     kept = ngram_join.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted(
         [(0, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]] + [(9, texts[6]), (0, ""), (0, " ")])
+    clash = spark.createDataFrame([(1, texts[0], "own", 2, True)], "doc_id long, text string, __key string, key int, worded boolean")
+    assert [tuple(r) for r in ngram_join.keep_one_of_each_group(clash).collect()] == [(1, texts[0], "own", 2, True)]
 
 
 def test_stages_keep_the_columns(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -225,6 +226,36 @@ def test_mix_meets_targets_and_splits_exactly(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_splitting_tree_draws_are_hypergeometric(spark):
+    """One split of 180 sources: exact sums, and the moments of the first child's quotas."""
+    sources = [(f"s{i:03d}", 40 + 60 * (i % 3)) for i in range(180)]
+    quota = dict(sources)
+    total = sum(quota.values())
+    z = []
+    for seed in (1, 2, 3):
+        ends = {r.source: r.ends for r in mixing.splitting_tree(
+            spark.createDataFrame(sources, "source string, blocks long"), 2, seed).collect()}
+        assert all(e[1] == quota[s] for s, e in ends.items()) and sum(e[0] for e in ends.values()) == total // 2
+        for s, e in ends.items():
+            share = quota[s] / total
+            sd = math.sqrt(total // 2 * share * (1 - share) * (total - total // 2) / (total - 1))
+            z.append((e[0] - total // 2 * share) / sd)
+    z = np.array(z)
+    assert abs(z.mean()) < 0.15 and 0.85 < z.std() < 1.15 and np.abs(z).max() < 4.5
+
+
+def test_shards_of_copies_come_from_the_tree(spark):
+    rnd = random.Random(17)
+    rows = [(i, prose(rnd, rnd.randint(5, 20)), "en", rnd.choice("ab"), 0) for i in range(300)]
+    measured = mixing.measure(spark.createDataFrame(rows, DOCS))
+    plan = mixing.mix_plan(measured, shards=8)
+    ends = {r.source: r.ends for r in plan.collect()}
+    for r in mixing.assign(measured.withColumn("__of", mixing.F.lit(1)), plan).collect():
+        for c in r.copies:
+            block = c.copy * 256 + int(r.key[:2], 16)
+            assert c.shard == sum(e <= block for e in ends[r.source]) and r["__of"] == 1
+
+
 def test_suffix_order():
     rnd = random.Random(8)
     for _ in range(800):
