@@ -40,12 +40,12 @@ def lexicon_label(text_col="text", pos=None, neg=None):
     from opinio.operators.themes import weighted_hits
     pw = {w: 1 for w in (pos or POSITIVE_WORDS)}
     nw = {w: 1 for w in (neg or NEGATIVE_WORDS)}
-    # the text is split once; both lists read the stored tokens
+    # the text is split once and each list counted once: values that are read again are
+    # handed on as lambda variables; a blank text has no hits
     hits = F.transform(F.array(tokens(text_col)), lambda t: F.struct(
-        weighted_hits(t, pw).alias("p"), weighted_hits(t, nw).alias("n")))[0]
-    p, n = hits["p"], hits["n"]
-    lab = F.when(p > n, F.lit("positive")).when(n > p, F.lit("negative")).otherwise(F.lit("neutral"))
-    return label_to_sentiment(lab, F.col(text_col) if isinstance(text_col, str) else text_col)
+        weighted_hits(t, pw).alias("p"), weighted_hits(t, nw).alias("n")))
+    return F.transform(hits, lambda h: F.when(h["p"] > h["n"], F.lit("positive"))
+                       .when(h["n"] > h["p"], F.lit("negative")).otherwise(F.lit("neutral")))[0]
 
 
 def sentence_index(reviews: DataFrame, key: str = "product_id", id_col: str = "review_id",
