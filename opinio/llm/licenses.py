@@ -10,8 +10,9 @@ and leave room for ``need`` common tokens after the place of the shared token
 in both orders (positional filter).  Survivors are verified on the whole sets,
 so the result is exact.
 
-Only DataFrame functions; text is never shuffled.  Joins with the template
-tokens are equi-joins that Spark broadcasts by their size.
+Only DataFrame functions; the words of each text are written once and never
+shuffled.  Joins with the template tokens are equi-joins that Spark broadcasts
+by their size.
 """
 
 from __future__ import annotations
@@ -127,8 +128,11 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES,
     labels and score 0; rows equal in id and text get the same result each;
     an empty table gives an empty result; further columns are ignored.
     ``score`` is 1 where a phrase occurs, else the best containment found.
+    Runs jobs when called.
     """
-    lines = docs.select("doc_id", row_key().alias("key"), spaced_words(text_or_empty()).alias("line"))
+    # read three times: phrases, token frequencies, blocks
+    lines = written(docs.select("doc_id", row_key().alias("key"), spaced_words(text_or_empty()).alias("line")),
+                    "license-lines")
     n_words = F.greatest(_spaces(F.col("line")) - 1, F.lit(0)).cast("long")
     base = lines.withColumn("n_words", n_words)
     for i, (phrase, _) in enumerate(phrases.items()):
