@@ -7,7 +7,8 @@ window over the one boundary bucket.  The permutation is cut into blocks
 (equal ranges of the key).  The block quotas of all sources form the root of a
 binary tree; each node deals its quotas to two children of equal capacity by
 sequential hypergeometric draws, so the leaves (output shards) hold exact,
-disjoint quotas.  A shard then takes consecutive blocks of each source's
+disjoint quotas.  Many sources are dealt in groups first, so no row holds more
+than GROUP quotas.  A shard then takes consecutive blocks of each source's
 permuted order and shuffles its rows locally by a keyed hash.
 
 Everything is DataFrame functions.  Documents are never shuffled by source:
@@ -29,6 +30,7 @@ SEED = 20240917
 BUCKET_HEX = 3          # 4096 ranges of the key to find the cutoff in
 BLOCK_HEX = 2           # 256 blocks a pass
 SHARDS = 64             # leaves of the splitting tree (a power of two)
+GROUP = 512             # sources (or groups of them) whose quotas one row of the tree holds
 MAX_SOURCES = 20_000    # rows of the per-source table that may be broadcast
 
 
@@ -43,6 +45,29 @@ def mix_key(seed: int, id_col: str = "doc_id", text_col: str = "text") -> Column
                              F.md5(text_or_empty(text_col))))
 
 
+def ranked(rows: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
+    """Adds ``place`` (from 0, in ``order``) and for each column of ``sums`` its sum before the row.
+
+    Rows are dealt into ranges of the order; inside a range a window runs, and the
+    ranges' own totals (a row a range) are what is summed in one task.  ``order`` must
+    leave no ties.  Runs jobs when called.
+    """
+    parts = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    totals = parts.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in sums])
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead")
+                                      for c in ("rows", *sums)])
+    here = Window.partitionBy("range").orderBy(*order)
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(totals, "range")
+    return out.select(*rows.columns, (F.col("rows_ahead") + F.row_number().over(here) - 1).alias("place"), *[
+        (F.col(f"{c}_ahead") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"{c}_before") for c in sums])
+
+
+def _by_name() -> list[Column]:
+    return [F.col("source").asc_nulls_last()]
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
                    max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(source, source_size) -> target words a source, by water filling.
@@ -51,28 +76,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
     the sum of all sizes; a target stops at ``max_repeat`` times its source's
     size and the excess is shared again by weight.  In order of
     cap/weight a source is capped exactly when its cap is no more than its
-    share of what the capped sources before it leave.
+    share of what the capped sources before it leave.  Runs jobs when called.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]),
-                     ((F.row_number().over(by_name) - 1) % n + 1).cast("int")).cast("long")
-    s = sizes.withColumn("weight", w).withColumn("cap", F.lit(max_repeat) * F.col("source_size"))
-    before = (Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    every = Window.partitionBy()
-    s = (s.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-         .withColumn("weight_left", F.sum("weight").over(every)
-                     - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-         .withColumn("total", F.sum("source_size").over(every)))
-    s = s.withColumn("capped", F.col("cap").cast("double") * F.col("weight_left")
-                     <= (F.col("total") - F.col("cap_before")).cast("double") * F.col("weight"))
-    s = (s.withColumn("cap_sum", F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every),
-                                            F.lit(0)))
-         .withColumn("open_weight", F.sum(F.when(~F.col("capped"), F.col("weight"))).over(every)))
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("place") % n + 1).cast("int")).cast("long")
+    s = (ranked(sizes, _by_name()).withColumn("weight", w)
+         .withColumn("cap", F.lit(max_repeat) * F.col("source_size")))
+    s = ranked(s.drop("place"), [(F.col("cap") / F.col("weight")).asc(), *_by_name()], ["cap", "weight"])
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, all_weights = F.lit(whole["size"]).cast("long"), F.lit(whole["weight"]).cast("long")
+    s = written(s.withColumn("capped", F.col("cap").cast("double") * (all_weights - F.col("weight_before"))
+                             <= (total - F.col("cap_before")).cast("double") * F.col("weight")), "mix-capped")
+    sums = s.groupBy("capped").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).collect()
+    full = sum(r["cap"] for r in sums if r["capped"])
+    open_weight = sum(r["weight"] for r in sums if not r["capped"])
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
-        ((F.col("total") - F.col("cap_sum")) * F.col("weight")).cast("double")
-        / F.col("open_weight").cast("double"))
+        ((total - full) * F.col("weight")).cast("double") / F.lit(open_weight or None).cast("double"))
     return s.select("source", "source_size", target.alias("target"))
 
 
@@ -120,45 +139,76 @@ def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Co
     return F.transform(F.array(cells), draw)[0].cast("long")
 
 
-def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(source, blocks) -> (source, ends array<long>): cumulative quota after each shard.
+def _deal(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(held, given) -> (id, name, leaves array<long>): the quotas of each member at every leaf.
 
-    One row a node, holding its quotas by source; a level turns each row into
-    two.  Reruns draw the same numbers: the uniforms are hashes of
-    (seed, node, source).
+    A row holds the members (id, label, name, q) of one group.  A node deals its
+    members' quotas to two children by sequential draws; the left child gets half
+    of them or, where ``given`` has the group's own quotas by leaf, what those say.
+    Uniforms are hashes of (seed, node, label).
     """
-    root = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct(
-        F.col("source").isNull().alias("none"), F.col("source").alias("name"),
-        F.col("blocks").alias("q")))).alias("held")).withColumn("node", F.lit(1).cast("long"))
-    nodes, width = root, 1
+    nodes, width = rows.withColumn("node", F.lit(1).cast("long")), 1
     while width < shards:
         total = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x["q"])
-        nodes = nodes.withColumn("total", total)
+        half = shards // (2 * width)    # leaves of a child
+        told = F.aggregate(F.slice("given", ((F.col("node") - width) * (2 * half) + 1).cast("int"), half),
+                           F.lit(0).cast("long"), lambda a, x: a + x)
+        nodes = nodes.withColumn("total", total).withColumn(
+            "want", F.coalesce(told, F.floor(F.col("total") / 2).cast("long")))
 
         def deal(a, x):
-            named = F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"),
-                                x["none"].cast("string"), F.coalesce(x["name"], F.lit("")))
+            named = F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"), x["label"])
             u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
             k = _hypergeometric(a["rest"], x["q"], a["want"], u)
             return F.transform(F.array(k), lambda got: F.struct(
                 (a["rest"] - x["q"]).alias("rest"), (a["want"] - got).alias("want"),
                 F.concat(a["out"], F.array(got)).alias("out")))[0]
         left = F.aggregate("held", F.struct(
-            F.col("total").alias("rest"), F.floor(F.col("total") / 2).cast("long").alias("want"),
-            F.array().cast("array<bigint>").alias("out")), deal, lambda a: a["out"])
+            F.col("total").alias("rest"), F.col("want"), F.array().cast("array<bigint>").alias("out")),
+            deal, lambda a: a["out"])
         nodes = nodes.withColumn("left", F.explode(F.array(left)))   # a generator: evaluated once
         kids = F.array(*[F.struct(
             (F.col("node") * 2 + side).alias("node"),
             F.zip_with("held", "left", lambda h, k: F.struct(
-                h["none"].alias("none"), h["name"].alias("name"),
+                h["id"].alias("id"), h["label"].alias("label"), h["name"].alias("name"),
                 (k if side == 0 else h["q"] - k).alias("q"))).alias("held")) for side in (0, 1)])
-        nodes = nodes.select(F.explode(kids).alias("kid")).select("kid.*")
+        nodes = nodes.select("given", F.explode(kids).alias("kid")).select("given", "kid.*")
         width *= 2
     leaves = nodes.select("node", F.explode("held").alias("h"))
-    return (leaves.groupBy(F.col("h.name").alias("source"))
+    return (leaves.groupBy(F.col("h.id").alias("id"), F.col("h.name").alias("name"))
             .agg(F.sort_array(F.collect_list(F.struct("node", F.col("h.q").alias("q")))).alias("by"))
-            .select("source", F.transform("by", lambda x, i: F.aggregate(
-                F.slice("by", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["q"])).alias("ends")))
+            .select("id", "name", F.transform("by", lambda x: x["q"]).alias("leaves")))
+
+
+def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(source, blocks) -> (source, ends array<long>): cumulative quota after each shard.
+
+    ``group`` neighbouring sources form a group, as many groups a group of the next
+    level, up to one.  The top is dealt first; then each group deals what it got to its
+    members (a multivariate hypergeometric draw, taken in two steps), so a row holds
+    at most ``group`` quotas.  Reruns draw the same numbers.  Runs jobs when called.
+    """
+    place = ranked(quotas, _by_name())
+    levels = [written(place.select(
+        F.col("place").alias("id"), F.col("source").alias("name"), F.col("blocks").cast("long").alias("q"),
+        F.concat_ws("|", F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("label")),
+        "mix-level")]
+    upper = F.floor(F.col("id") / group).cast("long")
+    while levels[-1].where(F.col("id") >= group).limit(1).count():
+        levels.append(written(levels[-1].groupBy(upper.alias("id")).agg(F.sum("q").alias("q")).select(
+            "id", F.lit(None).cast("string").alias("name"), "q",
+            F.concat_ws("|", F.lit("group"), F.lit(str(len(levels))), F.col("id").cast("string")).alias("label")),
+            "mix-level"))
+    none = F.lit(None).cast("array<bigint>").alias("given")
+    given = None
+    for level in reversed(levels):
+        rows = level.groupBy(upper.alias("of")).agg(F.sort_array(F.collect_list(
+            F.struct("id", "label", "name", "q"))).alias("held"))
+        rows = rows.select("held", none) if given is None else (
+            rows.join(given.select(F.col("id").alias("of"), F.col("leaves").alias("given")), "of").select("held", "given"))
+        given = written(_deal(rows, shards, seed), "mix-dealt")
+    return given.select(F.col("name").alias("source"), F.transform("leaves", lambda x, i: F.aggregate(
+        F.slice("leaves", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y)).alias("ends"))
 
 
 def mix_plan(measured: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT,

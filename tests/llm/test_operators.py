@@ -244,6 +244,33 @@ def test_splitting_tree_draws_are_hypergeometric(spark):
     assert abs(z.mean()) < 0.15 and 0.85 < z.std() < 1.15 and np.abs(z).max() < 4.5
 
 
+def test_splitting_tree_deals_groups_first(spark):
+    """90 sources, five a group (three levels): exact sums a shard and a source, moments of the first shard."""
+    sources = [(None if i == 89 else f"s{i:03d}", 40 + 60 * (i % 3)) for i in range(90)]
+    quota = dict(sources)
+    total = sum(quota.values())
+    df = spark.createDataFrame(sources, "source string, blocks long")
+    z = []
+    for seed in (1, 2, 3, 4):
+        ends = {r.source: r.ends for r in mixing.splitting_tree(df, 4, seed, group=5).collect()}
+        assert all(e[-1] == quota[s] and e == sorted(e) for s, e in ends.items()) and len(ends) == 90
+        shards = np.diff(np.array([[0, *e] for e in ends.values()]), axis=1).sum(axis=0)
+        assert shards.sum() == total and max(shards) - min(shards) <= 1
+        for s, e in ends.items():
+            p = quota[s] / total
+            z.append((e[0] - shards[0] * p) / math.sqrt(shards[0] * p * (1 - p) * (total - shards[0]) / (total - 1)))
+    z = np.array(z)
+    assert abs(z.mean()) < 0.15 and 0.85 < z.std() < 1.15 and np.abs(z).max() < 4.5
+
+
+def test_ranked_sums_over_ranges(spark):
+    rows = [(f"s{i:04d}", i * 7 % 11) for i in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "source string, q long").repartition(7)
+    got = sorted(mixing.ranked(df, [mixing.F.col("source").asc_nulls_last()], ["q"]).collect(), key=lambda r: r.place)
+    assert [r.source for r in got] == [s for s, _ in rows]
+    assert [r.q_before for r in got] == [sum(q for _, q in rows[:i]) for i in range(len(rows))]
+
+
 def test_shards_of_copies_come_from_the_tree(spark):
     rnd = random.Random(17)
     rows = [(i, prose(rnd, rnd.randint(5, 20)), "en", rnd.choice("ab"), 0) for i in range(300)]
