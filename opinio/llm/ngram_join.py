@@ -312,3 +312,27 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select(
         "doc_id", "class_id", "n_links", "component_id")
+
+
+#: Every pair of different shingle sets that share a shingle, on their whole sets: no bands.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) > 0 THEN list_sort(list_distinct(list_transform(
+        range(1, greatest(len(words) - {SHINGLE - 1}, 1) + 1), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')))) END AS shingles
+    FROM d),
+c AS (SELECT row_number() OVER () AS cid, * FROM (SELECT shingles, len(shingles) AS n, min(doc_id) AS class_id, count(*) AS copies
+    FROM s WHERE shingles IS NOT NULL GROUP BY shingles)),
+x AS (SELECT cid, n, unnest(shingles) AS shingle FROM c),
+p AS (SELECT a.cid AS a, b.cid AS b FROM x AS a JOIN x AS b ON a.shingle = b.shingle AND a.cid < b.cid
+        AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+    GROUP BY a.cid, b.cid, a.n, b.n HAVING count(*) * 5 >= (a.n + b.n - count(*)) * 4),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach(cid, other) AS (SELECT cid, cid FROM c UNION SELECT reach.cid, l.b FROM reach JOIN l ON l.a = reach.other),
+k AS (SELECT reach.cid, min(c.class_id) AS component_id FROM reach JOIN c ON c.cid = reach.other GROUP BY reach.cid),
+n AS (SELECT l.a AS cid, sum(c.copies) AS links FROM l JOIN c ON c.cid = l.b GROUP BY l.a)
+SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id,
+    CAST(coalesce(n.links, 0) + coalesce(c.copies, 1) - 1 AS BIGINT) AS n_links,
+    coalesce(k.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN n ON n.cid = c.cid LEFT JOIN k ON k.cid = c.cid
+"""

@@ -24,6 +24,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_license_scan": licenses.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op6_source_mix": mixing.ORACLE,
     "op11_chat_format": chat.ORACLE,
     "op12_prefix_trie": trie.ORACLE,
