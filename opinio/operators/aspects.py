@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text as tx
+from opinio.session import stored
 
 
-def ngrams(tokens: Column, sizes=(1, 2, 3, 4, 5)) -> Column:
-    """All space-joined n-grams of a token array, of every size in one pass over it."""
-    def starting(token, i):
-        words = [token, *[F.get(tokens, i + k) for k in range(1, max(sizes))]]
-        joined = lambda n: F.concat(*[x for w in words[:n] for x in (F.lit(" "), w)][1:])
-        return F.array(*[joined(n) for n in sizes])     # null where the text ends before
-    return F.filter(F.flatten(F.transform(tokens, starting)), lambda g: g.isNotNull())
+#: Grams that a product's longer grams may be made of, as one array; a product with more of
+#: them (ties) is counted whole.
+MAX_FREQUENT = 512
+
+
+def distinct_grams(sizes=(1, 2, 3, 4, 5)):
+    """Function (tokens joined by spaces, grams allowed) -> the distinct n-grams of a text.
+
+    With ``allowed`` (an array of grams of the smallest size) only n-grams count whose
+    parts of that size are all in it; null allows every n-gram.
+    """
+    least = min(sizes)
+    sets: dict = {}
+
+    def of_text(text, allowed):
+        words = text.split(" ") if text else []
+        parts = words if least == 1 else [" ".join(words[i:i + least]) for i in range(len(words) - least + 1)]
+        runs, start = [], None
+        if allowed is None:
+            runs = [(0, len(parts))]
+        else:
+            known = sets.get(allowed)
+            if known is None:
+                if len(sets) > 256:
+                    sets.clear()
+                known = sets[allowed] = frozenset(allowed)
+            for i, p in enumerate(parts):
+                if p in known:
+                    start = i if start is None else start
+                elif start is not None:
+                    runs.append((start, i))
+                    start = None
+            if start is not None:
+                runs.append((start, len(parts)))
+        found = set()
+        for i, j in runs:
+            run = words[i:j + least - 1]
+            for n in sizes:
+                found.update(run if n == 1 else [" ".join(run[k:k + n]) for k in range(len(run) - n + 1)])
+        return list(found)
+
+    @F.pandas_udf("array<string>")
+    def grams(texts: pd.Series, allowed: pd.Series) -> pd.Series:
+        return pd.Series([of_text(t, None if a is None else tuple(a)) for t, a in zip(texts, allowed)], dtype=object)
+    return grams
 
 
 def drop_subsumed(counts: DataFrame, key: str = "product_id") -> DataFrame:
@@ -44,16 +84,32 @@ def aspect_mining(reviews: DataFrame, key: str = "product_id", text_col: str = "
     With ``novel`` a gram is left out if a longer mined gram holds it and occurs in as
     many reviews (``sizes`` must be consecutive): the more specific one stands for both.
 
-    Each review contributes a distinct set (row-local), counts are combined
-    map-side, and the per-product top-k is a window group limit -- no step
-    holds a product's whole vocabulary in one task.
+    Each review contributes a distinct set (row-local) and counts are combined map-side.
+    A gram occurs in no more reviews than any part of it, so grams of the smallest size
+    are counted first and longer ones only where all their parts are as frequent as the
+    last one that can be among the results (ties included): what is left out cannot
+    be, and the grams of a text are not shuffled.  A product with more than
+    ``MAX_FREQUENT`` such parts is counted whole.  Runs a job when called.
     """
-    # tokens are a column of their own: inside the n-gram lambdas they are
-    # then read, not re-split, for every position
-    tok = reviews.select(F.col(key), tx.tokens(text_col).alias("_toks"))
-    grams = F.array_distinct(ngrams(F.col("_toks"), sizes))
-    exploded = tok.select(F.col(key), F.explode(grams).alias("aspect"))
-    counts = exploded.groupBy(key, "aspect").agg(F.count(F.lit(1)).alias("review_count"))
+    least = min(sizes)
+    # a gram that is left out by ``novel`` says as much as a kept one, and a kept one
+    # holds at most max - min + 1 parts: so many parts stand for one result
+    need = top_k * (max(sizes) - least + 1 if novel else 1)
+    tok = reviews.select(F.col(key), F.array_join(tx.tokens(text_col), " ").alias("_toks"))
+    every = F.lit(None).cast("array<string>")
+
+    def counted(texts, wanted, allowed):
+        found = texts.select(F.col(key), F.explode(distinct_grams(wanted)("_toks", allowed)).alias("aspect"))
+        return found.groupBy(key, "aspect").agg(F.count(F.lit(1)).alias("review_count"))
+
+    by_count = Window.partitionBy(key).orderBy(F.col("review_count").desc())
+    parts = (counted(tok, (least,), every).withColumn("_r", F.rank().over(by_count)).where(F.col("_r") <= need)
+             .withColumn("_n", F.row_number().over(by_count)).where(F.col("_n") <= MAX_FREQUENT + 1))
+    frequent = stored(parts.groupBy(F.col(key).alias("_of")).agg(F.collect_list("aspect").alias("_allowed")), "frequent-grams")
+    few = F.size("_allowed") <= MAX_FREQUENT
+    same = F.col(key).eqNullSafe(F.col("_of"))
+    counts = (counted(tok.join(frequent.where(few), same), sizes, F.col("_allowed"))
+              .unionByName(counted(tok.join(frequent.where(~few).select("_of"), same, "leftsemi"), sizes, every)))
     if novel:
         counts = drop_subsumed(counts, key)
     w = Window.partitionBy(key).orderBy(F.col("review_count").desc(), F.col("aspect"))
