@@ -126,8 +126,12 @@ def chunk_by_budget(text_col, max_tokens: int = 900) -> Column:
     init = F.struct(F.lit("").alias("cur"), F.lit(0).alias("wc"),
                     F.array().cast("array<struct<t:string,wc:int>>").alias("done"))
 
-    def step(acc, s):
-        swc = tx.word_count(s)
+    # words are counted once a sentence, and the fold is read as a lambda variable: what stands
+    # in a lambda or in branches is computed again wherever it is used
+    counted = F.transform(parts, lambda s: F.struct(s.alias("s"), tx.word_count(s).alias("wc")))
+
+    def step(acc, x):
+        s, swc = x["s"], x["wc"]
         cand_wc = F.when(acc["cur"] == "", swc).otherwise(acc["wc"] + swc)
         cand = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
         fits = cand_wc <= max_tokens
@@ -136,9 +140,9 @@ def chunk_by_budget(text_col, max_tokens: int = 900) -> Column:
         return F.when(fits, F.struct(cand.alias("cur"), cand_wc.alias("wc"), acc["done"].alias("done"))) \
             .otherwise(F.struct(s.alias("cur"), swc.alias("wc"), pushed.alias("done")))
 
-    st = F.aggregate(parts, init, step)
-    chunks = F.when(st["cur"] != "", F.concat(st["done"], F.array(
-        F.struct(st["cur"].alias("t"), st["wc"].alias("wc"))))).otherwise(st["done"])
+    chunks = F.transform(F.array(F.aggregate(counted, init, step)), lambda st: F.when(
+        st["cur"] != "", F.concat(st["done"], F.array(F.struct(st["cur"].alias("t"), st["wc"].alias("wc")))))
+        .otherwise(st["done"]))[0]
 
     def hard_split(c):
         words = F.filter(F.split(c["t"], tx.WS + "+"), lambda w: w != "")

@@ -7,6 +7,8 @@ the dictionary hits, never a shuffle of every token.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,6 @@ from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, THEMES_GEN1
 from opinio.functions import text as tx
 
 
-def _words_lit(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
-def _weight_map(weights: dict) -> Column:
-    keys = sorted(weights)
-    return F.map_from_arrays(_words_lit(keys), F.array(*[F.lit(int(weights[k])) for k in keys]))
-
-
 def keyword_weights(themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> dict:
     """word -> number of (theme list, positive set, negative set) entries it hits."""
     w: dict = {}
@@ -38,9 +31,14 @@ def keyword_weights(themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS)
 
 def weighted_hits(tokens_col: Column, weights: dict) -> Column:
     """Sum of per-token weights (0 for tokens outside the dictionary)."""
-    m = _weight_map(weights)
-    return F.aggregate(tokens_col, F.lit(0),
-                       lambda acc, t: acc + F.coalesce(F.element_at(m, t), F.lit(0)))
+    of: dict = {}
+    for word, weight in weights.items():
+        of.setdefault(int(weight), []).append(word)
+    # words of one weight are a set of literals: a token is looked up, not compared with each
+    def within(words):
+        return F.size(F.filter(tokens_col, lambda t: t.isin(words)))
+    hits = [within(words) * F.lit(k) for k, words in sorted(of.items())]
+    return reduce(lambda a, b: a + b, hits, F.lit(0))
 
 
 def keyword_score(col, themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> Column:
@@ -105,8 +103,10 @@ def scored_sentences(col, themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_W
     pw = {w: 1 for w in set(pos)}
     nw = {w: 1 for w in set(neg)}
     # split each sentence into tokens once, then score from the stored field
-    with_toks = F.transform(sents, lambda s, i: F.struct(i.alias("i"), s.alias("s"),
-                                                         tx.tokens(s).alias("t")))
+    # and keep those that any list has
+    any_list = sorted({*kw, *pw, *nw})
+    with_toks = F.transform(sents, lambda s, i: F.struct(
+        i.alias("i"), s.alias("s"), F.filter(tx.tokens(s), lambda t: t.isin(any_list)).alias("t")))
     return F.transform(with_toks, lambda x: F.struct(
         x["i"].alias("i"), x["s"].alias("s"),
         weighted_hits(x["t"], kw).alias("score"),

@@ -57,3 +57,34 @@ def test_unicode_white_space(spark):
     r = df.select(tx.strip("t").alias("s"), tx.word_count("t").alias("n"), F.size(tx.sentence_array("t")).alias("k"),
                   tx.strip_stutter("t").alias("u")).first()
     assert r.s == t.strip() and r.n == len(t.split()) and r.k == 2 and r.u.strip().endswith("Encore\u3000un mot")
+
+
+def test_text_functions_of_the_hot_path(spark):
+    """Blank ends, phrases, word weights and hashed counts against Python; none compares a
+    token with every bucket or word, none tries a pattern at every character."""
+    import hashlib
+    import re
+
+    from pyspark.sql import functions as F
+
+    from opinio.functions import text as tx
+    from opinio.functions import vectors as vx
+    from opinio.operators import themes as th
+
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert sorted(tx.WS_CHARS) == sorted(blanks)
+    rows = ["", " 　", tx.WS_CHARS + "Gut, gut ! FREE Sample" + tx.WS_CHARS, "a.b c​ ", "ärger gut a_1 x", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    weights = {"gut": 2, "x": 1, "ärger": 1}
+    strip, spam, hits, vec = (tx.strip("t"), tx.contains_any("t", ["free sample", "c​"]),
+                              th.weighted_hits(tx.tokens("t"), weights), vx.hash_embed("t", 8))
+    got = df.select("i", strip.alias("s"), spam.alias("p"), hits.alias("h"), vec.alias("v")).orderBy("i").collect()
+    for t, r in zip(rows, got):
+        words = re.findall(r"\w+", (t or "").lower())
+        assert r.s == (None if t is None else t.strip(tx.WS_CHARS))
+        assert r.p == any(p in (t or "").lower() for p in ("free sample", "c​"))
+        assert r.h == sum(weights.get(w, 0) for w in words)
+        buckets = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8 for w in words]
+        assert list(r.v) == [buckets.count(b) for b in range(8)]
+    plan = df.select(strip, spam, hits, vec)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and "regexp_replace" not in plan and "aggregate(" not in plan and "element_at" not in plan
