@@ -25,8 +25,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _one_a_file(values: DataFrame, path: str) -> None:
-    """``value`` of each row as a file of its own, in a folder by ``key``."""
-    values.select("key", "value").repartition("key").write.partitionBy("key").text(path)
+    """``value`` of each row as a file of its own."""
+    # tasks put their files in place themselves (the folder is new and read when all are done):
+    # moved by the driver one after the other, they would take longer than they took to write
+    values.select("value").write.option("maxRecordsPerFile", 1) \
+        .option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
 
 
 def _groups(d: DataFrame) -> DataFrame:
