@@ -59,17 +59,20 @@ def spam_filter(df: DataFrame, col: str = "review_text", phrases=SPAM_PHRASES) -
 
 
 def dedupe_keep_first(df: DataFrame, text_col: str = "review_text",
-                      order_col: str = "pos") -> DataFrame:
+                      order_col: str = "pos", rows: DataFrame | None = None) -> DataFrame:
     """One row per normalised text key: the first in file order.
 
-    Keys are compared by their SHA-256 and the smallest ``order_col`` is found
-    by a grouped minimum on fixed-width columns, combined before the shuffle;
-    the winners' rows then come by a semi-join.  ``order_col`` names a row.
+    Keys are compared by their SHA-256 and the first ``order_col`` is found by a grouped
+    minimum on narrow rows, combined before the shuffle; the winners' rows then come by a
+    semi-join on ``order_col`` and a hash of the text, so texts are normalised once.
+    ``order_col`` names a row.  ``rows`` are those that ``df`` was filtered from by the
+    text alone: the winners are taken from them, and the filters are not run again.
     """
-    keyed = df.withColumn("_dup_key", F.sha2(tx.normalize_dup_key(text_col), 256))
-    first = keyed.groupBy(F.col("_dup_key").alias("_key")).agg(F.min(order_col).alias("_first"))
-    won = F.col("_dup_key").eqNullSafe(F.col("_key")) & (F.col(order_col) == F.col("_first"))
-    return keyed.join(first, won, "leftsemi").drop("_dup_key")
+    keyed = df.select(F.sha2(tx.normalize_dup_key(text_col), 256).alias("_key"), F.struct(
+        F.col(order_col).isNull().alias("n"), F.col(order_col).alias("o"), F.xxhash64(text_col).alias("h")).alias("_at"))
+    first = keyed.groupBy("_key").agg(F.min("_at").alias("_at")).select(F.col("_at.o").alias("_first"), F.col("_at.h").alias("_hash"))
+    won = F.col(order_col).eqNullSafe(F.col("_first")) & (F.xxhash64(text_col) == F.col("_hash"))
+    return (df if rows is None else rows).join(first, won, "leftsemi")
 
 
 def strict_mode(df: DataFrame, mode: str = "strict") -> DataFrame:
@@ -110,10 +113,10 @@ def credibility_open(verified_any: Column, votes: Column, text: Column,
 
 def clean_corpus(df: DataFrame, filter_mode: str = "strict", min_len: int = 30) -> DataFrame:
     """Canonical corpus reviews -> cleaned, deduplicated, scored reviews."""
-    c = canonicalize_corpus(df)
-    c = min_length(c, "review_text", min_len)
+    rows = canonicalize_corpus(df)
+    c = min_length(rows, "review_text", min_len)
     c = spam_filter(c, "review_text")
-    c = dedupe_keep_first(c, "review_text", "pos")
+    c = dedupe_keep_first(c, "review_text", "pos", rows)
     c = c.withColumn("clean_text", tx.strip_personal("review_text"))
     c = strict_mode(c, filter_mode)
     return c.withColumn("credibility_score", credibility())
