@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, THEMES_GEN1
 from opinio.functions import text as tx
+from opinio.functions.batches import list_hits
 
 
 def keyword_weights(themes=THEMES_GEN1, pos=POSITIVE_WORDS, neg=NEGATIVE_WORDS) -> dict:
@@ -145,14 +146,17 @@ def extractive_summary(scored: Column, max_words: int = 120) -> Column:
 def corpus_theme_counts(df: DataFrame, key: str, text_col: str, themes=THEMES_GEN1) -> DataFrame:
     """Whole-text theme hits per (key, theme) over every row of ``df``.
 
-    Tokens are exploded and joined to the dictionary as a table of any size
-    (Spark broadcasts it by its size); the counts are combined before the
-    shuffle, so hot keys stay cheap.
+    The hits of a text are counted in Arrow batches, one number a theme; the numbers are
+    summed up before the shuffle, so hot keys stay cheap.
     """
-    theme_rows = df.sparkSession.createDataFrame(
-        [(w, t, i) for i, (t, ws) in enumerate(themes) for w in ws],
-        "word string, theme string, theme_idx int")
-    hits = df.select(F.col(key).alias("_key"), F.explode(tx.tokens(text_col)).alias("word"))
-    return (hits.join(theme_rows, "word")
-            .groupBy(F.col("_key").alias(key), "theme", "theme_idx")
-            .agg(F.count(F.lit(1)).alias("n")))
+    lists: list = []
+    for _, words in themes:
+        mult: dict = {}
+        for w in words:         # a word that is listed twice counts twice
+            mult[w] = mult.get(w, 0) + 1
+        lists.append(mult)
+    hits = df.select(F.col(key).alias("_key"), list_hits(lists)(tx.spaced_words(text_col)).alias("_n"))
+    per = F.array(*[F.struct(F.lit(t).alias("theme"), F.lit(i).alias("theme_idx"), F.col("_n")[i].alias("n"))
+                    for i, (t, _) in enumerate(themes)])
+    return (hits.select("_key", F.inline(per)).where(F.col("n") > 0)
+            .groupBy(F.col("_key").alias(key), "theme", "theme_idx").agg(F.sum("n").alias("n")))
