@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from opinio.dictionaries import NEGATIVE_WORDS, POSITIVE_WORDS, THEMES_V2
 from opinio.functions import text as tx
+from opinio.functions.batches import list_hits
 from opinio.operators import themes as th
 from opinio.operators.cleaning import canonicalize_corpus, credibility_open, min_length, strict_mode
 from opinio.operators.selection import select_under_budget
@@ -23,9 +24,11 @@ from opinio.session import stored
 def report_sentences(cleaned: DataFrame, key: str, text_col: str, themes, pos=POSITIVE_WORDS,
                      neg=NEGATIVE_WORDS) -> DataFrame:
     """Every scored sentence: key, at (review position, place in the review), s, scores, wc."""
-    x = cleaned.select(F.col(key), F.col("pos"), F.explode(th.scored_sentences(text_col, themes, pos, neg)).alias("x"))
-    return x.select(key, F.struct(F.col("pos"), F.col("x.i").alias("i")).alias("at"), F.col("x.s").alias("s"),
-                    "x.score", "x.pos_score", "x.neg_score", F.col("x.wc").alias("wc"))
+    x = cleaned.select(F.col(key), F.col("pos"), F.posexplode(tx.long_sentence_array(text_col)).alias("i", "s"))
+    lists = [th.keyword_weights(themes, pos, neg), {w: 1 for w in set(pos)}, {w: 1 for w in set(neg)}]
+    x = x.withColumn("_n", list_hits(lists)(tx.spaced_words("s")))
+    return x.select(key, F.struct("pos", "i").alias("at"), "s", F.col("_n")[0].alias("score"), F.col("_n")[1].alias("pos_score"),
+                    F.col("_n")[2].alias("neg_score"), tx.word_count("s").alias("wc"))
 
 
 def quoted(sentences: DataFrame, key: str, score: str, k: int, out: str) -> DataFrame:
