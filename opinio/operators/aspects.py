@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,38 +121,43 @@ def aspect_mining(reviews: DataFrame, key: str = "product_id", text_col: str = "
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k))
 
 
+#: Texts of an Arrow batch that are packed at a time.
+PACK_ROWS = 256
+
+
+def packed_sentences(max_tokens: int):
+    """Function text -> its chunks, for valid UTF-8; null and blank texts have none.
+
+    The words of each sentence are counted once, and a chunk ends at the last sentence whose
+    running count is within the budget: the work is linear in the text, long sentences too.
+    """
+    sentence_break = re.compile(r"(?<=[.!?])\s+")
+    rows, chunk_type = PACK_ROWS, pa.list_(pa.string())
+
+    def pack(text):
+        sentences = [s for s in sentence_break.split((text or "").strip()) if s]
+        ends = [0, *accumulate(len(s.split()) for s in sentences)]
+        out, at = [], 0
+        while at < len(sentences):
+            stop = bisect_right(ends, ends[at] + max_tokens, at) - 1
+            if stop > at:
+                out.append(" ".join(sentences[at:stop]))
+            else:
+                words, stop = sentences[at].split(), at + 1
+                out += [" ".join(words[i:i + max_tokens]) for i in range(0, len(words), max_tokens)]
+            at = stop
+        return out
+
+    @F.arrow_udf("array<string>")
+    def chunks(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array(map(pack, texts.slice(i, rows).to_pylist()), chunk_type)
+                                 for i in range(0, max(len(texts), 1), rows)])
+    return chunks
+
+
 def chunk_by_budget(text_col, max_tokens: int = 900) -> Column:
     """Pack sentences into chunks of at most ``max_tokens`` words; a chunk
     that is still too long (one long sentence) is hard-split every
     ``max_tokens`` words.  Token length is the whitespace word count."""
-    parts = F.filter(F.split(tx.strip(F.coalesce(text_col if not isinstance(text_col, str)
-                                                  else F.col(text_col), F.lit(""))), tx.SENTENCE_BREAK),
-                     lambda s: s != "")
-    init = F.struct(F.lit("").alias("cur"), F.lit(0).alias("wc"),
-                    F.array().cast("array<struct<t:string,wc:int>>").alias("done"))
-
-    # words are counted once a sentence, and the fold is read as a lambda variable: what stands
-    # in a lambda or in branches is computed again wherever it is used
-    counted = F.transform(parts, lambda s: F.struct(s.alias("s"), tx.word_count(s).alias("wc")))
-
-    def step(acc, x):
-        s, swc = x["s"], x["wc"]
-        cand_wc = F.when(acc["cur"] == "", swc).otherwise(acc["wc"] + swc)
-        cand = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        fits = cand_wc <= max_tokens
-        pushed = F.when(acc["cur"] != "", F.concat(acc["done"], F.array(
-            F.struct(acc["cur"].alias("t"), acc["wc"].alias("wc"))))).otherwise(acc["done"])
-        return F.when(fits, F.struct(cand.alias("cur"), cand_wc.alias("wc"), acc["done"].alias("done"))) \
-            .otherwise(F.struct(s.alias("cur"), swc.alias("wc"), pushed.alias("done")))
-
-    chunks = F.transform(F.array(F.aggregate(counted, init, step)), lambda st: F.when(
-        st["cur"] != "", F.concat(st["done"], F.array(F.struct(st["cur"].alias("t"), st["wc"].alias("wc")))))
-        .otherwise(st["done"]))[0]
-
-    def hard_split(c):
-        words = F.filter(F.split(c["t"], tx.WS + "+"), lambda w: w != "")
-        n = F.size(words)
-        return F.when(c["wc"] <= max_tokens, F.array(c["t"])).otherwise(F.transform(
-            F.sequence(F.lit(0), F.floor((n - 1) / max_tokens).cast("int")),
-            lambda i: F.array_join(F.slice(words, i * max_tokens + 1, max_tokens), " ")))
-    return F.flatten(F.transform(chunks, hard_split))
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    return packed_sentences(max_tokens)(F.make_valid_utf8(text))

@@ -1,6 +1,6 @@
 """Chunks of bounded token length, by any tokenizer, as a table function.
 
-``aspects.chunk_by_budget`` counts words in the JVM; here the caller's tokenizer counts.
+``aspects.chunk_by_budget`` counts words; here the caller's tokenizer counts.
 Lengths of tokenizers do not add up, so each candidate is measured as a whole; a chunk
 never holds more than the budget, so the work is linear in the text.
 """

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,23 @@ def test_words_are_the_built_in_chunks(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, built_in)) and len(got) > 100
 
 
+def test_one_long_sentence_is_linear_work(spark):
+    n = 200_000
+    df = spark.range(2).select("id", F.array_join(F.sequence(F.lit(1), F.lit(n)), " ").alias("text"))
+    chunks_of = df.select(F.explode(aspects.chunk_by_budget("text", 120)).alias("chunk"))
+    df.select(F.explode(aspects.chunk_by_budget(F.lit("a. b"), 1))).collect()     # workers are up
+    start = time.monotonic()
+    got = [r.chunk for r in chunks_of.collect()]
+    assert time.monotonic() - start < 10        # cutting every piece out of the whole sentence takes far longer
+    assert len(got) == 2 * (n // 120 + 1) and max(len(c.split()) for c in got) == 120
+    assert " ".join(got).split() == 2 * [str(i) for i in range(1, n + 1)]
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT cast(X'612EFF20622E2063' AS string) AS text")
+    assert df.select(aspects.chunk_by_budget("text", 2)).first()[0] == ["a.\ufffd b.", "c"]
+
+
 def test_any_tokenizer(spark):
     class Pairs:
         def encode(self, text):
