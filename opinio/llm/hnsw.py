@@ -39,9 +39,34 @@ AUDIT_NEAREST = 5       # true nearest vectors that an audited query must find,
 AUDIT_RECALL = 0.99     # of the links of audited queries
 NEAREST_RECALL = 0.95   # of their nearest vectors
 STEP_ROWS = 256         # queries that advance together
+PAGE = 512              # nodes whose cosines with the queries of a step are computed together
+AT_ONCE = 8             # a beam follows one of its nodes for each so many of its width, at a time
 SEED = 20240917
 
 
+class Cosines:
+    """Cosines of a step's queries with the nodes that its searches meet.
+
+    Nodes are fetched a page at a time, when a search first meets one of the page: a product of
+    two matrices costs less than a row of nodes for each query, and is shared by all layers."""
+
+    def __init__(self, vectors: np.ndarray, queries: np.ndarray):
+        self.v, self.queries = vectors, queries
+        self.sim = np.empty((len(queries), len(vectors)), np.float32)
+        self.flat = self.sim.ravel()
+        self.unmet = np.ones(-(-len(vectors) // PAGE), bool)
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        """By place: the query's row times the number of nodes, and the node."""
+        if self.unmet.any():
+            met = np.bincount(places % len(self.v) // PAGE, minlength=len(self.unmet)) > 0
+            for k in np.flatnonzero(met & self.unmet).tolist():
+                page = slice(k * PAGE, (k + 1) * PAGE)
+                self.sim[:, page] = self.queries @ self.v[page].T
+                self.unmet[k] = False
+        return self.flat.take(places)
+
+
 class Graph:
     """One shard: unit vectors and, a layer each, the neighbour table."""
 
@@ -76,106 +101,139 @@ class Graph:
         self.ends = (pairs % n).astype(np.int32) if n else pairs
         self.range = np.searchsorted(pairs // max(n, 1), np.arange(n + 1))
 
-    def _near(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Cosine of each query with its row of nodes (-1: none)."""
-        s = np.einsum("qd,qkd->qk", queries, self.v[nodes], optimize=False)
-        return np.where(nodes >= 0, s, -np.inf)
-
-    def _beam(self, queries: np.ndarray, start: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines) of a beam search in one layer, all queries in step; -1 pads."""
-        table_ = self.layers[layer]
-        q = len(queries)
-        seen = np.zeros((q, len(self.v)), bool)
-        row = np.arange(q)[:, None]
-        ids = np.full((q, width), -1, np.int64)
+    def _beam(self, cosines: Cosines, rows: np.ndarray, start: np.ndarray, layer: int,
+              width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cosines) of a beam search in one layer, all queries (rows of ``cosines``) in
+        step; -1 pads.  A wide beam follows several of its best nodes at a time."""
+        table_, n, q = self.layers[layer], len(self.v), len(rows)
+        at_once = max(1, width // AT_ONCE)
+        base = rows.astype(np.int64) * n        # places of a query's nodes in ``cosines``
+        seen = np.zeros(len(cosines.flat), bool)
+        ids = np.full((q, width), -1, np.int32)
         sim = np.full((q, width), -np.inf, np.float32)
         done = np.ones((q, width), bool)
-        k = min(width, start.shape[1])
-        s0 = self._near(queries, start)
-        ids[:, :k], sim[:, :k], done[:, :k] = start[:, :k], s0[:, :k], start[:, :k] < 0
-        seen[row, np.maximum(start, 0)] |= start >= 0
+        a, k = np.nonzero(start[:, :width] >= 0)
+        places = base[a] + start[a, k]
+        ids[a, k], sim[a, k], done[a, k] = start[a, k], cosines(places), False
+        seen[places] = True
         live = np.arange(q)
         while len(live):
             open_ = np.where(done[live], -np.inf, sim[live])
-            pick = open_.argmax(axis=1)
-            best = open_[np.arange(len(live)), pick]
-            go = best > -np.inf
-            live, pick = live[go], pick[go]
+            pick = (open_.argmax(axis=1)[:, None] if at_once == 1
+                    else np.argpartition(open_, width - at_once, axis=1)[:, width - at_once:])
+            here = np.take_along_axis(open_, pick, axis=1) > -np.inf
+            go = here.any(axis=1)
+            live, pick, here = live[go], pick[go], here[go]
             if not len(live):
                 break
-            done[live, pick] = True
-            near = table_[ids[live, pick]].astype(np.int64)
-            r = live[:, None]
-            fresh = (near >= 0) & ~seen[r, np.maximum(near, 0)]
-            near = np.where(fresh, near, -1)
-            # a neighbour list has no repeats, so marking by row is enough
-            rr, cc = np.nonzero(fresh)
-            seen[live[rr], near[rr, cc]] = True
-            s = self._near(queries[live], near)
-            all_ids = np.concatenate([ids[live], near], axis=1)
-            all_sim = np.concatenate([sim[live], s.astype(np.float32)], axis=1)
-            all_done = np.concatenate([done[live], near < 0], axis=1)
-            keep = np.argpartition(-all_sim, width - 1, axis=1)[:, :width]
+            done[live[:, None], pick] = True
+            a, k = np.nonzero(here)
+            near = table_.take(ids[live[a], pick[a, k]], axis=0)
+            places = (base[live[a], None] + near)[near >= 0]
+            places = places[~seen.take(places)]
+            seen[places] = True
+            # only what is nearer than the worst of its beam; what stood in several lists once
+            worst = np.full(len(cosines.queries), -np.inf, np.float32)
+            worst[rows[live]] = sim[live].min(axis=1)
+            places = places[cosines(places) > worst.take(places // n)]
+            places.sort()
+            places = places[np.diff(places, prepend=-1) > 0]
+            if not len(places):
+                continue
+            got = np.searchsorted(places, base[live])
+            size = np.append(got[1:], len(places)) - got
+            x = np.repeat(np.arange(len(live)), size)
+            y = width + np.arange(len(places)) - np.repeat(got, size)
+            wide = (len(live), width + int(size.max()))
+            all_ids, all_sim, all_done = np.full(wide, -1, np.int32), np.full(wide, -np.inf, np.float32), np.ones(wide, bool)
+            all_ids[:, :width], all_sim[:, :width], all_done[:, :width] = ids[live], sim[live], done[live]
+            all_ids[x, y], all_sim[x, y], all_done[x, y] = places % n, cosines(places), False
+            keep = np.argpartition(all_sim, wide[1] - width, axis=1)[:, wide[1] - width:]
             x = np.arange(len(live))[:, None]
             ids[live], sim[live], done[live] = all_ids[x, keep], all_sim[x, keep], all_done[x, keep]
         order = np.argsort(-sim, axis=1, kind="stable")
-        x = np.arange(q)[:, None]
-        return ids[x, order], sim[x, order]
+        return np.take_along_axis(ids, order, axis=1), np.take_along_axis(sim, order, axis=1)
 
-    def _descend(self, queries: np.ndarray, to: int) -> np.ndarray:
+    def _descend(self, cosines: Cosines, rows: np.ndarray, to: int) -> np.ndarray:
         """Entry nodes for layer ``to``: the best of a small beam in each layer above."""
-        start = np.full((len(queries), 1), self.entry, np.int64)
+        start = np.full((len(rows), 1), self.entry, np.int32)
         for layer in range(self.height, to, -1):
-            start = self._beam(queries, start, layer, 4)[0]
+            start = self._beam(cosines, rows, start, layer, 4)[0]
         return start
 
-    def _choose(self, node: int, cand: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
-        """Neighbours in different directions: nearer to the node than to a chosen one."""
-        order = np.argsort(-sim, kind="stable")
-        cand, sim = cand[order], sim[order]
+    def _choose(self, cand: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
+        """Of each row of candidates (-1: none) neighbours in different directions: nearer to the
+        row's node (``sim``) than to a chosen one.  -1 pads."""
+        order = np.argsort(np.where(cand >= 0, -sim, np.inf), axis=1, kind="stable")
+        cand, sim = np.take_along_axis(cand, order, axis=1), np.take_along_axis(sim, order, axis=1)
         v = self.v[cand]
-        block = np.full(len(cand), -np.inf, np.float32)     # cosine with the nearest chosen one
-        left = np.ones(len(cand), bool)
+        among = v @ v.transpose(0, 2, 1)
+        block = np.full(cand.shape, -np.inf, np.float32)    # cosine with the nearest chosen one
+        left = cand >= 0
         for _ in range(most // 2 + 1):
             free = left & (sim > block)
-            k = int(free.argmax())
-            if not free[k]:
+            k = free.argmax(axis=1)
+            some = np.flatnonzero(free[np.arange(len(cand)), k])
+            if not len(some):
                 break
-            left[k] = False
-            np.maximum(block, v @ v[k], out=block)
-        picked = np.flatnonzero(~left)
-        rest = np.flatnonzero(left)[:most - len(picked)]    # then simply the nearest
-        return cand[np.concatenate([picked, rest])]
-
-    def _link(self, layer: int, node: int, cand: np.ndarray, sim: np.ndarray) -> None:
-        table_ = self.layers[layer]
-        most = table_.shape[1]
-        mine = self._choose(node, cand, sim, max(1, most // 2))
-        have = table_[node]
-        have = have[have >= 0]
-        self._set(layer, node, np.union1d(have, mine))
-        for other in mine.tolist():
-            theirs = table_[other]
-            theirs = theirs[theirs >= 0]
-            if node not in theirs:
-                self._set(layer, other, np.append(theirs, node))
-
-    def _set(self, layer: int, node: int, nodes: np.ndarray) -> None:
-        """New neighbours of a node.  A full list gives way by choice, but never
-        drops the last link that leads to some node."""
+            left[some, k[some]] = False
+            block[some] = np.maximum(block[some], among[some, k[some]])
+        # the chosen ones, then simply the nearest
+        rank = np.argsort(np.where(cand < 0, 2, left), axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(cand, rank, axis=1)
+
+    def _link(self, layer: int, nodes: np.ndarray, cand: np.ndarray, sim: np.ndarray) -> None:
+        """Links between new nodes and the neighbours chosen among their rows of candidates, both
+        ways.  A full list gives way by choice."""
+        table_, incoming = self.layers[layer], self.incoming[layer]
+        n, most = table_.shape
+        mine = self._choose(cand, sim, max(1, most // 2))
+        a, k = np.nonzero(mine >= 0)
+        a, b = nodes[a].astype(np.int64), mine[a, k].astype(np.int64)
+        who = np.unique(np.concatenate([a, b]))
+        have = table_[who]
+        x, k = np.nonzero(have >= 0)
+        pairs = np.unique(np.concatenate([a * n + b, b * n + a, who[x] * n + have[x, k]]))
+        first = np.searchsorted(pairs, who * n)
+        size = np.append(first[1:], len(pairs)) - first
+        ends = (pairs % n).astype(np.int32)
+        old = np.bincount(have[x, k], minlength=n)
+        order = np.argsort(-size, kind="stable")
+        at = 0
+        while at < len(order):      # longest lists first, so many at a time that their cosines stay few
+            wide = max(int(size[order[at]]), most)
+            some = order[at:at + max(1, (1 << 21) // wide ** 2)]
+            place = np.arange(wide)[None, :]
+            lists = np.where(place < size[some][:, None], ends[np.minimum(first[some][:, None] + place, len(ends) - 1)], -1)
+            if wide > most:
+                near = np.einsum("ad,akd->ak", self.v[who[some]], self.v[lists])
+                short = size[some] <= most
+                chosen = self._choose(lists, near, most)
+                lists = np.where(short[:, None], lists[:, :most], chosen)
+            table_[who[some]] = lists[:, :most]
+            at += len(some)
+        now = table_[who]
+        incoming += (np.bincount(now[now >= 0], minlength=n) - old).astype(np.int32)
+        for node in np.unique(ends[incoming[ends] == 0]).tolist():
+            self._adopt(layer, node)
+
+    def _adopt(self, layer: int, node: int) -> None:
+        """A link to a node that no list holds any more, from the nearest of its neighbours that has
+        room or a link which is not the last to its end."""
         table_, incoming = self.layers[layer], self.incoming[layer]
-        most = table_.shape[1]
-        old = table_[node]
-        incoming[old[old >= 0]] -= 1
-        if len(nodes) > most:
-            only = nodes[incoming[nodes] == 0][:most]
-            chosen = self._choose(node, nodes, self.v[nodes] @ self.v[node], most)
-            if len(only):
-                chosen = np.concatenate([only, chosen[~np.isin(chosen, only)]])[:most]
-            nodes = chosen
-        incoming[nodes] += 1
-        table_[node] = -1
-        table_[node, :len(nodes)] = nodes
+        mine = table_[node][table_[node] >= 0]
+        for other in mine[np.argsort(-(self.v[mine] @ self.v[node]), kind="stable")].tolist():
+            theirs = table_[other]
+            spare = np.flatnonzero(theirs < 0)
+            if not len(spare):
+                spare = np.flatnonzero(incoming[theirs] > 1)
+                if not len(spare):
+                    continue
+                spare = spare[(self.v[theirs[spare]] @ self.v[other]).argsort()]
+                incoming[theirs[spare[0]]] -= 1
+            theirs[spare[0]] = node
+            incoming[node] += 1
+            return
 
     def _insert(self, part: np.ndarray) -> None:
         if self.entry < 0:
@@ -183,19 +241,18 @@ class Graph:
             part = part[1:]
             if not len(part):
                 return
-        own = self.v[part] @ self.v[part].T
+        cosines = Cosines(self.v, self.v[part])
+        own = cosines.queries @ cosines.queries.T
+        np.fill_diagonal(own, -np.inf)
         for layer in range(min(self.height, int(self.level[part].max())), -1, -1):
             who = np.flatnonzero(self.level[part] >= layer)
             if not len(who):
                 continue
-            q = self.v[part[who]]
-            ids, sim = self._beam(q, self._descend(q, layer), layer, BUILD_BEAM)
-            for k, w in enumerate(who.tolist()):
-                mates = who[own[w, who].argsort()[::-1][:BUILD_BEAM // 2 + 1]]
-                mates = mates[mates != w]
-                c = np.concatenate([ids[k][ids[k] >= 0], part[mates]])
-                s = np.concatenate([sim[k][ids[k] >= 0], own[w, mates]])
-                self._link(layer, int(part[w]), c, s)
+            cand, sim = self._beam(cosines, who, self._descend(cosines, who, layer), layer, BUILD_BEAM)
+            mates = np.argsort(-own[np.ix_(who, who)], axis=1)[:, :min(BUILD_BEAM // 2, len(who) - 1)]
+            near = np.take_along_axis(own[np.ix_(who, who)], mates, axis=1)
+            self._link(layer, part[who], np.concatenate([cand, part[who[mates]].astype(np.int32)], axis=1),
+                       np.concatenate([sim, near], axis=1))
         tall = part[self.level[part].argmax()]
         if self.level[tall] > self.height:
             self.entry, self.height = int(tall), int(self.level[tall])
@@ -215,29 +272,28 @@ class Graph:
             out.append(found)
         return np.concatenate(out)
 
+    def _found(self, queries: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, ids, cosines) of their beams at the bottom, a step at a time."""
+        step = max(1, min(STEP_ROWS, (1 << 23) // max(len(self.v), 1)))
+        for i in range(0, len(queries), step):
+            q = queries[i:i + step].astype(np.float32)
+            cosines, rows = Cosines(self.v, q), np.arange(len(q))
+            yield q, *self._beam(cosines, rows, self._descend(cosines, rows, 0), 0, width)
+
     def within(self, queries: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
         """Nodes that each query's search finds at ``threshold`` or more (single precision,
         a little slack); a beam that ends among such nodes is widened as far as they reach."""
         slack = threshold - 1e-4
-        n = len(self.v)
-        width = min(beam, n)
         out: list[np.ndarray] = []
-        step = max(1, min(STEP_ROWS, (1 << 23) // max(n, 1)))
-        for i in range(0, len(queries), step):
-            q = queries[i:i + step].astype(np.float32)
-            ids, sim = self._beam(q, self._descend(q, 0), 0, width)
+        for q, ids, sim in self._found(queries, min(beam, len(self.v))):
             for k in range(len(q)):
-                good = ids[k][(sim[k] >= slack) & (ids[k] >= 0)]
+                good = ids[k][(sim[k] >= slack) & (ids[k] >= 0)].astype(np.int64)
                 out.append(self._flood(q[k], good, slack) if len(good) > 1 else good)
         return out
 
-
     def nearest(self, queries: np.ndarray, k: int, beam: int) -> np.ndarray:
         """The k best nodes that each query's beam finds; -1 pads."""
-        width = min(max(beam, k), len(self.v))
-        step = max(1, min(STEP_ROWS, (1 << 23) // max(len(self.v), 1)))
-        parts = [self._beam(q, self._descend(q, 0), 0, width)[0][:, :k] for q in (
-            queries[i:i + step].astype(np.float32) for i in range(0, len(queries), step))]
+        parts = [ids[:, :k] for _, ids, _ in self._found(queries, min(max(beam, k), len(self.v)))]
         return np.concatenate(parts) if parts else np.zeros((0, k), np.int64)
 
 
@@ -247,7 +303,7 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def build_shards(vectors: DataFrame) -> DataFrame:
-    """(label, shard, graph): one stored graph a shard."""
+    """(label, shard, graph): one stored graph a shard.  Runs a job when called (the number of shards)."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["vec_id", "same"], ignore_index=True)
         unit = _unit(pdf["embedding"].tolist())
@@ -258,7 +314,10 @@ def build_shards(vectors: DataFrame) -> DataFrame:
         return pd.DataFrame({"label": pdf["label"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [stored]})
 
     label = vectors.schema["label"].dataType.simpleString()
-    return vectors.groupBy("label", "shard").applyInPandas(build, f"label {label}, shard int, graph binary")
+    # a graph is long work on few rows: so many partitions that few hold two, not merged by their size
+    shards = vectors.select("label", "shard").distinct().count()
+    return (vectors.repartition(max(1, 8 * shards), "label", "shard").groupBy("label", "shard")
+            .applyInPandas(build, f"label {label}, shard int, graph binary"))
 
 
 def _search(stored: dict, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
